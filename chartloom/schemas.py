@@ -96,6 +96,26 @@ def conform(df: DataFrame, schema: T.StructType, keep_extra: bool = False) -> Da
     return df.select(*columns)
 
 
+def id_column(df: DataFrame, name: str):
+    """An id column as bigint, null when absent or not a number."""
+    kind = dict(df.dtypes).get(name)
+    if kind is None:
+        return F.lit(None).cast("bigint")
+    return F.col(name).cast("bigint") if kind in ("bigint", "int") else whole_number(F.col(name))
+
+
+def time_column(df: DataFrame, name: str):
+    """A time column as timestamp without zone, null when absent or not a time."""
+    from chartloom.functions.values import lenient_timestamp
+
+    kind = dict(df.dtypes).get(name)
+    if kind is None:
+        return F.lit(None).cast("timestamp_ntz")
+    if kind in ("timestamp_ntz", "date", "timestamp"):
+        return F.col(name).cast("timestamp_ntz")
+    return lenient_timestamp(F.col(name))
+
+
 def whole_number(value):
     """An id as bigint; null when it is not a number."""
     text = F.trim(value.cast("string"))
