@@ -122,19 +122,18 @@ def is_present(status: Column) -> Column:
 
 
 def lenient_timestamp(value: Column) -> Column:
-    """A timestamp without zone, or null. The offset of a zoned text is dropped."""
-    text = strip(value.cast("string"))
-    bare = F.regexp_replace(text, r"(?i)\s*(z|utc|[+-]\d{2}:?\d{2})$", "")
-    bare = F.when(text.rlike(r"\d:\d{2}"), bare).otherwise(text)
-    parsed = F.coalesce(
-        bare.try_cast("timestamp_ntz"),
-        *(
-            F.try_to_timestamp(bare, F.lit(shape)).cast("timestamp_ntz")
-            for shape in ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm",
-                          "yyyy/M/d", "yyyyMMdd")
-        ),
-    )
-    return F.when(F.lower(text).isin("", "nan", "nat", "none", "unknown"), None).otherwise(parsed)
+    """A timestamp without zone, or null. The offset of a zoned text is dropped.
+
+    Slashed and packed dates are rewritten to the form the cast reads.
+    """
+    text = F.trim(value.cast("string"))
+    for shape, iso in (
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$1-$2"),
+        (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3"),
+        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    ):
+        text = F.regexp_replace(text, shape, iso)
+    return text.try_cast("timestamp_ntz")
 
 
 def has_clock_time(value: Column) -> Column:
@@ -146,6 +145,15 @@ def day_offset(moment: Column, anchor: Column) -> Column:
     return F.datediff(moment, anchor)
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Wall-clock seconds between two timestamps without zone, in any session zone."""
+
+    def of_day(moment: Column) -> Column:
+        return F.hour(moment) * 3600 + F.minute(moment) * 60 + F.extract(F.lit("SECOND"), moment).cast("double")
+
+    return day_offset(end, start) * 86400 + of_day(end) - of_day(start)
+
+
 def offset_label(moment: Column, anchor: Column) -> Column:
     """``Day +2 14:05``, ``Time 14:05`` without anchor, or unknown."""
     clock, days = F.date_format(moment, "HH:mm"), day_offset(moment, anchor)

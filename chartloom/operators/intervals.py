@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR = 3600
+from chartloom.functions.values import seconds_between
 
 
 def merge_episodes(
@@ -67,7 +67,7 @@ def merge_episodes(
 
 
 def _hours(start, end):
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / (HOUR * 1e6)
+    return seconds_between(start, end) / 3600
 
 
 def covered_days(intervals: DataFrame, keys: list[str], first_day: str, last_day: str) -> DataFrame:

@@ -6,55 +6,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NOTE = T.StructType.fromDDL(
+_KINDS = {
+    "bigint": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(), "int": T.IntegerType(),
+    "strings": T.ArrayType(T.StringType()),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
+
+
+_KINDS["evidence"] = T.ArrayType(
+    _table("note_id bigint, note_date string, evidence_quote string, interpretation string")
+)
+
+NOTE = _table(
     "note_id bigint, person_id bigint, visit_occurrence_id bigint, note_date date, "
     "note_datetime timestamp_ntz, note_type_concept_id bigint, note_title string, note_text string"
 )
-VISIT = T.StructType.fromDDL(
+VISIT = _table(
     "visit_occurrence_id bigint, person_id bigint, visit_concept_id bigint, visit_start_date string, "
     "visit_end_date string, visit_type_concept_id bigint, care_site_id bigint"
 )
-ENCOUNTER = T.StructType.fromDDL(
+ENCOUNTER = _table(
     "visit_occurrence_id string, person_id string, record_id string, institution_v3 string, "
     "icu_admit_datetime string, visit_start_datetime string, visit_start_date string"
 )
-MEASUREMENT = T.StructType.fromDDL(
+MEASUREMENT = _table(
     "visit_occurrence_id string, measurement_id string, measurement_datetime string, "
     "measurement_name string, value_as_number string, value_as_string string, unit string"
 )
-DRUG = T.StructType.fromDDL(
+DRUG = _table(
     "visit_occurrence_id string, drug_exposure_id string, drug_start_datetime string, "
     "drug_end_datetime string, drug_name string, route string, dose_rate string, drug_class string"
 )
-CULTURE = T.StructType.fromDDL(
+CULTURE = _table(
     "visit_occurrence_id string, culture_id string, collection_datetime string, source string, "
     "organism string, result string"
 )
-PANEL_NOTE = T.StructType.fromDDL(
+PANEL_NOTE = _table(
     "note_id string, visit_occurrence_id string, note_date string, note_datetime string, "
     "note_type_concept_id string, note_title string, note_text string"
 )
-SPAN_NOTE = T.StructType.fromDDL("row_id bigint, hadm_id bigint, subject_id bigint, text string")
-SPAN_LABEL = T.StructType.fromDDL(
+SPAN_NOTE = _table("row_id bigint, hadm_id bigint, subject_id bigint, text string")
+SPAN_LABEL = _table(
     "row_id bigint, trigger_word string, concept string, semtypes string, start bigint, end bigint, "
     "detection string, encounter string, negation string"
 )
 EVIDENCE = "array<struct<note_id:bigint,note_date:string,evidence_quote:string,interpretation:string>>"
-CHART = T.StructType.fromDDL(
+CHART = _table(
     "person_id bigint, visit_occurrence_id bigint, visit_start_date string, visit_end_date string, "
     "note_count bigint, notes_formatted_text string"
 )
-ADJUDICATION = T.StructType.fromDDL(
+ADJUDICATION = _table(
     "person_id bigint, visit_occurrence_id bigint, condition_present boolean, phenotype_status string, "
-    "confidence_score double, primary_criteria_met array<string>, "
-    f"key_evidence {EVIDENCE}, clinical_rationale string, adjudication_timestamp string, "
+    "confidence_score double, primary_criteria_met strings, "
+    "key_evidence evidence, clinical_rationale string, adjudication_timestamp string, "
     "inference_backend string"
 )
-FIELD_EVIDENCE = T.StructType.fromDDL(
+FIELD_EVIDENCE = _table(
     "record_id string, vid string, field_name string, source_type string, source_ref string, "
     "evidence_quote string, grounded boolean"
 )
-AUDIT = T.StructType.fromDDL(
+AUDIT = _table(
     "visit_occurrence_id bigint, person_id bigint, reviewer_id string, adjudication_status string, "
     "llm_status string, llm_confidence double, human_decision string, human_positive boolean, "
     "llm_positive boolean, reviewer_agreement boolean, override_reason string, comments string, "

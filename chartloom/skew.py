@@ -68,3 +68,15 @@ def number_rows(
         .withColumn(name, F.col("_start") + F.row_number().over(inside) + F.lit(first - 1))
         .drop("_chunk", "_start")
     )
+
+
+def join_spread(big: DataFrame, small: DataFrame, keys: Sequence[str], by: Column, pieces: int = 16) -> DataFrame:
+    """Inner join where one key may own a large share of ``big``.
+
+    Rows of ``big`` are spread over ``pieces`` by ``by``; the rows of ``small``
+    (one per key) are repeated once per piece. The column ``_piece`` stays, so
+    that a grouping which includes it needs no further shuffle.
+    """
+    spread = big.withColumn("_piece", F.pmod(F.xxhash64(by), F.lit(pieces)).cast("int"))
+    copies = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return spread.join(copies, [*keys, "_piece"])
