@@ -12,13 +12,12 @@ V = "visit_occurrence_id string, person_id long, icu_admit_datetime string, visi
 
 
 def compute(spark, visits, measurements, drugs, cultures, **options):
-    m = facts.measurement_rows(spark.createDataFrame(measurements, M))
-    d = facts.drug_rows(spark.createDataFrame(drugs, D))
-    c = facts.culture_rows(spark.createDataFrame(cultures, C))
-    events = facts.event_times((m, "moment"), (d, "start_time"), (c, "moment"))
-    anchors = facts.encounters(spark.createDataFrame(visits, V), events)
-    table = facts.structured_facts(anchors, m, d, c, **options)
-    return {row.vid: row for row in table.collect()}, facts.provenance(table, c)
+    tables = facts.chart_tables(
+        spark.createDataFrame(visits, V), spark.createDataFrame(measurements, M), spark.createDataFrame(drugs, D),
+        spark.createDataFrame(cultures, C),
+    )
+    table = facts.structured_facts(tables.anchors, tables.measurements, tables.drugs, tables.cultures, **options)
+    return {row.vid: row for row in table.collect()}, facts.provenance(table, tables.cultures)
 
 
 @pytest.fixture(scope="module")
