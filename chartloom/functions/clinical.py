@@ -9,10 +9,7 @@ from chartloom import fixed_values as fixed
 
 
 def _has(text: Column, *parts: str) -> Column:
-    found = F.contains(text, F.lit(parts[0]))
-    for part in parts[1:]:
-        found = found | F.contains(text, F.lit(part))
-    return found
+    return F.contains(text, F.lit(parts[0])) if len(parts) == 1 else text.rlike("|".join(parts))
 
 
 def analyte(name: Column, value: Column, text: Column) -> Column:

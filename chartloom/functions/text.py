@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
@@ -13,9 +13,25 @@ from chartloom import fixed_values as fixed
 UNICODE = "(?U)"
 
 
+# Every white-space character.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(code) for code in range(0x2000, 0x200B)
+)
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    Spark copies the definition of a projected column into later filters and
+    projections. For long expressions that multiplies the generated code, so
+    they are kept behind a generator, which nothing is merged into.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def is_blank(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
-from chartloom.functions.text import UNICODE, first_match, matches_any, snippet, strip, window
+from chartloom.functions.text import UNICODE, first_match, matches_any, once, snippet, strip, window
 from chartloom.operators.charts import FAR_FUTURE, clean_notes, clean_visits, first_notes
 from chartloom.schemas import EVIDENCE
 from chartloom.skew import first_n
@@ -94,13 +94,12 @@ def _bounded(pattern: str) -> str:
     return rf"\b{pattern}\b"
 
 
-def line_hit(line: Column, rules: RuleSet) -> Column:
+def line_hit(line: Column, low: Column, rules: RuleSet) -> Column:
     """The first pattern of the list that is found and not negated.
 
     Only the first occurrence of a pattern is looked at; if that one is negated
     the next pattern is tried.
     """
-    low = F.lower(line)
     kind = "struct<term:string,evidence_quote:string>"
     hits = [F.lit(None).cast(kind)]
     for pattern in rules.positive:
@@ -133,8 +132,8 @@ def note_hits(notes: DataFrame, rules: RuleSet, keys: tuple[str, ...], keep_empt
     lines = F.filter(F.split("note_text", "\n"), candidate)
     explode = F.posexplode_outer if keep_empty else F.posexplode
     rows = notes.select(*keys, explode(lines).alias("line_no", "line"))
-    hit = line_hit(strip(F.col("line")), rules)
-    rows = rows.select(*keys, "line_no", F.when(F.col("line").isNotNull(), hit).alias("hit"))
+    rows = rows.withColumn("line", strip(F.col("line"))).withColumn("low", F.lower("line"))
+    rows = once(rows, "hit", line_hit(F.col("line"), F.col("low"), rules)).select(*keys, "line_no", "hit")
     return rows if keep_empty else rows.filter(F.col("hit").isNotNull())
 
 

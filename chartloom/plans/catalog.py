@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from chartloom.plans import text_queries  # noqa: F401
+from chartloom.plans import table_queries, text_queries  # noqa: F401
 from chartloom.plans.registry import CHECKS, QUERIES
 
 __all__ = ["QUERIES", "CHECKS"]
