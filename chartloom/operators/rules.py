@@ -90,7 +90,7 @@ def rules_for(condition: str) -> RuleSet:
     return custom_rules(condition)
 
 
-def _bounded(pattern: str) -> str:
+def bounded(pattern: str) -> str:
     return rf"\b{pattern}\b"
 
 
@@ -103,13 +103,13 @@ def line_hit(line: Column, low: Column, rules: RuleSet) -> Column:
     kind = "struct<term:string,evidence_quote:string>"
     hits = [F.lit(None).cast(kind)]
     for pattern in rules.positive:
-        at, found = first_match(low, _bounded(pattern))
+        at, found = first_match(low, bounded(pattern))
         end = at + F.length(found)
         near = window(low, at - rules.before, (end if rules.from_match_end else at) + rules.after)
         term = found if rules.show_terms else F.lit(pattern)
         hits.append(
             F.when(
-                low.rlike(UNICODE + _bounded(pattern)) & ~matches_any(near, rules.negative),
+                low.rlike(UNICODE + bounded(pattern)) & ~matches_any(near, rules.negative),
                 F.struct(term.alias("term"), snippet(line, at, end).alias("evidence_quote")),
             )
         )
@@ -127,7 +127,7 @@ def note_hits(notes: DataFrame, rules: RuleSet, keys: tuple[str, ...], keep_empt
     def candidate(line: Column) -> Column:
         if not rules.positive:
             return F.lit(False)
-        return matches_any(F.lower(line), [_bounded(p) for p in rules.positive])
+        return matches_any(F.lower(line), [bounded(p) for p in rules.positive])
 
     lines = F.filter(F.split("note_text", "\n"), candidate)
     explode = F.posexplode_outer if keep_empty else F.posexplode
