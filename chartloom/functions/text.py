@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,11 +49,47 @@ def matches_any(text: Column, patterns: Sequence[str]) -> Column:
     return text.rlike(UNICODE + "|".join(f"(?:{p})" for p in patterns))
 
 
-def first_match(text: Column, pattern: str) -> tuple[Column, Column]:
-    """0-based code-point position and text of the first match."""
-    regex = UNICODE + pattern
-    before = F.length(F.split(text, regex, 2)[0])
-    return before, F.regexp_extract(text, regex, 0)
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def first_match(text: Column, pattern: str, use) -> Column:
+    """``use(start, end)`` of the first match, by code points; null without one.
+
+    One split gives what is before and after the match, so the text is searched
+    once. The pattern must not match the empty text.
+    """
+    def places(parts: Column) -> Column:
+        place = F.struct(
+            F.length(parts[0]).alias("start"), (F.length(text) - F.length(parts[1])).alias("end")
+        )
+        return F.when(F.size(parts) == 2, let(place, lambda p: use(p["start"], p["end"])))
+
+    return let(F.split(text, UNICODE + pattern, 2), places)
+
+
+def contains_any(text: Column, parts: Sequence[str]) -> Column:
+    """Plain substring tests, much cheaper than a pattern."""
+    found = F.lit(False)
+    for part in dict.fromkeys(parts):
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def needed_text(pattern: str) -> str:
+    """A piece of plain text that every match of the pattern contains.
+
+    Groups, escapes and optional characters are left out; what remains between
+    them must be in the match. Empty when nothing is certain.
+    """
+    bare = re.sub(r"\\.", " ", pattern)
+    while re.search(r"\([^()]*\)", bare):
+        bare = re.sub(r"\([^()]*\)[?*+]?", " ", bare)
+    if "|" in bare:
+        return ""
+    bare = re.sub(r"\[[^\]]*\][?*+]?|[a-z0-9]?[?*]|[a-z0-9]\{[^}]*\}", " ", bare)
+    return max(re.findall("[a-z0-9]+", bare), key=len, default="")
 
 
 def window(text: Column, start: Column, end: Column) -> Column:
@@ -112,19 +149,23 @@ def quote_grounded(quote: Column, chart: Column) -> Column:
 
     Repeated words of the quote count each time they occur.
     """
-    wanted = _unquote(quote)
-    whole = F.lower(squeeze(F.coalesce(chart, F.lit(""))))
-    words = F.filter(tokens(wanted), lambda word: F.length(word) >= 3)
-    known = F.array_distinct(tokens(whole))
-    found = F.size(F.filter(words, lambda word: F.array_contains(known, word)))
-    return (
-        F.when(F.coalesce(quote, F.lit("")) == "", False)
-        .when(F.coalesce(chart, F.lit("")) == "", False)
-        .when(F.length(wanted) < 4, False)
-        .when(F.contains(whole, wanted), True)
-        .when(F.size(words) == 0, False)
-        .otherwise(found / F.size(words) >= 0.75)
-    )
+    def partly(words: Column, known: Column) -> Column:
+        found = F.size(F.filter(words, lambda word: F.array_contains(known, word)))
+        return F.when(F.size(words) == 0, False).otherwise(found / F.size(words) >= 0.75)
+
+    def long_words(wanted: Column) -> Column:
+        return F.filter(tokens(wanted), lambda word: F.length(word) >= 3)
+
+    def test(wanted: Column, whole: Column) -> Column:
+        by_words = let(
+            F.struct(long_words(wanted).alias("words"), F.array_distinct(tokens(whole)).alias("known")),
+            lambda t: partly(t["words"], t["known"]),
+        )
+        return F.when(F.length(wanted) < 4, False).when(F.contains(whole, wanted), True).otherwise(by_words)
+
+    both = F.struct(_unquote(quote).alias("wanted"), F.lower(squeeze(chart)).alias("whole"))
+    blank = (F.coalesce(quote, F.lit("")) == "") | (F.coalesce(chart, F.lit("")) == "")
+    return F.when(blank, False).otherwise(let(both, lambda t: test(t["wanted"], t["whole"])))
 
 
 def quote_verbatim(quote: Column, chart: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
-from chartloom.functions.text import UNICODE, first_match, matches_any, once, snippet, strip, window
+from chartloom.functions.text import contains_any, first_match, matches_any, needed_text, once, snippet, strip, window
 from chartloom.operators.charts import FAR_FUTURE, clean_notes, clean_visits, first_notes
 from chartloom.schemas import EVIDENCE
 from chartloom.skew import first_n
@@ -101,22 +101,20 @@ def line_hit(line: Column, low: Column, rules: RuleSet) -> Column:
     the next pattern is tried.
     """
     kind = "struct<term:string,evidence_quote:string>"
-    hits = [F.lit(None).cast(kind)]
-    for pattern in rules.positive:
-        at, found = first_match(low, bounded(pattern))
-        end = at + F.length(found)
-        near = window(low, at - rules.before, (end if rules.from_match_end else at) + rules.after)
-        term = found if rules.show_terms else F.lit(pattern)
-        hits.append(
-            F.when(
-                low.rlike(UNICODE + bounded(pattern)) & ~matches_any(near, rules.negative),
-                F.struct(term.alias("term"), snippet(line, at, end).alias("evidence_quote")),
-            )
-        )
-    hit = F.coalesce(*hits)
-    for skipped in rules.skipped_lines:
-        hit = F.when(~F.contains(low, F.lit(skipped)), hit)
-    return hit
+
+    def try_pattern(pattern: str) -> Column:
+        def judge(start: Column, end: Column) -> Column:
+            near = window(low, start - rules.before, (end if rules.from_match_end else start) + rules.after)
+            term = F.substring(low, start + 1, end - start) if rules.show_terms else F.lit(pattern)
+            found = F.struct(term.alias("term"), snippet(line, start, end).alias("evidence_quote"))
+            return F.when(~matches_any(near, rules.negative), found)
+
+        found = first_match(low, bounded(pattern), judge)
+        plain = needed_text(pattern)
+        return F.when(F.contains(low, F.lit(plain)), found) if plain else found
+
+    hit = F.coalesce(F.lit(None).cast(kind), *(try_pattern(p) for p in rules.positive))
+    return F.when(~contains_any(low, rules.skipped_lines), hit) if rules.skipped_lines else hit
 
 
 def note_hits(notes: DataFrame, rules: RuleSet, keys: tuple[str, ...], keep_empty: bool = False) -> DataFrame:
@@ -124,10 +122,11 @@ def note_hits(notes: DataFrame, rules: RuleSet, keys: tuple[str, ...], keep_empt
 
     With ``keep_empty`` a note without evidence stays as one row with a null hit.
     """
+    # A plain-text test drops most lines; what it keeps is judged exactly.
+    plain = [needed_text(p) for p in rules.positive]
+
     def candidate(line: Column) -> Column:
-        if not rules.positive:
-            return F.lit(False)
-        return matches_any(F.lower(line), [bounded(p) for p in rules.positive])
+        return F.lit(True) if "" in plain else contains_any(F.lower(line), plain)
 
     lines = F.filter(F.split("note_text", "\n"), candidate)
     explode = F.posexplode_outer if keep_empty else F.posexplode

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
-from chartloom.functions.text import UNICODE, window
+from chartloom.functions.text import contains_any, first_match, window
 from chartloom.operators.charts import span_notes_to_omop, visits_of_span_notes
 from chartloom.operators.quality import clean_labels
 from chartloom.schemas import SPAN_NOTE, conform
@@ -88,29 +88,32 @@ def annotate(notes: DataFrame, triggers=fixed.TRIGGERS, false_triggers=fixed.FAL
     Each trigger is a column expression; a plain substring test goes before the
     regular expression, so most triggers cost one fast search per note.
     """
-    text, low = F.col("text"), F.lower("text")
-    rows = []
-    for trigger, concept, kind in triggers:
+    text, low = F.col("text"), F.col("low")
+
+    def label(trigger: str, concept: str, kind: str) -> Column:
         # Literal text between two places that are no letter or digit.
-        regex = UNICODE + r"(?<![\p{L}\p{N}])" + "\\Q" + trigger + "\\E" + r"(?![\p{L}\p{N}])"
-        start = F.length(F.split(low, regex, 2)[0])
-        end = start + len(trigger)
-        near = window(low, start - 24, end + 24)
-        denied = F.contains(near, F.lit("denies " + trigger)) | F.contains(near, F.lit("no " + trigger))
-        denied = denied | F.contains(near, F.lit("resolved"))
-        if trigger in false_triggers:
-            answers = [F.lit("no"), F.lit("-"), F.lit("-")]
-        elif trigger in negated_triggers:
-            answers = [F.lit("yes")] * 3
-        else:
-            answers = [F.lit("yes"), F.lit("yes"), F.when(denied, "yes").otherwise("no")]
-        row = F.struct(
-            window(text, start, end).alias("trigger_word"), F.lit(concept).alias("concept"),
-            F.lit(kind).alias("semtypes"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"),
-            *(a.alias(t) for a, t in zip(answers, TASKS)),
-        )
-        rows.append(F.when(F.contains(low, F.lit(trigger)) & low.rlike(regex), row))
-    return notes.select("row_id", F.explode(F.array_compact(F.array(*rows))).alias("label")).select(
+        regex = r"(?<![\p{L}\p{N}])" + "\\Q" + trigger + "\\E" + r"(?![\p{L}\p{N}])"
+
+        def row(start: Column, end: Column) -> Column:
+            near = window(low, start - 24, end + 24)
+            denied = contains_any(near, ("denies " + trigger, "no " + trigger, "resolved"))
+            if trigger in false_triggers:
+                answers = [F.lit("no"), F.lit("-"), F.lit("-")]
+            elif trigger in negated_triggers:
+                answers = [F.lit("yes")] * 3
+            else:
+                answers = [F.lit("yes"), F.lit("yes"), F.when(denied, "yes").otherwise("no")]
+            return F.struct(
+                window(text, start, end).alias("trigger_word"), F.lit(concept).alias("concept"),
+                F.lit(kind).alias("semtypes"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"),
+                *(a.alias(t) for a, t in zip(answers, TASKS)),
+            )
+
+        return F.when(F.contains(low, F.lit(trigger)), first_match(low, regex, row))
+
+    rows = F.array_compact(F.array(*(label(*t) for t in triggers)))
+    lowered = notes.select("row_id", "text", F.lower("text").alias("low"))
+    return lowered.select("row_id", F.explode(rows).alias("label")).select(
         "row_id", *(f"label.{c}" for c in fixed.SPAN_LABEL_COLUMNS[1:])
     )
 
