@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chartloom import fixed_values as fixed
 from chartloom.functions import values
 from chartloom.functions.text import is_blank, scrub_dates, strip
-from chartloom.schemas import PANEL_NOTE, SPAN_NOTE, conform, id_column, lower_names, time_column, whole_number
+from chartloom.schemas import PANEL_NOTE, SPAN_NOTE, conform, id_column, lower_names, time_column, whole_number, with_missing
 from chartloom.skew import first_n
 
 FAR_FUTURE = "9999-12-31 00:00:00"
@@ -197,21 +197,25 @@ def panel(title: Column) -> Column:
     return kind
 
 
+def note_moment(notes: DataFrame) -> Column:
+    """Time of a note, else its date."""
+    return F.coalesce(time_column(notes, "note_datetime"), time_column(notes, "note_date"))
+
+
 def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = fixed.MAX_CHARS_PER_PANEL_NOTE) -> DataFrame:
     """Notes with panel, scrubbed text and header, per visit key ``vid``.
 
     ``anchors`` has one row per visit: ``vid`` and the reference time ``t0_time``.
     A note without a numeric id is numbered by its place in the visit.
     """
-    notes = conform(notes, PANEL_NOTE)
+    notes = with_missing(notes, PANEL_NOTE)
     title = F.coalesce(
-        F.when(F.col("note_title") != "", F.col("note_title")), F.col("note_type_concept_id"), F.lit("Clinical Note")
+        F.when(F.col("note_title") != "", F.col("note_title")), F.col("note_type_concept_id").cast("string"), F.lit("Clinical Note")
     )
-    moment = F.coalesce(F.when(F.col("note_datetime") != "", F.col("note_datetime")), F.col("note_date"))
     rows = notes.select(
         values.visit_key(F.col("visit_occurrence_id")).alias("vid"),
-        whole_number(F.col("note_id")).alias("note_id"),
-        values.lenient_timestamp(moment).alias("note_time"),
+        id_column(notes, "note_id").alias("note_id"),
+        note_moment(notes).alias("note_time"),
         strip(title).alias("title"),
         strip(F.col("note_text")).alias("raw_text"),
     ).filter(F.col("vid").isNotNull() & ~is_blank(F.col("raw_text")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.operators import abstraction, charts, facts
-from chartloom.schemas import PANEL_NOTE, conform
+from chartloom.schemas import PANEL_NOTE, with_missing
 from chartloom.functions import values
 from chartloom.session import reliable_checkpoint
 
@@ -22,10 +22,9 @@ def abstract_cohort(
     signals are narrow (a row per visit, a row per note) and read several times,
     so they are checkpointed; texts and measurements are read once.
     """
-    typed = conform(notes, PANEL_NOTE)
-    moment = F.coalesce(F.nullif("note_datetime", F.lit("")), "note_date")
+    typed = with_missing(notes, PANEL_NOTE)
     note_times = typed.select(
-        values.visit_key(F.col("visit_occurrence_id")).alias("vid"), values.lenient_timestamp(moment).alias("moment"))
+        values.visit_key(F.col("visit_occurrence_id")).alias("vid"), charts.note_moment(typed).alias("moment"))
     tables = facts.chart_tables(visits, measurements, drugs, cultures, note_times, institution)
     measured = tables.measurements.select("vid").union(tables.drugs.select("vid")).union(tables.cultures.select("vid")).distinct()
     fact_rows = facts.structured_facts(tables.anchors, tables.measurements, tables.drugs, tables.cultures, strict_rise)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.functions.text import once
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -59,6 +61,8 @@ def clinical_sql(column: str = "text") -> str:
 def notes(spark: SparkSession, folder: str, clinical: bool = False) -> DataFrame:
     """documents as NOTE: five notes per visit."""
     docs = spread_text(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    if clinical:
+        docs = once(docs.withColumnRenamed("text", "prose"), "text", _clinical(F.col("prose")))
     visit = F.floor(F.col("doc_id") / 5)
     return docs.select(
         F.col("doc_id").alias("note_id"),
@@ -66,7 +70,7 @@ def notes(spark: SparkSession, folder: str, clinical: bool = False) -> DataFrame
         visit.alias("visit_occurrence_id"),
         hours_after("2026-01-01", F.col("doc_id") * 37 % 240).alias("note_datetime"),
         F.col("source").alias("note_title"),
-        (_clinical(F.col("text")) if clinical else F.col("text")).alias("note_text"),
+        F.col("text").alias("note_text"),
     )
 
 
@@ -94,9 +98,8 @@ def span_notes(spark: SparkSession, folder: str) -> DataFrame:
     """documents in the span dialect, with clinical phrases."""
     docs = spread_text(table(spark, folder, "documents").select("doc_id", "text"))
     visit = F.floor(F.col("doc_id") / 5)
-    return docs.select(
-        F.col("doc_id").alias("row_id"), visit.alias("hadm_id"), (visit % 97).alias("subject_id"),
-        _clinical(F.col("text")).alias("text"),
+    return once(docs, "note", _clinical(F.col("text"))).select(
+        F.col("doc_id").alias("row_id"), visit.alias("hadm_id"), (visit % 97).alias("subject_id"), F.col("note").alias("text"),
     )
 
 

@@ -112,6 +112,22 @@ def conform(df: DataFrame, schema: T.StructType, keep_extra: bool = False) -> Da
     return df.select(*columns)
 
 
+def with_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lower-case names and missing columns as nulls; types stay as they are."""
+    df = lower_names(df)
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in df.columns}
+    return df.withColumns(missing) if missing else df
+
+
+def number_column(df: DataFrame, name: str):
+    """A number, null when absent, not a number or NaN."""
+    kind = dict(df.dtypes).get(name)
+    if kind is None:
+        return F.lit(None).cast("double")
+    value = F.col(name).try_cast("double") if kind != "string" else F.trim(F.col(name)).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def id_column(df: DataFrame, name: str):
     """An id column as bigint, null when absent or not a number."""
     kind = dict(df.dtypes).get(name)
