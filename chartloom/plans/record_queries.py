@@ -26,7 +26,7 @@ SCORES = ('"94%"', "88", "0.4", "null")
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     """documents as raw model answers: fenced, wrapped in prose, nested, cut off, plain."""
-    docs = views.spread_text(views.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"))
     words = F.regexp_replace("text", r"[^\p{L}\p{N}., ]", " ")
     comma = F.when(F.col("doc_id") % 2 == 0, ",").otherwise("")
     body = F.concat(
@@ -97,7 +97,7 @@ def hybrid_arbitrate(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN why IS NULL THEN 'hybrid:m:required_llm' ELSE 'hybrid:llm_failed(' || why || ')' END AS inference_backend FROM r""")
 def required_model(spark: SparkSession, folder: str) -> DataFrame:
     """The model decides; only verbatim quotes count; failures never fall back."""
-    docs = views.spread_text(views.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"))
     d = F.col("doc_id")
     words = F.regexp_replace("text", r"[^\p{L}\p{N}., ]", " ")
     quote = F.when(d % 3 == 0, "never in the chart").otherwise(F.trim(F.substring(words, 1, 40)))
@@ -120,7 +120,7 @@ def required_model(spark: SparkSession, folder: str) -> DataFrame:
     WHEN len(list_filter(words, lambda x: list_contains(known, x))) / len(words) >= 0.75 THEN 1 ELSE 0 END AS quotes_kept FROM t""")
 def ground_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Adjudications keep only the quotes their chart holds."""
-    docs = views.spread_text(views.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"))
     d = F.col("doc_id")
     quote = F.when(d % 2 == 0, F.substring("text", 6, 40)).otherwise("zq xv never seen words")
     item = F.struct(d.alias("note_id"), F.lit("").alias("note_date"), quote.alias("evidence_quote"), F.lit("").alias("interpretation"))

@@ -122,7 +122,7 @@ def custom_phenotype(spark: SparkSession, folder: str) -> DataFrame:
   FROM t""")
 def evidence_grounding(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes taken from the document, altered ones, and benchmark passages."""
-    docs = views.spread_text(views.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"))
     items = views.table(spark, folder, "benchmark").select("item_id", F.col("text").alias("passage"))
     rows = docs.withColumn("item_id", F.col("doc_id") % F.lit(items.count())).join(items, "item_id")
     quote = (
@@ -144,7 +144,7 @@ _DATED = ("replace(replace(replace(replace(text, ' the ', ' 03/14/2024 '), ' le
    '(?i)\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?\s+(?:[12]?\d|3[01])(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?\b',
    '[DATE REDACTED]', 'g') AS s FROM documents)""")
 def date_scrub(spark: SparkSession, folder: str) -> DataFrame:
-    docs = views.spread_text(views.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"))
     dated = F.col("text")
     for word, date in ((" the ", " 03/14/2024 "), (" le ", " March 5th, 2024 "), (" of ", " 2024-03-14 "), (" is ", " sep. 30 ")):
         dated = F.replace(dated, F.lit(word), F.lit(date))
@@ -157,7 +157,7 @@ def date_scrub(spark: SparkSession, folder: str) -> DataFrame:
    regexp_replace(html, '</?[A-Za-z][^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
    '&nbsp;', ' '), '&amp;', '&'), '[\s\x{00a0}]+', ' ', 'g'), '^[\s]+|[\s]+$', '', 'g')) AS text_md5 FROM pages""")
 def plain_text(spark: SparkSession, folder: str) -> DataFrame:
-    pages = views.spread_text(views.table(spark, folder, "pages").select("page_id", "html"))
+    pages = views.spread(views.table(spark, folder, "pages").select("page_id", "html"))
     return pages.select("page_id", F.md5(text.plain_text(F.col("html"))).alias("text_md5"))
 
 
@@ -288,7 +288,7 @@ def task_prf(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def highlight_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Quote and keyword spans of every document; checked against brute force in the tests."""
-    docs = views.spread_text(views.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"))
     quotes = F.array(F.upper(F.substring("text", 21, 30)), F.regexp_replace(F.substring("text", 61, 40), " ", "  "))
     marked = docs.select("doc_id", F.explode(text.highlight_spans(F.col("text"), quotes, F.lit("the"))).alias("s"))
     return marked.select("doc_id", "s.start", "s.end", "s.kind")

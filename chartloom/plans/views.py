@@ -16,8 +16,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread_text(df: DataFrame) -> DataFrame:
-    """Text work is heavy per row: use all cores when the table is only a few files."""
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when the table is only a few files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
@@ -60,7 +60,7 @@ def clinical_sql(column: str = "text") -> str:
 
 def notes(spark: SparkSession, folder: str, clinical: bool = False) -> DataFrame:
     """documents as NOTE: five notes per visit."""
-    docs = spread_text(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
     if clinical:
         docs = once(docs.withColumnRenamed("text", "prose"), "text", _clinical(F.col("prose")))
     visit = F.floor(F.col("doc_id") / 5)
@@ -96,7 +96,7 @@ NOTE_VISITS_SQL = """SELECT doc_id AS visit_occurrence_id, doc_id % 97 AS person
 
 def span_notes(spark: SparkSession, folder: str) -> DataFrame:
     """documents in the span dialect, with clinical phrases."""
-    docs = spread_text(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     visit = F.floor(F.col("doc_id") / 5)
     return once(docs, "note", _clinical(F.col("text"))).select(
         F.col("doc_id").alias("row_id"), visit.alias("hadm_id"), (visit % 97).alias("subject_id"), F.col("note").alias("text"),
@@ -120,7 +120,8 @@ def measurements(spark: SparkSession, folder: str) -> DataFrame:
     name = F.lit(None).cast("string")
     for kind, (even, odd) in EVENT_NAME.items():
         name = F.when(F.col("event_type") == kind, F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)).otherwise(name)
-    return table(spark, folder, "events").select(
+    events = spread(table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+    return events.select(
         F.col("user_id").cast("string").alias("visit_occurrence_id"),
         F.col("event_id").cast("string").alias("measurement_id"),
         F.col("event_id").alias("row_order"),
@@ -162,12 +163,16 @@ def user_visits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *columns))
+
+
 def order_drugs(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as DRUG EXPOSURE in January, one visit per order."""
     start = hours_after("2024-01-01", (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 720)
-    return table(spark, folder, "lineitem").select(
+    return _lines(spark, folder, "l_partkey", "l_quantity", "l_returnflag", "l_tax").select(
         F.col("l_orderkey").cast("string").alias("visit_occurrence_id"),
-        F.format_string("%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey").alias("drug_exposure_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("drug_exposure_id"),
         start.alias("drug_start_datetime"),
         (start + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))).alias("drug_end_datetime"),
         F.when(F.col("l_returnflag") == "R", "Vancomycin").when(F.col("l_returnflag") == "A", "Cefepime")
@@ -189,7 +194,7 @@ def part_cultures(spark: SparkSession, folder: str) -> DataFrame:
     organism = F.element_at(
         F.array(*(F.lit(o) for o in ORGANISMS)), (F.col("l_partkey") % len(ORGANISMS) + 1).cast("int")
     )
-    return table(spark, folder, "lineitem").select(
+    return _lines(spark, folder, "l_partkey", "l_linestatus", "l_returnflag").select(
         F.col("l_orderkey").cast("string").alias("visit_occurrence_id"),
         F.col("l_partkey").cast("string").alias("culture_id"),
         (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("row_order"),
@@ -210,12 +215,12 @@ CULTURES_SQL = """SELECT CAST(l_orderkey AS VARCHAR) AS vid, l_partkey * 10 + l_
 
 def supplier_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as treatment intervals of a supplier, over several years."""
-    return table(spark, folder, "lineitem").select(
+    return _lines(spark, folder, "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag").select(
         F.col("l_suppkey").alias("vid"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("start_time"),
         (F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))).alias("end_time"),
         (F.col("l_returnflag") == "R").alias("is_trough"),
-        F.format_string("%d-%d", "l_orderkey", "l_linenumber").alias("ref"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ref"),
     )
 
 
@@ -226,7 +231,8 @@ INTERVALS_SQL = """SELECT l_suppkey AS vid, l_shipdate AS s, l_shipdate + to_hou
 # ------------------------------------------------------------------ survey rows
 def human_rows(spark: SparkSession, folder: str) -> DataFrame:
     """orders as survey rows filled in by a person."""
-    return _survey(table(spark, folder, "orders").select(
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    return _survey(orders.select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"),
         F.floor(F.col("o_totalprice") / 10000).alias("b"), F.lit(0).cast("bigint").alias("shift"),
     ))
