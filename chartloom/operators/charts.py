@@ -11,7 +11,7 @@ from chartloom import fixed_values as fixed
 from chartloom.functions import values
 from chartloom.functions.text import is_blank, scrub_dates, strip
 from chartloom.schemas import PANEL_NOTE, SPAN_NOTE, conform, id_column, lower_names, time_column, whole_number, with_missing
-from chartloom.skew import first_n
+from chartloom.skew import first_n, join_spread, number_rows
 
 FAR_FUTURE = "9999-12-31 00:00:00"
 
@@ -221,7 +221,8 @@ def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = fi
     ).filter(F.col("vid").isNotNull() & ~is_blank(F.col("raw_text")))
     rows = _number_missing_ids(rows)
     cut = F.substring("raw_text", 1, max_chars) if max_chars is not None else F.col("raw_text")
-    rows = rows.join(anchors.select("vid", "t0_time"), "vid").select(
+    # The text of a visit is spread over tasks by note.
+    rows = join_spread(rows, anchors.select("vid", "t0_time"), ["vid"], F.col("note_id")).select(
         "vid", "note_id", "note_time", "title", panel(F.col("title")).alias("panel"),
         scrub_dates(cut).alias("note_text"),
         values.offset_label(F.col("note_time"), F.col("t0_time")).alias("note_when"),
@@ -234,12 +235,15 @@ def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = fi
 
 
 def _number_missing_ids(rows: DataFrame) -> DataFrame:
-    """Ids for notes without one: after the highest id-less place of the visit."""
-    from pyspark.sql import Window
-
+    """Notes without an id are numbered in time order within their visit."""
     nameless = F.col("note_id").isNull()
-    place = F.row_number().over(Window.partitionBy("vid", nameless).orderBy("note_time", "title", "raw_text"))
-    numbered = rows.filter(nameless).withColumn("note_id", place.cast("bigint"))
+    # Undated notes come last, in the order of a hash of their text.
+    undated = F.lit(10_000_000) + F.pmod(F.xxhash64("raw_text"), F.lit(1000))
+    chunk = F.coalesce(F.unix_date(F.to_date("note_time")).cast("bigint"), undated)
+    numbered = number_rows(
+        rows.filter(nameless).drop("note_id"), [F.col("note_time"), F.col("title"), F.col("raw_text")], chunk, "note_id",
+        keys=["vid"],
+    )
     return rows.filter(~nameless).unionByName(numbered)
 
 
@@ -249,7 +253,7 @@ def structured_lines(measurements: DataFrame, cultures: DataFrame, drugs: DataFr
 
     def lines(df: DataFrame, section: str, place: int, moment: str, text: Column) -> DataFrame:
         return (
-            df.join(anchor, "vid")
+            join_spread(df, anchor, ["vid"], F.col(moment))
             .select("vid", F.lit(place).alias("section_order"), F.lit(section).alias("section"),
                     F.col(moment).alias("line_time"), text.alias("line"))
         )
