@@ -1,7 +1,6 @@
 """Golden values of the structured facts."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from chartloom.operators import facts
 
