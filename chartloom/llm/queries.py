@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from chartloom.llm import poly_dedup, simhash_cover
+from chartloom.llm import decontaminate, piece_codec, poly_dedup, separator_scan, simhash_cover, token_files
 
 QUERIES = {
+    "op2_separator_scan": separator_scan.op2_separator_scan,
     "op3_simhash_cover": simhash_cover.op3_simhash_cover,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_poly_dedup": poly_dedup.op7_poly_dedup,
+    "op9_piece_codec": piece_codec.op9_piece_codec,
 }
-CHECKS = {"op7_poly_dedup": poly_dedup.OP7_SQL}
+CHECKS = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_poly_dedup": poly_dedup.OP7_SQL}
