@@ -166,7 +166,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END, le
 
     texts = texts_of(docs).withColumn("mark", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ordered = texts.repartitionByRange("doc_id", "mark", "row").sortWithinPartitions("doc_id", "mark", "row")
-    return stored(ordered.select("doc_id", "text").mapInArrow(run, "place int, file string, docs long, tokens long"), folder, "manifest")
+    return stored(ordered.select("doc_id", "text").mapInArrow(run, "place long, file string, docs long, tokens long"), folder, "manifest")
 
 
 def open_file(url: str) -> pa.ipc.RecordBatchFileReader:
