@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontaminate, piece_codec, poly_dedup, separator_scan, simhash_cover, token_files
+from chartloom.llm import (
+    decontaminate, factor_quality, html_lstm, piece_codec, poly_dedup, sentence_spans, separator_scan, simhash_cover, token_files,
+)
 
 QUERIES = {
     "op2_separator_scan": separator_scan.op2_separator_scan,
     "op3_simhash_cover": simhash_cover.op3_simhash_cover,
+    "op4_html_lstm": html_lstm.op4_html_lstm,
     "op5_token_files": token_files.op5_token_files,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_poly_dedup": poly_dedup.op7_poly_dedup,
+    "op8_factor_quality": factor_quality.op8_factor_quality,
     "op9_piece_codec": piece_codec.op9_piece_codec,
+    "op10_sentence_spans": sentence_spans.op10_sentence_spans,
 }
 CHECKS = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_poly_dedup": poly_dedup.OP7_SQL}
