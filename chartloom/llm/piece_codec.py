@@ -3,9 +3,10 @@
 A text becomes symbols of one character each. An agenda of adjacent pairs,
 ordered by the score of the piece they form and then from the left, is worked
 off until no pair forms a piece; characters that are no piece fall back to
-bytes. Pieces never hold a space mark behind another character (checked when
-the model is read), so a text is cut before each run of space marks and each
-segment is encoded once per batch and remembered up to a fixed number. Short
+bytes. Pieces never hold a space mark behind another character, and no line end
+(both checked when the model is read), so a text is cut before each run of
+space marks and each line end, and each segment is encoded once per batch and
+remembered up to a fixed number. Short
 segments share one agenda in numpy, which takes the best pair of every segment
 in each step; long ones have a heap. All new segments of an Arrow batch are
 checked against the sentencepiece library, and a difference stops the job.
@@ -31,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from chartloom.llm.shared import batches_of, texts_of
 
 SPACE = "▁"
-#: Remembered segments of one Python worker.
-REMEMBERED = 250_000
+#: Remembered segments of one Python worker; as many more that were in use before are kept as well.
+REMEMBERED = 300_000
+KIND = np.dtype("<i4")
 #: Characters of a segment up to which the shared agenda is used.
 SHORT = 48
 NONE = np.int64(1) << 40
@@ -48,6 +50,8 @@ class Pieces:
         for piece in plain:
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError("a piece holds a space mark behind another character")
+            if "\n" in piece:
+                raise ValueError("a piece holds a line end")
         self.size = size
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.symbol = np.arange(0x110000, dtype=np.int64) + size  # a character that is no piece
@@ -67,19 +71,39 @@ class Pieces:
         scores = np.array([sp.get_score(i) for i in range(size)])
         rank = np.unique(-scores, return_inverse=True)[1]  # higher score, lower rank
         self.forms = {k: (int(rank[i]), i) for k, i in forms.items()}
-        self.pairs = np.array(sorted(forms), np.int64)
-        self.made = np.array([forms[int(k)] for k in self.pairs], np.int64)
+        # Symbols that are in some pair get small numbers, so that a pair fits 32 bits; number 0 is in none.
+        members = sorted({m for k in forms for m in divmod(k, int(self.width))})
+        self.number = np.zeros(size + 0x110000, np.int32)
+        self.number[members] = np.arange(1, len(members) + 1)
+        self.many = len(members) + 1
+        if self.many**2 >= 1 << 31:
+            raise ValueError("too many pieces")
+        keys = np.array(sorted(forms), np.int64)
+        small = self.number[keys // self.width] * np.int32(self.many) + self.number[keys % self.width]
+        order = np.argsort(small)
+        self.pairs = small[order]
+        self.made = np.array([forms[int(k)] for k in keys[order]], np.int64)
         self.rank = np.append(rank[self.made].astype(np.int64), NONE)
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.digits: dict[str, str] = {}
+        self.digits = [str(i) for i in range(size)]
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def segments(self, text: str) -> list[str]:
-        """The text cut before each run of spaces; every segment is without its first space mark."""
+        """The text cut before each run of spaces and each line end.
+
+        A segment that begins with a space mark is given without its first one, so it never begins with a line end.
+        """
         if not text:
             return []
         if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
-        return [s[1:] for s in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+            return text.replace("\n", " \n").split(" ")
+        cut = re.findall(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*", SPACE + text.replace(" ", SPACE))
+        return [s.removeprefix(SPACE) for s in cut]
+
+    @staticmethod
+    def marked(segment: str) -> str:
+        """The segment with its space mark."""
+        return segment if segment.startswith("\n") else SPACE + segment
 
     def spelled(self, symbols: list[int]) -> tuple[int, ...]:
         if max(symbols, default=0) < self.size:
@@ -88,7 +112,7 @@ class Pieces:
 
     def agenda(self, segment: str) -> tuple[int, ...]:
         """One segment, with a heap of pairs by rank and place."""
-        symbols = [int(self.symbol[ord(c)]) for c in SPACE + segment]
+        symbols = [int(self.symbol[ord(c)]) for c in self.marked(segment)]
         after = [*range(1, len(symbols)), -1]
         before = [-1, *range(len(symbols) - 1)]
         width, heap = int(self.width), []
@@ -113,15 +137,16 @@ class Pieces:
 
     def looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of pairs in the table; the last place stands for none."""
-        key = left * self.width + right
+        key = self.number[left] * np.int32(self.many) + self.number[right]
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), at, len(self.pairs))
 
-    def shared_agenda(self, segments: list[str]) -> list[tuple[int, ...]]:
+    def shared_agenda(self, segments: list[str]) -> list[bytes]:
         """Many segments of similar length at once; each step merges the best pair of each."""
-        lengths = np.array([len(s) + 1 for s in segments])
+        whole = [self.marked(s) for s in segments]
+        lengths = np.array([len(s) for s in whole])
         symbols = np.full((len(segments), int(lengths.max()) + 1), -1, np.int64)
-        codes = np.frombuffer("".join(SPACE + s for s in segments).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)
         symbols[np.arange(symbols.shape[1])[None, :] < lengths[:, None]] = self.symbol[codes]
         place = self.looked_up(symbols[:, :-1], symbols[:, 1:])
         none = len(self.pairs)
@@ -147,58 +172,66 @@ class Pieces:
             inner = best > 0
             ways[line[inner], before[inner]] = self.looked_up(rows[line[inner], before[inner]], rows[line[inner], best[inner]])
             symbols[active], place[active] = rows, ways
-        return [self.spelled([s for s in row if s >= 0]) for row in symbols.tolist()]
+        size = (symbols >= 0).sum(1)
+        flat = symbols[symbols >= 0]
+        data, stops = flat.astype(KIND).tobytes(), (np.cumsum(size) * KIND.itemsize).tolist()
+        out = [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        for k in np.flatnonzero((symbols >= self.size).any(1)).tolist():
+            out[k] = np.array(self.spelled(symbols[k][symbols[k] >= 0].tolist()), KIND).tobytes()
+        return out
 
     def learn(self, segments: set[str]) -> None:
         """Encode new segments, check them against the library, and remember them."""
-        if len(self.ids) + len(segments) > REMEMBERED:
-            self.ids.clear()
-            self.digits.clear()
-        found: dict[str, tuple[int, ...]] = {}
+        found: dict[str, bytes] = {}
         short = sorted((s for s in segments if len(s) < SHORT), key=len)
         for start in range(0, len(short), 4096):
             part = short[start : start + 4096]
             found.update(zip(part, self.shared_agenda(part), strict=True))
         for s in segments:
             if len(s) >= SHORT:
-                found[s] = self.agenda(s)
+                found[s] = np.array(self.agenda(s), KIND).tobytes()
         names = [s for s in found if s]
-        for s, theirs in zip(names, self.library.encode(names, num_threads=1), strict=True):
-            if list(found[s]) != theirs:
-                raise ValueError("a segment is encoded differently by the sentencepiece library")
+        # The library puts a space mark before every text; before a line end it is a token of its own.
+        theirs = self.library.encode(names, num_threads=1)
+        theirs = [t[1:] if s[0] == "\n" else t for s, t in zip(names, theirs, strict=True)]
+        same = b"".join(map(found.__getitem__, names)) == np.fromiter(chain.from_iterable(theirs), KIND).tobytes()
+        if not same or any(len(found[s]) != KIND.itemsize * len(t) for s, t in zip(names, theirs, strict=True)):
+            raise ValueError("a segment is encoded differently by the sentencepiece library")
         self.ids.update(found)
-        self.digits.update((s, ",".join(map(str, v))) for s, v in found.items())
 
-    def encode(self, texts: list[str]) -> list[list[str]]:
-        """The segments of each text, all of them known afterwards."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [self.segments(t) for t in texts]
         every: set[str] = set()
         for c in cut:
             every.update(c)
         new = every.difference(self.ids)
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.older, self.ids = self.ids, {}
+            new = every
         if new:
-            if len(self.ids) + len(new) > REMEMBERED:
-                new = every
-            self.learn(new)
-        return cut
+            again = new.intersection(self.older)
+            self.ids.update((s, self.older[s]) for s in again)
+            if len(again) < len(new):
+                self.learn(new - again)
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, c)), KIND) for c in cut]
 
 
-def _coded(path: str):
+def _coded(path: str, listed: bool, texts: bool):
     state: dict[str, Pieces] = {}
 
     def rows(batch: pa.RecordBatch) -> dict:
         pieces = state.get("pieces")
         if pieces is None:
             pieces = state["pieces"] = Pieces(path)
-        cut = pieces.encode(batch.column("text").to_pylist())
-        ids = [list(chain.from_iterable(map(pieces.ids.__getitem__, c))) for c in cut]
+        ids = [i.tolist() for i in pieces.encode(batch.column("text").to_pylist())]
         back = pieces.library.decode(ids, num_threads=1) if ids else []
         return {
             "doc_id": batch.column("doc_id"),
-            "ids": pa.array(ids, pa.list_(pa.int32())),
+            **({"ids": pa.array(ids, pa.list_(pa.int32()))} if listed else {}),
             "n_tokens": [len(i) for i in ids],
-            "ids_sha256": [hashlib.sha256(",".join(map(pieces.digits.__getitem__, c)).encode()).hexdigest() for c in cut],
-            "decoded": back,
+            "ids_sha256": [hashlib.sha256(",".join(map(pieces.digits.__getitem__, i)).encode()).hexdigest() for i in ids],
+            **({"decoded": back} if texts else {}),
             "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
         }
 
@@ -208,7 +241,8 @@ def _coded(path: str):
 def encode(docs: DataFrame, model: str, *columns: str) -> DataFrame:
     """The named columns of: doc_id, ids, n_tokens, ids_sha256, decoded, decoded_sha256."""
     kinds = {"doc_id": "long", "ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
-    return batches_of(texts_of(docs), _coded(model), ", ".join(f"{c} {kinds[c]}" for c in columns or kinds), 4 << 20)
+    names = columns or tuple(kinds)
+    return batches_of(texts_of(docs), _coded(model, "ids" in names, "decoded" in names), ", ".join(f"{c} {kinds[c]}" for c in names), 4 << 20)
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
