@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from chartloom.llm import (
-    decontaminate, factor_quality, html_lstm, piece_codec, poly_dedup, sentence_spans, separator_scan, simhash_cover, token_files,
+    decontaminate, factor_quality, html_lstm, piece_codec, poly_dedup, secret_forest, sentence_spans, separator_scan, simhash_cover,
+    token_files,
 )
 
 QUERIES = {
+    "op1_secret_forest": secret_forest.op1_secret_forest,
     "op2_separator_scan": separator_scan.op2_separator_scan,
     "op3_simhash_cover": simhash_cover.op3_simhash_cover,
     "op4_html_lstm": html_lstm.op4_html_lstm,
