@@ -129,7 +129,8 @@ def plain_text(text: Column, gap: str = " ") -> Column:
     return strip(squeeze(bare))
 
 
-def _unquote(quote: Column) -> Column:
+def unquoted(quote: Column) -> Column:
+    """A quote as it is looked up: without outer dots and quotation marks, lower case, one space between words."""
     bare = strip(F.coalesce(quote, F.lit("")))
     for char in (r"\.", '"', "'"):
         bare = F.regexp_replace(bare, f"^{char}+|{char}+$", "")
@@ -163,7 +164,7 @@ def quote_grounded(quote: Column, chart: Column) -> Column:
         )
         return F.when(F.length(wanted) < 4, False).when(F.contains(whole, wanted), True).otherwise(by_words)
 
-    both = F.struct(_unquote(quote).alias("wanted"), F.lower(squeeze(chart)).alias("whole"))
+    both = F.struct(unquoted(quote).alias("wanted"), F.lower(squeeze(chart)).alias("whole"))
     blank = (F.coalesce(quote, F.lit("")) == "") | (F.coalesce(chart, F.lit("")) == "")
     return F.when(blank, False).otherwise(let(both, lambda t: test(t["wanted"], t["whole"])))
 

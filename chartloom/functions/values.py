@@ -121,19 +121,38 @@ def is_present(status: Column) -> Column:
     return status.isin(fixed.POSITIVE, fixed.PROBABLE)
 
 
+# Date shapes and the ISO form that the cast reads; a two-digit year from 69 on is of the last century.
+DATE_FORMS = (
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/([0-5]\d|6[0-8])(?!\d)", "20$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{2})(?!\d)", "19$3-$1-$2"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
+    (r"(?<=^\d{4}-\d{2}-\d{2}[T ])(\d{2})(\d{2})(\d{2})$", "$1:$2:$3"),
+    (r"(?<=^\d{4}-\d{2}-\d{2}[T ])(\d{2})(\d{2})$", "$1:$2"),
+)
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+HALF = r"(?i)\s*([ap])\.?m\.?$"
+
+
 def lenient_timestamp(value: Column) -> Column:
     """A timestamp without zone, or null. The offset of a zoned text is dropped.
 
-    Slashed and packed dates are rewritten to the form the cast reads.
+    Read are ISO, slashed (month first, years of two or four digits) and packed
+    dates, month names before or after the day, and clock times of 12 or 24 hours.
     """
     text = F.trim(value.cast("string"))
-    for shape, iso in (
-        (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$1-$2"),
-        (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3"),
-        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-    ):
+    named = text
+    for number, name in enumerate(MONTHS, 1):
+        named = F.regexp_replace(named, rf"(?i)^{name}[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?!\d)", f"$2-{number:02d}-$1")
+        named = F.regexp_replace(named, rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{name}[a-z]*\.?[\s,-]+(\d{{4}})(?!\d)", f"$2-{number:02d}-$1")
+    text = F.when(text.rlike("(?i)[a-z]{3}"), named).otherwise(text)
+    for shape, iso in DATE_FORMS:
         text = F.regexp_replace(text, shape, iso)
-    return text.try_cast("timestamp_ntz")
+    half = F.lower(F.regexp_extract(text, HALF, 1))
+    moment = F.regexp_replace(text, HALF, "").try_cast("timestamp_ntz")
+    hours = F.when((half == "p") & (F.hour(moment) < 12), 12).when((half == "a") & (F.hour(moment) == 12), -12).otherwise(0)
+    return F.when((half == "") | F.hour(moment).between(1, 12), moment + F.make_dt_interval(F.lit(0), hours))
 
 
 def has_clock_time(value: Column) -> Column:

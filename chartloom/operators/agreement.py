@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chartloom import fixed_values as fixed
 from chartloom.functions import values
 from chartloom.functions.text import strip
+from chartloom.operators import quality
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -134,23 +135,32 @@ def gate_figures(cells: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ survey rows of two reviewers
-def _filled_everywhere(rows: DataFrame, column: str) -> bool:
-    """Is the column filled on every row? (True for no rows.) One small aggregate."""
-    if column not in rows.columns:
-        return rows.isEmpty()
-    blank = F.coalesce(strip(F.col(column).cast("string")), F.lit("")) == ""
-    return not rows.agg(F.max(blank)).first()[0]
-
-
 def join_keys(human: DataFrame, model: DataFrame) -> list[str]:
-    """``vid``, plus institution and record where both sides fill them throughout."""
+    """``vid``, plus institution and record where both sides fill them throughout. One small aggregate per side."""
     optional = ["institution_v3", "record_id"]
-    return [c for c in optional if all(_filled_everywhere(side, c) for side in (human, model))] + ["vid"]
 
+    def filled(rows: DataFrame) -> set[str]:
+        def gaps(column: str) -> Column:
+            if column not in rows.columns:
+                return F.count(F.lit(1)).alias(column)
+            return F.count_if(F.coalesce(strip(F.col(column).cast("string")), F.lit("")) == "").alias(column)
+
+        counts = rows.agg(*(gaps(c) for c in optional)).first()
+        return {c for c in optional if not counts[c]}
+
+    both = filled(human) & filled(model)
+    return [c for c in optional if c in both] + ["vid"]
 
-def pair_rows(human: DataFrame, model: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Full outer join of both sides: columns ``h_*``, ``l_*`` and ``side``."""
+
+def pair_rows(human: DataFrame, model: DataFrame, keys: Sequence[str] | None = None, strict: bool = True) -> DataFrame:
+    """Full outer join of both sides: columns ``h_*``, ``l_*`` and ``side``.
+
+    Repeated keys would be counted as further encounters, so they stop the job
+    unless ``strict`` is off; ``quality.survey_key_violations`` lists them.
+    """
     keys = list(keys or join_keys(human, model))
+    if strict:
+        quality.require_clean(quality.survey_key_violations(human, keys, "human").unionByName(quality.survey_key_violations(model, keys, "model")))
 
     def prepared(rows: DataFrame, prefix: str) -> DataFrame:
         clean = [strip(F.col(k).cast("string")).alias(f"{prefix}key_{k}") for k in keys]
@@ -234,17 +244,23 @@ def item_agreement(pairs: DataFrame, items: Sequence[str] = fixed.AGREEMENT_ITEM
     return binary_metrics(counts)
 
 
-def median_of(rows: DataFrame, value: str, digits: int = 6) -> DataFrame:
-    """Exact median from counts per distinct value (rounded to ``digits``).
+def median_of(rows: DataFrame, value: str, buckets: int = 4096) -> DataFrame:
+    """Exact median from counts per distinct value.
 
-    Values are counted before the shuffle; only the distinct values are ordered.
+    Values are counted before the shuffle and lie in ``buckets`` equal ranges;
+    the bounded table of range counts tells which ranges hold the middle, and
+    values are ordered within a range only.
     """
-    counts = (
-        rows.select(F.round(value, digits).alias("v")).filter(F.col("v").isNotNull())
-        .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.select("v", "n", F.sum("n").over(upto).alias("last"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    counts = rows.select(F.col(value).alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    share = (F.col("v") - ends.select("least").scalar()) / (ends.select("most").scalar() - ends.select("least").scalar())
+    ranged = counts.withColumn("range", F.when(ends.select("most").scalar() == ends.select("least").scalar(), 0).otherwise(F.floor(share * (buckets - 1))))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("size"))
+    starts = totals.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy()).alias("all"), "size")
+    middle = starts.filter((F.col("start") < F.floor(F.col("all") / 2) + 1) & (F.col("start") + F.col("size") >= F.floor((F.col("all") + 1) / 2)))
+    upto = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.join(middle.select("range", "start", "all"), "range").select("v", "n", (F.col("start") + F.sum("n").over(upto)).alias("last"), "all")
     low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
     first = F.col("last") - F.col("n") + 1
     return placed.agg(

@@ -130,10 +130,8 @@ def visit_index(notes: DataFrame, visits: DataFrame | None = None) -> DataFrame:
 NOTE_ORDER = ("note_time", "note_id")
 
 
-def first_notes(
-    notes: DataFrame, max_notes: int = fixed.MAX_NOTES_PER_VISIT, max_chars: int | None = fixed.MAX_CHARS_PER_NOTE
-) -> DataFrame:
-    """The first notes of each visit in time order, each cut to ``max_chars``."""
+def first_notes(notes: DataFrame, max_notes: int, max_chars: int | None = None) -> DataFrame:
+    """The first notes of each visit in time order, cut to ``max_chars`` where that is given."""
     if max_chars is not None:
         notes = notes.withColumn("note_text", F.substring("note_text", 1, max_chars))
     return first_n(
@@ -146,39 +144,56 @@ def load_charts(
     notes: DataFrame,
     visits: DataFrame | None = None,
     target_visits: DataFrame | Iterable[int] | None = None,
-    max_notes: int = fixed.MAX_NOTES_PER_VISIT,
-    max_chars: int | None = fixed.MAX_CHARS_PER_NOTE,
+    max_notes: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """One chart per visit: its first notes in time order as one text.
+    """One chart per visit: all its notes, whole, in time order as one text.
 
-    ``max_notes`` bounds the text of a chart, so a chart always fits in a row.
+    A caller that asks for the first ``max_notes`` notes, or for notes cut to
+    ``max_chars``, also gets the column ``notes_dropped``. A chart is one row, so
+    it has to fit in a row; ``chart_blocks`` is the same text note by note for
+    visits of any size.
     """
     notes, visits = chart_tables(notes, visits)
     notes, visits = clean_notes(notes), clean_visits(visits)
     if target_visits is not None:
         notes, visits = only_visits(notes, target_visits), only_visits(visits, target_visits)
-    header = F.concat(
-        F.lit("--- [Note ID: "), F.coalesce(F.col("note_id").cast("string"), F.lit("N/A")),
-        F.lit(" | Date: "), F.col("note_when"),
-        F.lit(" | Type/Title: "), F.coalesce("note_title", F.lit("None")), F.lit("] ---\n"),
-    )
-    block = F.concat(header, strip(F.col("note_text")), F.lit("\n"))
+    blocks = chart_blocks(notes, max_notes, max_chars)
+    place = F.struct(*(F.col(c) for c in BLOCK_ORDER), F.col("block"))
     texts = (
-        first_notes(notes, max_notes, max_chars)
-        .groupBy("visit_occurrence_id")
-        .agg(
-            F.count(F.lit(1)).alias("note_count"),
-            F.array_sort(F.collect_list(F.struct("note_rank", block.alias("block")))).alias("blocks"),
-        )
-        .select(
-            "visit_occurrence_id", "note_count",
-            F.array_join(F.col("blocks.block"), "\n").alias("notes_formatted_text"),
-        )
+        blocks.groupBy("visit_occurrence_id")
+        .agg(F.count(F.lit(1)).alias("note_count"), F.array_sort(F.collect_list(place)).alias("blocks"))
+        .select("visit_occurrence_id", "note_count", F.array_join(F.col("blocks.block"), "\n").alias("notes_formatted_text"))
     )
-    return visits.join(texts, "visit_occurrence_id", "left").select(
+    rows = visits.join(texts, "visit_occurrence_id", "left")
+    dropped = []
+    if max_notes is not None:
+        rows = rows.join(notes.groupBy("visit_occurrence_id").agg(F.count(F.lit(1)).alias("_all")), "visit_occurrence_id", "left")
+        dropped = [(F.coalesce("_all", F.lit(0)) - F.coalesce("note_count", F.lit(0))).alias("notes_dropped")]
+    return rows.select(
         "person_id", "visit_occurrence_id", "visit_start_date", "visit_end_date",
         F.coalesce("note_count", F.lit(0)).alias("note_count"),
         F.coalesce("notes_formatted_text", F.lit(fixed.NO_NOTES)).alias("notes_formatted_text"),
+        *dropped,
+    )
+
+
+BLOCK_ORDER = ("undated", "note_time", "nameless", "note_id")
+
+
+def chart_blocks(notes: DataFrame, max_notes: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The chart's text note by note: ``visit_occurrence_id``, the columns that order it, and ``block``."""
+    if max_notes is not None:
+        notes = first_notes(notes, max_notes)
+    header = F.concat(
+        F.lit("--- [Note ID: "), F.coalesce(F.col("note_id").cast("string"), F.lit("N/A")),
+        F.lit(" | Date: "), F.col("note_when"),
+        F.lit(" | Type/Title: "), F.coalesce("note_title", F.lit("None")), F.lit("] ---\n"),
+    )
+    text = F.col("note_text") if max_chars is None else F.substring("note_text", 1, max_chars)
+    return notes.select(
+        "visit_occurrence_id", F.col("note_time").isNull().alias("undated"), "note_time",
+        F.col("note_id").isNull().alias("nameless"), "note_id", F.concat(header, strip(text), F.lit("\n")).alias("block"),
     )
 
 
@@ -202,11 +217,13 @@ def note_moment(notes: DataFrame) -> Column:
     return F.coalesce(time_column(notes, "note_datetime"), time_column(notes, "note_date"))
 
 
-def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = fixed.MAX_CHARS_PER_PANEL_NOTE) -> DataFrame:
+def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Notes with panel, scrubbed text and header, per visit key ``vid``.
 
     ``anchors`` has one row per visit: ``vid`` and the reference time ``t0_time``.
-    A note without a numeric id is numbered by its place in the visit.
+    A note without a numeric id takes its place among all notes of the visit as
+    id, or the next number that no note of the visit has. Notes are whole unless
+    the caller asks for a cut.
     """
     notes = with_missing(notes, PANEL_NOTE)
     title = F.coalesce(
@@ -235,16 +252,31 @@ def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = fi
 
 
 def _number_missing_ids(rows: DataFrame) -> DataFrame:
-    """Notes without an id are numbered in time order within their visit."""
-    nameless = F.col("note_id").isNull()
+    """Notes without an id get their place in time order among all notes of the visit.
+
+    Where another note of the visit owns that number, the place is moved behind
+    the visit's largest id. Only ids and times are numbered; texts are joined back
+    for the notes without an id alone.
+    """
+    mark = F.xxhash64("raw_text", "title")
+    narrow = rows.select("vid", "note_id", "note_time", mark.alias("mark"))
     # Undated notes come last, in the order of a hash of their text.
-    undated = F.lit(10_000_000) + F.pmod(F.xxhash64("raw_text"), F.lit(1000))
+    undated = F.lit(10_000_000) + F.pmod(F.col("mark"), F.lit(1000))
     chunk = F.coalesce(F.unix_date(F.to_date("note_time")).cast("bigint"), undated)
-    numbered = number_rows(
-        rows.filter(nameless).drop("note_id"), [F.col("note_time"), F.col("title"), F.col("raw_text")], chunk, "note_id",
-        keys=["vid"],
+    placed = number_rows(narrow, [F.col("note_time"), F.col("note_id").asc_nulls_last(), F.col("mark")], chunk, "place", keys=["vid"])
+    named = placed.filter(F.col("note_id").isNotNull())
+    largest = named.groupBy("vid").agg(F.max("note_id").alias("largest"))
+    taken = named.select("vid", F.col("note_id").alias("place")).distinct().withColumn("taken", F.lit(True))
+    numbers = (
+        placed.filter(F.col("note_id").isNull()).join(taken, ["vid", "place"], "left").join(largest, "vid", "left")
+        .withColumn("number", F.when(F.col("taken"), F.col("largest") + F.col("place")).otherwise(F.col("place")))
+        .groupBy("vid", "note_time", "mark").agg(F.min("number").alias("number"))
+        .select(F.col("vid").alias("_vid"), F.col("note_time").alias("_time"), F.col("mark").alias("_mark"), "number")
     )
-    return rows.filter(~nameless).unionByName(numbered)
+    nameless = rows.filter(F.col("note_id").isNull()).withColumn("mark", mark)
+    same = (nameless["vid"] == numbers["_vid"]) & nameless["note_time"].eqNullSafe(numbers["_time"]) & (nameless["mark"] == numbers["_mark"])
+    filled = nameless.join(numbers, same).withColumn("note_id", F.col("number")).select(*rows.columns)
+    return rows.filter(F.col("note_id").isNotNull()).unionByName(filled)
 
 
 def structured_lines(measurements: DataFrame, cultures: DataFrame, drugs: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -314,44 +346,31 @@ def stage_pieces(notes: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.withColumn("stage", F.explode(stages)).drop("panel")
 
 
-def stage_views(pieces: DataFrame, visits: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
-    """Stage views as text: ``vid, stage, part, view``.
+def stage_views(pieces: DataFrame, visits: DataFrame) -> DataFrame:
+    """Stage views as a long table: ``vid, stage, part, view``.
 
-    A view of up to ``part_chars`` characters is one row with part "". A longer
-    one stays whole but comes as one row per piece, with ``part`` giving the
-    order, so no task ever holds an unbounded text.
+    A row is one piece of the view, a note, a line or the title of a section;
+    ``part`` counts from 1 within the view. A view without pieces has one row that
+    says so. The shape is the same at every size.
     """
-    sized = pieces.join(
-        pieces.groupBy("vid", "stage").agg(F.sum(F.length("piece") + 2).alias("_chars")), ["vid", "stage"]
-    )
-    order = F.struct("section_order", "piece_time", F.coalesce("piece_id", F.lit(0)).alias("piece_id"), "piece")
-    place = F.concat_ws(
-        "|", F.col("section_order"), F.date_format("piece_time", "yyyy-MM-dd HH:mm:ss"),
-        F.lpad(F.coalesce("piece_id", F.lit(0)).cast("string"), 20, "0"), F.xxhash64("piece"),
-    )
-    part = F.when(F.col("_chars") <= part_chars, "").otherwise(place)
-    sections = (
-        sized.withColumn("part", part)
-        .groupBy("vid", "stage", "part", "section_order", "section")
-        .agg(F.array_sort(F.collect_list(order)).alias("rows"))
-        .select(
-            "vid", "stage", "part", "section_order",
-            F.when(F.col("section") == "", F.array_join("rows.piece", "\n\n"))
-            .otherwise(F.concat("section", F.lit("\n"), F.array_join("rows.piece", "\n")))
-            .alias("text"),
-        )
-    )
-    texts = (
-        sections.groupBy("vid", "stage", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("section_order", "text"))).alias("parts"))
-        .select("vid", "stage", "part", F.array_join("parts.text", "\n\n").alias("view"))
+    titles = (
+        pieces.filter(F.col("section") != "").select("vid", "stage", "section_order", "section").distinct()
+        .select("vid", "stage", "section_order", F.lit(0).alias("kind"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz").alias("piece_time"),
+                F.lit(0).cast("bigint").alias("piece_id"), F.col("section").alias("view"))
     )
+    rows = titles.unionByName(pieces.select(
+        "vid", "stage", "section_order", F.lit(1).alias("kind"), "piece_time", F.coalesce("piece_id", F.lit(0)).alias("piece_id"), F.col("piece").alias("view")))
+    # Chunks grow with section and day, so no task numbers a whole view.
+    day = F.unix_date(F.to_date("piece_time")).cast("bigint")
+    chunk = F.col("section_order") * 20_000_000 + F.when(F.col("kind") == 0, -5_000_000).otherwise(day)
+    order = [F.col(c) for c in ("section_order", "kind", "piece_time", "piece_id", "view")]
+    numbered = number_rows(rows, order, chunk, "part", keys=["vid", "stage"]).select("vid", "stage", "part", "view")
     every = visits.select("vid", F.explode(F.array(*(F.lit(s) for s in STAGES))).alias("stage"))
     missing = (
         F.when(F.col("stage") == "stage1", fixed.NO_DISCHARGE)
         .when(F.col("stage") == "stage2", fixed.NO_STAGE2)
         .otherwise(fixed.NO_STAGE3)
     )
-    return every.join(texts, ["vid", "stage"], "left").select(
-        "vid", "stage", F.coalesce("part", F.lit("")).alias("part"), F.coalesce("view", missing).alias("view")
+    return every.join(numbered, ["vid", "stage"], "left").select(
+        "vid", "stage", F.coalesce("part", F.lit(1)).alias("part"), F.coalesce("view", missing).alias("view")
     )

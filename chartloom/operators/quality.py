@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
+from chartloom.functions import values
 from chartloom.functions.text import is_blank, strip
 from chartloom.schemas import lower_names
 
@@ -156,3 +157,10 @@ def linkage_violations(rows: DataFrame, key: str = "source_row") -> DataFrame:
     return all_of([
         found(rows, f"{name}_missing", is_blank(F.col(name)), F.col(key)) for name in ("institution_v3", "record_id", "vid")
     ])
+
+
+def unread_times(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose time is written in a shape that ``lenient_timestamp`` cannot read, with rule and text."""
+    text = F.trim(F.col(column).cast("string"))
+    unread = (F.coalesce(text, F.lit("")) != "") & values.lenient_timestamp(F.col(column)).isNull()
+    return rows.filter(unread).withColumn("rule", F.lit("unread_time")).withColumn("detail", text)

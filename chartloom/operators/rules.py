@@ -72,12 +72,12 @@ def custom_rules(condition: str) -> RuleSet:
         terms += [r"\s+".join(words)] if len(words) >= 2 else []
         terms += [word for word in words if len(word) >= 5]
     terms = list(dict.fromkeys(terms))
-    found = f"Encounter notes contain affirmative clinical documentation for {condition}."
-    missing = f"No {'affirmative ' if terms else ''}clinical indicators for {condition} found in chart documentation."
+    found = f"The notes affirm {condition}."
+    missing = f"No {'affirmative ' if terms else ''}sign of {condition} is in the notes."
     return RuleSet(
         tuple(terms), fixed.GENERIC_NEGATIVE, 65, 40, (0.91, 0.93 if terms else 0.90),
-        (f"Documented clinical findings consistent with {condition}",),
-        f"Clinical documentation matching {condition}: ", (found, missing),
+        (f"Findings in the notes fit {condition}",),
+        f"Passages about {condition}: ", (found, missing),
         from_match_end=True, show_terms=True,
     )
 

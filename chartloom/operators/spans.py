@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chartloom import fixed_values as fixed
 from chartloom.functions.text import contains_any, first_match, window
 from chartloom.operators.charts import span_notes_to_omop, visits_of_span_notes
+from chartloom.operators import quality
 from chartloom.operators.quality import clean_labels
 from chartloom.schemas import SPAN_NOTE, conform
 
@@ -46,12 +47,18 @@ def phenotype_gold(notes: DataFrame, labels: DataFrame, condition: str) -> DataF
     )
 
 
-def task_scores(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+def task_scores(gold: DataFrame, predictions: DataFrame, strict: bool = True) -> DataFrame:
     """Precision, recall and F1 per annotation task.
 
     A gold dash is not scored. Nothing to find and nothing found is a perfect
-    score. One aggregate holds the counts of all tasks.
+    score. One aggregate holds the counts of all tasks. Gold keys without a
+    prediction, and predictions with repeated keys, stop the job unless ``strict``
+    is off; then a missing prediction counts as not found.
     """
+    if strict:
+        asked = clean_labels(gold).select("row_id", "concept").distinct()
+        given = predictions.select(F.col("row_id").cast("bigint").alias("row_id"), F.trim("concept").alias("concept"))
+        quality.require_clean(quality.missing_predictions(asked, given).unionByName(quality.duplicates(given, "prediction_repeated", ["row_id", "concept"])))
     pred = predictions.select(
         F.col("row_id").cast("bigint").alias("row_id"), F.trim("concept").alias("concept"),
         *(F.lower(F.trim(t)).alias(f"p_{t}") for t in TASKS),

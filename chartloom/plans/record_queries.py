@@ -55,8 +55,8 @@ _ANSWER = f"""SELECT doc_id, text, doc_id % 5 AS k, {_WORDS} AS words,
   SELECT doc_id AS visit_occurrence_id, ok AS parsed, CASE WHEN ok THEN st ELSE 'INDETERMINATE_INSUFFICIENT_DATA' END AS phenotype_status,
     ok AND st IN ('CONFIRMED_POSITIVE', 'SUSPECTED_PROBABLE') AS condition_present,
     CASE WHEN ok THEN CAST(score AS DOUBLE) ELSE 0.0 END AS confidence_score,
-    md5(CASE WHEN ok THEN CASE WHEN words = '' THEN 'Clinical chart review completed.' ELSE words END
-        ELSE 'Model response unavailable or unparsable.' END) AS rationale_md5,
+    md5(CASE WHEN ok THEN CASE WHEN words = '' THEN 'The model gave a decision without a reason.' ELSE words END
+        ELSE 'No readable answer came from the model.' END) AS rationale_md5,
     CASE WHEN ok AND length(q) >= 5 THEN q ELSE '' END AS quotes, CASE WHEN ok AND length(q) >= 5 THEN doc_id ELSE -1 END AS note_id FROM f""")
 def response_ingest(spark: SparkSession, folder: str) -> DataFrame:
     parsed = responses.parse_responses(_answers(spark, folder).drop("text"), RUN_TS, "model")
@@ -359,7 +359,7 @@ def stage_gates(spark: SparkSession, folder: str) -> DataFrame:
     t = _cohort_tables(spark, folder)
     nothing = spark.createDataFrame([], "vid string, moment timestamp_ntz")
     anchors = facts.encounters(t["visits"], nothing)
-    notes = charts.panel_notes(t["notes"], anchors, max_chars=None)
+    notes = charts.panel_notes(t["notes"], anchors)
     lines = spark.createDataFrame([], "vid string, section_order int, section string, line_time timestamp_ntz, line string")
     signals = abstraction.visit_signals(abstraction.piece_signals(notes, lines))
     answers = abstraction.rule_stage1(anchors.select("vid").join(signals, "vid", "left"))
@@ -387,5 +387,5 @@ def stage_pieces(spark: SparkSession, folder: str) -> DataFrame:
     anchors = facts.encounters(t["visits"], nothing)
     lines = charts.structured_lines(
         facts.measurement_rows(t["measurements"]), facts.culture_rows(t["cultures"]), facts.drug_rows(t["drugs"]), anchors)
-    pieces = charts.stage_pieces(charts.panel_notes(t["notes"], anchors, max_chars=None), lines)
+    pieces = charts.stage_pieces(charts.panel_notes(t["notes"], anchors), lines)
     return pieces.groupBy("vid", "stage").agg(F.count(F.lit(1)).alias("pieces"))

@@ -32,7 +32,7 @@ def visit_index(spark: SparkSession, folder: str) -> DataFrame:
     length(coalesce(chart, '{fixed.NO_NOTES}')) AS chart_chars
   FROM ({views.NOTE_VISITS_SQL}) v LEFT JOIN b USING (visit_occurrence_id)""")
 def chart_build(spark: SparkSession, folder: str) -> DataFrame:
-    built = charts.load_charts(views.notes(spark, folder), views.note_visits(spark, folder), max_chars=None)
+    built = charts.load_charts(views.notes(spark, folder), views.note_visits(spark, folder))
     return built.select(
         "visit_occurrence_id", "person_id", "note_count", F.md5("notes_formatted_text").alias("chart_md5"),
         F.length("notes_formatted_text").cast("bigint").alias("chart_chars"))
@@ -97,7 +97,7 @@ CUSTOM = "Pulmonary Embolism / bacteremia (fever)"
 def custom_phenotype(spark: SparkSession, folder: str) -> DataFrame:
     decided = _decisions(spark, folder, CUSTOM, rules.custom_rules(CUSTOM))
     met = F.coalesce(F.get("primary_criteria_met", F.lit(0)), F.lit(""))
-    head = f"Documented clinical findings consistent with {CUSTOM} ("
+    head = f"Findings in the notes fit {CUSTOM} ("
     shown = F.substring(met, len(head) + 1, F.greatest(F.length(met) - len(head) - 1, F.lit(0)))
     return _with_quotes(decided.withColumn("terms", shown)).join(
         decided.select("visit_occurrence_id", shown.alias("terms")), "visit_occurrence_id")
@@ -198,7 +198,7 @@ def panel_counts(spark: SparkSession, folder: str) -> DataFrame:
     || 'Decide whether "Sepsis" was present in this visit. Answer with the agreed JSON fields.' || chr(10)) AS prompt_md5
   FROM ({views.NOTE_VISITS_SQL}) LEFT JOIN b USING (visit_occurrence_id)""")
 def prompt_table(spark: SparkSession, folder: str) -> DataFrame:
-    built = charts.load_charts(views.notes(spark, folder), views.note_visits(spark, folder), max_chars=None)
+    built = charts.load_charts(views.notes(spark, folder), views.note_visits(spark, folder))
     prompts = rules.adjudication_prompts(built, "Sepsis", "Any.", masked=True)
     return prompts.select("visit_occurrence_id", "target_condition", F.md5("prompt").alias("prompt_md5"))
 
@@ -318,25 +318,37 @@ def coded_values(spark: SparkSession, folder: str) -> DataFrame:
         "c_custkey", values.status_code(said).alias("status"), values.confidence(score).alias("confidence"))
 
 
-@register(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN strftime(m, '%Y-%m-%d %H:%M') END AS moment,
-    CASE WHEN o_orderkey % 5 = 4 THEN 'Offset unknown'
+def _written_times(spark: SparkSession, folder: str):
+    """Order times in twelve shapes and one that nobody can read."""
+    orders = views.table(spark, folder, "orders")
+    moment = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
+    shapes = (
+        "yyyy-MM-dd HH:mm", "M/d/yyyy H:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd hh:mm a", "M/d/yyyy h:mm a",
+        "MMM d, yyyy HH:mm", "dd-MMM-yyyy HH:mm", "yyyyMMdd HH:mm", "yyyyMMdd'T'HHmmss", "M/d/yy H:mm", "d MMMM yyyy h:mm a",
+    )
+    written = F.lit("not a time")
+    for k, shape in enumerate(shapes):
+        written = F.when(F.col("o_orderkey") % 13 == k, F.date_format(moment, shape)).otherwise(written)
+    return orders.select("o_orderkey", written.alias("written"))
+
+
+@register(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 13 < 12 THEN strftime(m, '%Y-%m-%d %H:%M') END AS moment,
+    CASE WHEN o_orderkey % 13 = 12 THEN 'Offset unknown'
       ELSE 'Day ' || CASE WHEN d >= 0 THEN '+' ELSE '' END || d || ' ' || strftime(m, '%H:%M') END AS label
   FROM (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS m,
         date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders)""")
 def lenient_times(spark: SparkSession, folder: str) -> DataFrame:
-    """Order times written in four shapes and one unreadable one."""
-    orders = views.table(spark, folder, "orders")
-    moment = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
-    k = F.col("o_orderkey") % 5
-    written = (
-        F.when(k == 0, F.date_format(moment, "yyyy-MM-dd HH:mm")).when(k == 1, F.date_format(moment, "M/d/yyyy H:mm"))
-        .when(k == 2, F.date_format(moment, "yyyy/MM/dd HH:mm")).when(k == 3, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .otherwise("not a time"))
-    read = values.lenient_timestamp(written)
+    read = values.lenient_timestamp(F.col("written"))
     anchor = F.lit("1998-01-01").cast("timestamp_ntz")
-    return orders.select("o_orderkey", F.date_format(read, "yyyy-MM-dd HH:mm").alias("moment"),
-                         values.offset_label(read, anchor).alias("label"))
+    return _written_times(spark, folder).select(
+        "o_orderkey", F.date_format(read, "yyyy-MM-dd HH:mm").alias("moment"), values.offset_label(read, anchor).alias("label"))
+
+
+@register("""SELECT o_orderkey, 'unread_time' AS rule, 'not a time' AS detail FROM orders WHERE o_orderkey % 13 = 12""")
+def unread_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Times that stay unread are listed, not lost."""
+    return quality.unread_times(_written_times(spark, folder), "written").select("o_orderkey", "rule", "detail")
 
 
 @register(r"""SELECT p_partkey, CASE WHEN regexp_matches(ltrim(v), '^[=+\-@]') AND NOT regexp_matches(ltrim(v), '^-\d+(\.\d+)?$')

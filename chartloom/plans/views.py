@@ -17,9 +17,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row when the table is only a few files."""
+    """Use all cores for work that is heavy per row. The scan's own parts are kept once there are enough of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def hours_after(start: str, hours: Column) -> Column:

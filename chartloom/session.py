@@ -27,13 +27,24 @@ def local_session(cores: int = 8, name: str = "chartloom", memory: str = "12g")
     return spark
 
 
-def reliable_checkpoint(df):
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors reach.
 
-    A private folder is used only where the session names none, as in tests.
+    A private folder is made only in local mode, as in tests, where the session
+    names none; on a cluster that is an error, as executors share no folder.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='chartloom-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def reliable_checkpoint(df):
+    """Cut the lineage in the shared folder of the session."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chartloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

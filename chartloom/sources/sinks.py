@@ -133,6 +133,8 @@ def load_criteria(spark, path: str) -> str | None:
 
     try:
         row = spark.read.schema("criteria string").json(path).first()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return ((row and row.criteria) or "").strip() or None

@@ -28,7 +28,9 @@ def stored_results(spark: SparkSession, path: str) -> DataFrame:
     """Results so far; broken lines are skipped, a missing store is empty."""
     try:
         return tables.read_json_lines(spark, path, ADJUDICATION)[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ADJUDICATION)
 
 

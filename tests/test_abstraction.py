@@ -51,7 +51,7 @@ def test_status(result):
     assert (rows["13"].phenotype_status, rows["13"].confidence_score) == ("SUSPECTED_PROBABLE", 0.78)
     assert (rows["14"].phenotype_status, rows["14"].confidence_score) == ("CONFIRMED_NEGATIVE", 0.85)
     assert rows["15"].phenotype_status == "INDETERMINATE_INSUFFICIENT_DATA" and "UNKNOWN" in rows["15"].review_flags
-    assert "sep1_v3___1: unmeasured" in rows["11"].review_flags
+    assert "sep1_v3___1: neither tables nor notes tell" in rows["11"].review_flags
 
 
 def test_evidence_and_export(spark, result, tmp_path):

@@ -59,7 +59,7 @@ def test_full_encounter(full):
     assert row.sep7_v3 == "0, 4" and row.daily_sofa_map == {0: 0, 1: 4}
     assert row.sep_day_v3 == "1"
     assert (row.sep_dt_v3, row.sep_days, row.sep_time) == ("02:00", "1", "180")
-    assert any("Day +1" in flag for flag in row.review_flags)
+    assert any("on day +1" in flag for flag in row.review_flags)
 
 
 def test_sparse_encounter_stays_unknown(full):
@@ -77,7 +77,7 @@ def test_provenance(full):
     assert rows["7001", "sep1_v3___1"].source_ref == "m1"
     assert "38.61" in rows["7001", "sep1_v3___1"].evidence_quote
     assert rows["7001", "sep1_v3___3"].evidence_quote == "RR/PaCO2 normal (PaCO2 unmeasured)"
-    assert rows["7001", "sep_day_v3"].evidence_quote.startswith("SOFA rose +4")
+    assert rows["7001", "sep_day_v3"].evidence_quote.startswith("SOFA up by 4")
     assert rows["7002", "sep4_v3"].evidence_quote == "No systemic antibiotics in medication table"
 
 
@@ -102,7 +102,7 @@ def test_early_events_only_when_nothing_else(spark):
                       [("9", "c", None, "", "", "")])
     assert rows["1"].sep_dt_v3 == "10:00" and rows["1"].sep_days == "1"
     assert rows["2"].sep_days == "0" and rows["2"].sep_time.startswith("-")
-    assert any("before ICU admission" in flag for flag in rows["2"].review_flags)
+    assert any("before admission to the unit" in flag for flag in rows["2"].review_flags)
 
 
 def test_vasopressor_days_and_vent(spark):

@@ -41,7 +41,7 @@ def test_stroke_ards_aki(spark):
 def test_custom_condition(spark):
     rows = decide(spark, ["large pulmonary  embolism seen", "denies pulmonary embolism", "well"], "Pulmonary Embolism (PE)")
     assert [r.condition_present for r in rows] == [True, False, False]
-    assert rows[0].primary_criteria_met == ["Documented clinical findings consistent with Pulmonary Embolism (PE) (pulmonary  embolism)"]
+    assert rows[0].primary_criteria_met == ["Findings in the notes fit Pulmonary Embolism (PE) (pulmonary  embolism)"]
     assert decide(spark, ["anything"], "of / the")[0].confidence_score == 0.90
 
 
@@ -59,7 +59,10 @@ def test_chart_limits_and_hot_visit(spark):
         F.col("id").alias("note_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("visit_occurrence_id"),
         F.lit(None).cast("string").alias("note_datetime"), F.lit("n").alias("note_title"), F.repeat(F.lit("ab"), 50).alias("note_text"))
     visits = spark.createDataFrame([("1", 1, "a", "b")], VISITS)
+    whole = charts.load_charts(notes, visits).first()
+    assert whole.note_count == 1668 and whole.notes_formatted_text.count("ab" * 50) == 1668
     chart = charts.load_charts(notes, visits, max_notes=4, max_chars=10).first()
+    assert chart.notes_dropped == 1664
     assert chart.note_count == 4
     assert re.findall(r"Note ID: (\d+)", chart.notes_formatted_text) == ["0", "1", "3", "6"]
     assert chart.notes_formatted_text.count("ababababab\n") == 4 and "ab" * 6 not in chart.notes_formatted_text
@@ -74,12 +77,13 @@ def test_stage_views(spark):
     lines = spark.createDataFrame([("1", 1, "[Structured Vital Signs & Labs]", dt.datetime(2026, 1, 2, 9), "- hr: 90")],
                                   "vid string, section_order int, section string, line_time timestamp_ntz, line string")
     pieces = charts.stage_pieces(panels, lines)
-    views = {(r.vid, r.stage): r.view for r in charts.stage_views(pieces, anchors).collect()}
+    rows = sorted(charts.stage_views(pieces, anchors).collect(), key=lambda r: r.part)
+    views = {k: "\n".join(r.view for r in rows if (r.vid, r.stage) == k) for k in {(r.vid, r.stage) for r in rows}}
     assert views["2", "stage1"] == "[NO_DISCHARGE_SUMMARY]" and views["2", "stage3"] == "[NO_CLINICAL_DATA]"
     assert "Day +1 09:00" in views["1", "stage1"] and "[DATE REDACTED]" in views["1", "stage1"]
     assert views["1", "stage3"].index("Day -1") < views["1", "stage3"].index("Day +1") < views["1", "stage3"].index("- hr: 90")
-    parts = charts.stage_views(pieces, anchors, part_chars=10).filter("vid = '1' AND stage = 'stage3'").orderBy("part").collect()
-    assert len(parts) == 3 and all(p.part for p in parts)
+    assert [r.part for r in rows if (r.vid, r.stage) == ("1", "stage3")] == [1, 2, 3, 4]
+    assert rows[0].part == 1 and "[Structured Vital Signs & Labs]" in views["1", "stage3"]
 
 
 # ------------------------------------------------------------------ text functions against plain Python

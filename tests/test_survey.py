@@ -111,8 +111,8 @@ def test_audit(spark, prepared, tmp_path):
     assert held["S05-P01"].inference_backend.endswith(":quality_hold")
     assert [r.case_id for r in survey.verified_evidence(results, prepared).orderBy("case_id").collect()] == ["S02-P01", "S03-P07", "S04-P01"]
     sheet = {r["Review ID"]: r for r in survey.review_sheet(results, prepared, first.violations).collect()}
-    assert "Linked stays" in sheet["S02-P01"]["Review flags"] and "acute renal" in sheet["S02-P01"]["Review flags"]
-    assert "reused" in sheet["S04-P01"]["Review flags"] and "Compound" in sheet["S03-P07"]["Review flags"]
+    assert "Answers of several stays" in sheet["S02-P01"]["Review flags"] and "Kidney injury" in sheet["S02-P01"]["Review flags"]
+    assert "share this visit id" in sheet["S04-P01"]["Review flags"] and "choice labels" in sheet["S03-P07"]["Review flags"]
     assert survey.run_figures(results, last.held).first().quality_holds == 5
     paths = sinks.write_review(survey.review_sheet(results, prepared), survey.verified_evidence(results, prepared), str(tmp_path))
     assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths["review"]).count() == 7
