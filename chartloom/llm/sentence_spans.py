@@ -1,16 +1,17 @@
 """Substring deduplication with sliding sentence spans.
 
-A text is cut into sentences (after a stop and white space, or at a line end).
-A sentence of more than ``LONG`` words is cut further after words whose hash is
-a multiple of ``EVERY``, so that a passage has the same inner cuts wherever it
-stands, also in texts without stops. At every sentence a span starts: the
-shortest run of at least ``SENTENCES`` consecutive sentences with at least
-``WORDS`` words. Spans are hashed and joined over all documents; the first
-occurrence of a span, by doc_id and then by place, stays, and every sentence
-covered by any other occurrence is removed.
-
-Cuts inside a passage need a few words to fall in step, so any passage of over
-50 words holds a whole span; shorter repeats, such as single lines, stay.
+Words are what ASCII white space parts. A sentence ends after a word with a
+stop, and at a line end. A sentence of more than ``LONG`` words is cut further
+after words whose hash is a multiple of ``EVERY``, so that a passage has the
+same inner cuts wherever it stands, also in texts without stops. At every
+sentence a span starts: the shortest run of at least ``SENTENCES`` consecutive
+sentences with at least ``WORDS`` words. Spans are hashed and joined over all
+documents; the first occurrence of a span, by doc_id and then by place, stays,
+and every sentence covered by any other occurrence is removed.
+
+Cuts inside a passage need a few words to fall in step, so a passage of over
+50 words of prose holds a whole span; shorter repeats, such as single lines,
+stay.
 
 Defined results: a null text counts as empty and stays null in ``cut``; rows
 with the same doc_id and text are one occurrence and get equal results; of
@@ -22,10 +23,10 @@ before all others; an empty table gives no row; further columns are ignored by
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,118 +37,109 @@ SENTENCES = 2
 WORDS = 25
 LONG = 12
 EVERY = 4
-#: Odd base of the span hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-
-
-class Hasher:
-    """Sentences of texts, with remembered word cuts."""
-
-    def __init__(self) -> None:
-        self.cuts: dict[str, bool] = {}
-
-    def cut_after(self, word: str) -> bool:
-        found = self.cuts.get(word)
-        if found is None:
-            if len(self.cuts) >= 200_000:
-                self.cuts.clear()
-            found = self.cuts[word] = zlib.crc32(word.encode()) % EVERY == 0
-        return found
-
-    def sentences(self, text: str) -> tuple[list[tuple[int, int]], list[int], np.ndarray]:
-        """Character ranges, numbers of words, and hashes of the sentences."""
-        ranges: list[tuple[int, int]] = []
-        counts: list[int] = []
-        hashes: list[int] = []
-        digest = xxhash.xxh64_intdigest
-
-        def close(start: int, stop: int, words: list[str]) -> None:
-            ranges.append((start, stop))
-            counts.append(len(words))
-            hashes.append(digest(" ".join(words).encode(), 0))
-
-        start, ends = 0, [*((m.start(), m.end()) for m in SENTENCE.finditer(text)), (len(text), len(text))]
-        for stop, following in ends:
-            words = text[start:stop].split()
-            if words:
-                if len(words) <= LONG:
-                    close(start, stop, words)
-                else:
-                    at, first, begun = start, 0, start
-                    for k, w in enumerate(words):
-                        at = text.index(w, at) + len(w)
-                        if self.cut_after(w) or k == len(words) - 1:
-                            close(begun, at, words[first : k + 1])
-                            begun, first = at, k + 1
-            start = following
-        return ranges, counts, np.array(hashes, np.uint64)
-
-
-def span_ends(counts: list[int]) -> np.ndarray:
-    """For every sentence, the end of the span that starts there, or 0 if the text ends before."""
-    total = np.concatenate([[0], np.cumsum(counts)])
-    n = len(counts)
-    stop = np.maximum(np.searchsorted(total, total[:-1] + WORDS), np.arange(n) + SENTENCES)
-    return np.where(stop <= n, stop, 0)
-
-
-def span_hashes(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the spans by differences of prefix sums, modulo 2**64, then mixed with their length."""
-    n = len(hashes)
+#: Odd bases of the two span hashes (fixed values).
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Stands for a line end between words.
+LINE_END = "\x1e"
+WORD = re.compile(r"[^ \t\n\x0b\x0c\r\x1e]+|[\n\x1e]")
+
+
+def sentences_of(stop: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Whether a sentence ends after each word; ``stop`` says where it must, ``cut`` where a long one may."""
+    number = np.concatenate([[0], np.cumsum(stop)[:-1]]).astype(np.int64) if len(stop) else np.zeros(0, np.int64)
+    long = np.bincount(number)[number] > LONG if len(number) else np.zeros(0, bool)
+    return stop | (long & cut)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
+
+def sentence_ranges(text: str) -> list[tuple[int, int]]:
+    """Character ranges of the sentences of one text."""
+    words, stops, ranges = [], [], []
+    for m in WORD.finditer(text):
+        if m.group() in ("\n", LINE_END):
+            if stops:
+                stops[-1] = True
+        else:
+            words.append(m.group())
+            stops.append(m.group()[-1] in ".!?")
+            ranges.append(m.span())
+    if not words:
+        return []
+    stops[-1] = True
+    ends = np.flatnonzero(sentences_of(np.array(stops), word_hashes(words) % EVERY == 0)).tolist()
+    return [(ranges[a][0], ranges[b][1]) for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
+
+def stretch_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hashes of stretches of words by differences of prefix sums, modulo 2**64, then mixed with their length."""
     with np.errstate(over="ignore"):
-        up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
-        if n > 1:
-            up[1:], down[1:] = BASE, INVERSE
-            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
-        mixed = (total[stops] - total[:n]) * down + (stops - np.arange(n)).astype(np.uint64)
+        up, down = np.full(len(words), base, np.uint64), np.full(len(words), pow(base, -1, 1 << 64), np.uint64)
+        up[:1] = down[:1] = 1
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)])
+        mixed = (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)
         for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
             mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
     return mixed
 
 
-def _spans():
-    state: dict[str, Hasher] = {}
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        hasher = state.setdefault("hasher", Hasher())
-        made: list[list] = [[], [], [], []]
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            _, counts, hashes = hasher.sentences(text)
-            if not counts:
-                continue
-            stops = span_ends(counts)
-            spans = span_hashes(hashes, stops)
-            at = np.flatnonzero(stops)
-            # A second view of the first sentence keeps 96 bits of a span apart.
-            check = (hashes[at] >> np.uint64(32)).astype(np.int64)
-            for column, value in zip(made, (np.full(len(at), k), spans[at].view(np.int64), check, at << 32 | stops[at] - at), strict=True):
-                column.append(value)
-        source, span, check, place = (np.concatenate(m) if m else np.zeros(0, np.int64) for m in made)
-        take = pa.array(source)
-        return {"doc_id": batch.column("doc_id").take(take), "text_key": batch.column("text_key").take(take), "span": span, "check": check, "place": place}
-
-    return rows
+def spans_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the spans of many texts: text, two hashes, and place (sentence and number of sentences)."""
+    listed = pc.ascii_split_whitespace(pc.replace_substring(texts, "\n", f" {LINE_END} "))
+    sizes = pc.list_value_length(listed).to_numpy()
+    coded = pc.dictionary_encode(pc.list_flatten(listed))
+    names = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    hashes = word_hashes(names)
+    kind = np.array([0 if not w else 3 if w == LINE_END else 2 if w[-1] in ".!?" else 1 for w in names] or [0], np.int8)[code] if len(code) else np.zeros(0, np.int8)
+    lines = np.cumsum(kind == 3)
+    real = (kind == 1) | (kind == 2)
+    code, owner, lines, kind = code[real], owner[real], lines[real], kind[real]
+    none = np.zeros(0, np.int64)
+    if not len(code):
+        return none, none, none, none
+    changes = np.append((lines[1:] != lines[:-1]) | (owner[1:] != owner[:-1]), True)
+    word = hashes[code]
+    last = np.flatnonzero(sentences_of((kind == 2) | changes, word % EVERY == 0))
+    start = np.concatenate([[0], last[:-1] + 1])
+    stop = last + 1
+    who = owner[start]
+    n = len(start)
+    limit = np.searchsorted(who, who, side="right")  # the sentence after the last one of the text
+    end = np.maximum(np.searchsorted(stop, start + WORDS), np.arange(n) + SENTENCES - 1)  # last sentence of the span
+    at = np.flatnonzero(end < limit)
+    first = np.searchsorted(who, who[at])
+    one, two = (stretch_hashes(word, start[at], stop[end[at]], b).view(np.int64) for b in BASES)
+    return who[at], one, two >> 32, (at - first) << 32 | (end[at] - at + 1)
+
+
+def _span_rows(batch: pa.RecordBatch) -> dict:
+    source, span, check, place = spans_of(batch.column("text"))
+    take = pa.array(source)
+    return {"doc_id": batch.column("doc_id").take(take), "text_key": batch.column("text_key").take(take), "span": span, "check": check, "place": place}
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row per span: doc_id, text_key, the hash and its place (sentence and number of sentences)."""
     texts = texts_of(docs).withColumn("text_key", F.xxhash64("text"))
-    return batches_of(texts, _spans(), "doc_id long, text_key long, span long, check long, place long", 4 << 20)
+    return batches_of(texts, _span_rows, "doc_id long, text_key long, span long, check long, place long", 8 << 20)
 
 
 def _removals(texts: DataFrame) -> DataFrame:
-    hasher: dict[str, Hasher] = {}
-
     def rows(batch: pa.RecordBatch) -> dict:
-        own = hasher.setdefault("hasher", Hasher())
-        made: dict[str, list] = {"n_sentences": [], "n_removed": [], "text": [], "removed": []}
+        made: dict[str, list] = {"n_removed": [], "text": [], "removed": []}
         for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-            ranges, _, _ = own.sentences(text)
+            if not places:
+                for column, value in zip(made.values(), (0, text, []), strict=True):
+                    column.append(value)
+                continue
+            ranges = sentence_ranges(text)
             steps = np.zeros(len(ranges) + 1, np.int64)
-            for p in places or ():
+            for p in places:
                 steps[p >> 32] += 1
                 steps[(p >> 32) + (p & 0xFFFFFFFF)] -= 1
             gone = np.cumsum(steps[:-1]) > 0
@@ -158,19 +150,18 @@ def _removals(texts: DataFrame) -> DataFrame:
                     cut.append({"start": start, "stop": stop})
                     at = stop
             kept.append(text[at:])
-            made["n_sentences"].append(len(ranges))
             made["n_removed"].append(len(cut))
             made["text"].append("".join(kept) if cut else text)
             made["removed"].append(cut)
         return {**made, "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key")}
 
     return batches_of(
-        texts, rows, "doc_id long, text_key long, n_sentences long, n_removed long, text string, removed array<struct<start:int,stop:int>>", 4 << 20
+        texts, rows, "doc_id long, text_key long, n_removed long, text string, removed array<struct<start:int,stop:int>>", 4 << 20
     )
 
 
 def repeats(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, text_key, n_sentences, n_removed, the text that stays, and the removed ranges."""
+    """One row per document: doc_id, text_key, n_removed, the text that stays, and the removed ranges."""
     folder = folder or shared_folder(docs.sparkSession)
     found = spans(docs)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_key", "place")
@@ -203,5 +194,5 @@ def cut(docs: DataFrame) -> DataFrame:
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
-        "doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"), "text", "removed"
+        "doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), "text", "removed"
     )
