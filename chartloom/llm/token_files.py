@@ -22,11 +22,13 @@ no row; further columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,12 +41,17 @@ LENGTH = 2048
 BATCH = 64
 END = 2
 #: Remembered words of one Python worker.
-REMEMBERED = 300_000
-BETWEEN = "<|endoftext|>"
+REMEMBERED = 200_000
+#: Bytes of text that are encoded at once.
+PIECE = 3 << 20
+#: New words that the library encodes at once.
+LINE = 2000
+#: Letters that no normalisation joins or parts, then ASCII marks but the apostrophe: at most one word each.
+PLAIN = r"\A(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)\z"
 
 
 class Words:
-    """A tokenizer with a memory of words."""
+    """A tokenizer with a memory of words and of their plain parts."""
 
     def __init__(self, path: str) -> None:
         with open(path) as file:
@@ -52,37 +59,78 @@ class Words:
         steps = parts["pre_tokenizer"].get("pretokenizers", [parts["pre_tokenizer"]])
         if not (steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")):
             raise ValueError("this tokenizer does not drop white space before merging")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.between = self.library.token_to_id(BETWEEN)
+        suffix = parts["model"]["end_of_word_suffix"]
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {"": b""}
-        # Words are encoded in lines with a special token between them, which the library never merges across.
-        plain = [w for w in words if "<|" not in w]
-        for start in range(0, len(plain), 1000):
-            part = plain[start : start + 1000]
-            ids = np.array(self.library.encode(BETWEEN.join(part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == self.between)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("words are not kept apart by the special token")
-            for w, piece in zip(part, np.split(ids, cuts), strict=True):
-                self.known[w] = piece[piece != self.between].astype(self.kind).tobytes()
-        odd = [w for w in words if "<|" in w]
-        for w, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        every: set[str] = set()
-        for c in cut:
-            every.update(c)
-        new = every.difference(self.known)
-        if new:
-            self.learn(every if len(self.known) + len(new) > REMEMBERED else new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.kind) for c in cut]
+        self.last = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a word
+        for token, i in self.library.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def remembered(self, parts: list[str], plain: bool) -> list[bytes]:
+        """Ids of words; new ones are encoded by the library. A plain word is letters alone or marks alone."""
+        new = [w for w in parts if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.older, self.known = self.known, {}
+            new = parts
+        again = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        if len(again) < len(new):
+            new = [w for w in new if w not in self.known]
+            # A few words at a time, as the library's results are many times as large as the ids.
+            for k in range(0, len(new), LINE):
+                part = new[k : k + LINE]
+                if plain:
+                    # Each is one word to the tokenizer, so that a line of them is taken apart at the ends of words.
+                    ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+                    stops = np.flatnonzero(self.last[ids]) + 1
+                    if len(stops) != len(part):
+                        raise ValueError("a line was not encoded word by word")
+                    data, ends = ids.tobytes(), (stops * self.kind.itemsize).tolist()
+                    self.known.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
+                else:
+                    whole = self.library.encode_batch_fast(part, add_special_tokens=False)
+                    self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, whole, strict=True))
+        return [self.known[w] for w in parts]
+
+    def spelled(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words in a row, and the number of ids of each."""
+        parts = pc.extract_regex(names, PLAIN)
+        odd = pc.is_null(parts)
+        slots, made = [], []
+        for field in ("letters", "marks"):
+            coded = pc.dictionary_encode(pc.utf8_lower(pc.fill_null(pc.struct_field(parts, field), "")))
+            slots.append(coded.indices.to_numpy().astype(np.int64) + len(made))
+            listed = coded.dictionary.to_pylist()
+            found = iter(self.remembered([w for w in listed if w], True))
+            made += [next(found) if w else b"" for w in listed]
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(where):
+            slots[0][where] = np.arange(len(where)) + len(made)
+            made += self.remembered(names.take(pa.array(where)).to_pylist(), False)
+        ids = np.frombuffer(b"".join(made), self.kind)
+        size = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+        both = np.stack(slots, 1).ravel()
+        return gathered(ids, size, both), size[both].reshape(-1, 2).sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end."""
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pc.dictionary_encode(pc.list_flatten(cut))
+        ids, size = self.spelled(coded.dictionary)
+        used = coded.indices.to_numpy()
+        stops = np.cumsum(size[used])
+        words = np.cumsum(pc.list_value_length(cut).to_numpy())
+        return gathered(ids, size, used), np.where(words > 0, np.append(stops, 0)[words - 1], 0)
+
+
+def gathered(ids: np.ndarray, size: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` with the given sizes, taken in the order of ``used``."""
+    sizes = size[used]
+    start = np.cumsum(size) - size
+    return ids[np.repeat(start[used] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
 
 
 def schema(kind: pa.DataType, length: int) -> pa.Schema:
@@ -104,12 +152,13 @@ class Writer:
         self.ends: list[tuple[int, int | None]] = []  # place among the waiting tokens, doc_id
         self.tokens = self.docs = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, stops: np.ndarray) -> None:
+        """Add documents that lie in a row in ``ids`` and end before ``stops``."""
+        self.ends += zip((stops + (self.held - 1)).tolist(), doc_ids, strict=True)
         self.waiting.append(ids)
         self.held += len(ids)
-        self.ends.append((self.held - 1, doc_id))
         self.tokens += len(ids)
-        self.docs += 1
+        self.docs += len(doc_ids)
         if self.held >= self.rows * self.length:
             self.flush(self.held // (self.rows * self.length) * self.rows)
 
@@ -151,15 +200,15 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END, le
         task = TaskContext.get()
         name = f"{folder}/tokens-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
         for whole in batches:
-            for part in pieces(whole, 8 << 20):
+            for part in pieces(whole, PIECE):
                 if not part.num_rows:
                     continue
                 if writer is None:
                     if folder.startswith("file:"):
                         pa.fs.LocalFileSystem().create_dir(folder.removeprefix("file://"))
                     writer = Writer(name, words.kind, length, batch)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(part.column("text").to_pylist()), strict=True):
-                    writer.add(doc_id, np.append(ids, np.array([end], words.kind)))
+                flat, stops = words.encode(part.column("text"))
+                writer.add(part.column("doc_id").to_pylist(), np.insert(flat, stops, words.kind.type(end)), stops + np.arange(1, len(stops) + 1))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"place": [task.partitionId()], "file": [name], "docs": [writer.docs], "tokens": [writer.tokens]})
