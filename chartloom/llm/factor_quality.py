@@ -178,8 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
             "places": pa.array([p for p, _ in made], pa.list_(pa.int32())), "statistics": pa.array([s for _, s in made], pa.list_(pa.float64())),
         }
 
-    table = batches_of(texts, features, "doc_id long, quality int, places array<int>, statistics array<double>", 4 << 20).toArrow()
-    taken = sorted(table.to_pylist(), key=lambda r: (r["doc_id"], r["statistics"], r["places"]))[:rows]
+    made = batches_of(texts, features, "doc_id long, quality int, places array<int>, statistics array<double>", 4 << 20)
+    # One row for a doc_id, however often it is repeated, so that at most ``rows`` rows reach the driver.
+    one = made.groupBy("doc_id").agg(F.min(F.struct("statistics", "places", "quality")).alias("row")).select("doc_id", "row.*")
+    taken = sorted(one.toArrow().to_pylist(), key=lambda r: r["doc_id"])
     made = [(np.sort(np.array(r["places"], np.int64)), np.array(r["statistics"])) for r in taken]
     return fit(made, np.array([r["quality"] for r in taken], np.float64))
 

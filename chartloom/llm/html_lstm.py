@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import batches_of
+from chartloom.llm.shared import batches_of, smallest
 
 TRAIN_PAGES = 300
 TRAIN_CHARS = 40_000
@@ -350,11 +350,11 @@ class Labeller:
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Labeller:
     """Fit on a bounded sample of pages, which is all that reaches the driver."""
-    sample = (
-        pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-        .filter(F.length("html").between(1, TRAIN_CHARS)).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(most)
+    fit_for = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).filter(
+        F.length("html").between(1, TRAIN_CHARS)
     )
-    taken = [r.html for r in sample.collect()]
+    sample = smallest(fit_for, F.xxhash64("page_id", F.length("html")), most)
+    taken = [r.html for r in sorted(sample.collect(), key=lambda r: (r.page_id is not None, r.page_id, r.html))]
     labeller, encoder, rng = Labeller(), Encoded(), random.Random(3)
     others = [b.text for page in taken[:100] for b in blocks_of(page)] or ["text"]
     rows, labels = lessons(taken, encoder, others, rng)

@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import shared_folder, stored
+from chartloom.llm.shared import shared_folder, smallest, stored
 
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Characters of context kept on either side.
@@ -82,7 +82,7 @@ def known_shapes(found: DataFrame) -> DataFrame:
 
 def ordinary_words(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Log chances of letter pairs, and common words of 3 to 8 letters, from a bounded number of documents."""
-    some = docs.select(F.xxhash64("text").alias("mark"), "text").orderBy("mark").limit(WORD_DOCUMENTS)
+    some = smallest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.xxhash64("doc_id", F.length("text")), WORD_DOCUMENTS)
     words = stored(
         some.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("times")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package wherever the driver was started.
+
+    On a cluster the package is installed or sent with ``--py-files``; the path is harmless there.
+    """
+    root, environment = str(pathlib.Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors can reach.
 
@@ -18,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder is used in local mode, where all tasks share the machine, and any
     other master is refused.
     """
+    importable(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -42,6 +55,16 @@ def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def smallest(df: DataFrame, mark: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest marks.
+
+    Only marks are ordered and one of them reaches the driver, so wide rows are
+    not moved. More rows than wanted share the last mark only if they repeat.
+    """
+    top = df.select(mark.alias("mark")).filter("mark IS NOT NULL").orderBy("mark").limit(rows).agg(F.max("mark")).first()[0]
+    return df.filter(mark <= F.lit(top).cast("long")).limit(rows)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     plain = F.length(text) == F.octet_length(text)
@@ -54,6 +77,7 @@ def batches_of(
 ) -> DataFrame:
     """Apply ``rows`` (record batch to columns) to batches whose texts together stay near ``bytes_a_batch``."""
 
+    importable(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
