@@ -155,7 +155,7 @@ def respiratory_scores(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey", clinical.respiratory_points((30 + F.col("o_custkey") % 120).cast("double"), share, key % 2 == 0).alias("points"))
 
 
-@register(r"""SELECT CAST(l_orderkey AS VARCHAR) AS vid, '[Structured Microbiology]' AS section, '- [Time ' || strftime(moment, '%H:%M') || '] '
+@register(rf"""SELECT {views.USER_OF_ORDER} AS vid, '[Structured Microbiology]' AS section, '- [Time ' || strftime(moment, '%H:%M') || '] '
     || source || ' | ' || organism || ' | ' || result AS line FROM (SELECT *,
     TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey * 11 + l_linenumber * 29) % 720 AS INTEGER)) AS moment,
     CASE WHEN l_linestatus = 'O' THEN 'Blood' ELSE 'Urine' END AS source, ['Escherichia coli', '', 'No growth', 'Klebsiella'][l_partkey % 4 + 1] AS organism,
@@ -164,7 +164,7 @@ def culture_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The text line of every culture of a visit without a reference time."""
     cultures = views.part_cultures(spark, folder).select(
         F.col("visit_occurrence_id").alias("vid"), F.col("collection_datetime").alias("moment"), "source", "organism", "result")
-    anchors = views.table(spark, folder, "lineitem").select(F.col("l_orderkey").cast("string").alias("vid")).distinct().withColumn(
+    anchors = views.table(spark, folder, "events").select(F.col("user_id").cast("string").alias("vid")).distinct().withColumn(
         "t0_time", F.lit(None).cast("timestamp_ntz"))
     none = cultures.limit(0)
     empty = none.select("vid", "moment", F.lit("").alias("measurement_name"), F.lit(0.0).alias("value"), F.lit("").alias("value_as_string"), F.lit("").alias("unit"))

@@ -163,15 +163,24 @@ def user_visits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def user_of_order(spark: SparkSession, folder: str) -> Column:
+    """The user an order belongs to: users are numbered from 0 without gaps at the scales of the driver."""
+    users = table(spark, folder, "events").agg(F.max("user_id") + 1).scalar()
+    return (F.col("l_orderkey") % users).cast("string")
+
+
+USER_OF_ORDER = "CAST(l_orderkey % (SELECT max(user_id) + 1 FROM events) AS VARCHAR)"
+
+
 def _lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *columns))
 
 
 def order_drugs(spark: SparkSession, folder: str) -> DataFrame:
-    """lineitem as DRUG EXPOSURE in January, one visit per order."""
+    """lineitem as DRUG EXPOSURE in January; every order belongs to one of the users."""
     start = hours_after("2024-01-01", (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 720)
     return _lines(spark, folder, "l_partkey", "l_quantity", "l_returnflag", "l_tax").select(
-        F.col("l_orderkey").cast("string").alias("visit_occurrence_id"),
+        user_of_order(spark, folder).alias("visit_occurrence_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("drug_exposure_id"),
         start.alias("drug_start_datetime"),
         (start + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))).alias("drug_end_datetime"),
@@ -183,7 +192,7 @@ def order_drugs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-DRUGS_SQL = """SELECT CAST(l_orderkey AS VARCHAR) AS vid, l_returnflag AS flag, l_tax AS rate,
+DRUGS_SQL = f"""SELECT {USER_OF_ORDER} AS vid, l_returnflag AS flag, l_tax AS rate,
   TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey * 7 + l_linenumber * 131) % 720 AS INTEGER)) AS s,
   TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey * 7 + l_linenumber * 131) % 720 AS INTEGER))
     + to_hours(CAST(l_quantity AS INTEGER)) AS e FROM lineitem"""
@@ -195,9 +204,10 @@ def part_cultures(spark: SparkSession, folder: str) -> DataFrame:
         F.array(*(F.lit(o) for o in ORGANISMS)), (F.col("l_partkey") % len(ORGANISMS) + 1).cast("int")
     )
     return _lines(spark, folder, "l_partkey", "l_linestatus", "l_returnflag").select(
-        F.col("l_orderkey").cast("string").alias("visit_occurrence_id"),
+        user_of_order(spark, folder).alias("visit_occurrence_id"),
         F.col("l_partkey").cast("string").alias("culture_id"),
-        (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("row_order"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 8 + F.col("l_partkey") % 4 * 2
+         + (F.col("l_linestatus") == "O").cast("int")).alias("row_order"),
         hours_after("2024-01-01", (F.col("l_orderkey") * 11 + F.col("l_linenumber") * 29) % 720).alias("collection_datetime"),
         F.when(F.col("l_linestatus") == "O", "Blood").otherwise("Urine").alias("source"),
         organism.alias("organism"),
@@ -206,7 +216,7 @@ def part_cultures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORGANISMS = ("Escherichia coli", "", "No growth", "Klebsiella")
-CULTURES_SQL = """SELECT CAST(l_orderkey AS VARCHAR) AS vid, l_partkey * 10 + l_linenumber AS place,
+CULTURES_SQL = f"""SELECT {USER_OF_ORDER} AS vid, (l_orderkey * 10 + l_linenumber) * 8 + l_partkey % 4 * 2 + CAST(l_linestatus = 'O' AS INTEGER) AS place,
   TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey * 11 + l_linenumber * 29) % 720 AS INTEGER)) AS moment,
   CASE WHEN l_linestatus = 'O' THEN 'Blood' ELSE 'Urine' END AS source,
   ['Escherichia coli', '', 'No growth', 'Klebsiella'][l_partkey % 4 + 1] AS organism,
