@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -217,13 +218,15 @@ class Pieces:
         return [np.frombuffer(b"".join(map(self.ids.__getitem__, c)), KIND) for c in cut]
 
 
-def _coded(path: str, listed: bool, texts: bool):
-    state: dict[str, Pieces] = {}
+@cache
+def pieces_of(path: str) -> Pieces:
+    """One model for all tasks of a Python worker; what it remembers is bounded."""
+    return Pieces(path)
+
 
+def _coded(path: str, listed: bool, texts: bool):
     def rows(batch: pa.RecordBatch) -> dict:
-        pieces = state.get("pieces")
-        if pieces is None:
-            pieces = state["pieces"] = Pieces(path)
+        pieces = pieces_of(path)
         ids = [i.tolist() for i in pieces.encode(batch.column("text").to_pylist())]
         back = pieces.library.decode(ids, num_threads=1) if ids else []
         return {
