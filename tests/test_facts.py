@@ -114,3 +114,12 @@ def test_vasopressor_days_and_vent(spark):
     drugs = [("1", "d", "2026-01-01 08:00", "2026-01-03 08:00", "Norepinephrine", "IV", "0.2", None)]
     rows, _ = compute(spark, [("1", 1, "2026-01-01 09:00", None)], measurements, drugs, [("9", "c", None, "", "", "")])
     assert rows["1"].daily_sofa_map == {0: 8, 1: 4, 2: 4}
+
+
+def test_hot_undated_visit_and_placeholder_end(spark):
+    """Half of the hot visit's rows have no date; a drug runs to the year 9999."""
+    visits = [("1", 1, "2026-01-08 09:00", None)]
+    measurements = [("1", f"m{i}", None if i % 2 else f"2026-01-0{8 + i % 3 if 8 + i % 3 < 10 else 9} 10:00", "lactate", float(1 + i % 5), None, "mmol/L") for i in range(4000)]
+    drugs = [("1", "d", "2026-01-08 10:00", "9999-12-31", "Norepinephrine", "IV", None, None)]
+    rows, _ = compute(spark, visits, measurements, drugs, [("1", "c", None, "", "", "")])
+    assert rows["1"].sep6_v3 == "5" and len(rows["1"].daily_sofa_map) < 10
