@@ -25,6 +25,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,9 @@ LENGTH = 2048
 BATCH = 64
 END = 2
 #: Remembered words of one Python worker.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at once.
-PIECE = 3 << 20
+PIECE = 4 << 20
 #: New words that the library encodes at once.
 LINE = 2000
 #: Letters that no normalisation joins or parts, then ASCII marks but the apostrophe: at most one word each.
@@ -126,6 +127,12 @@ class Words:
         return gathered(ids, size, used), np.where(words > 0, np.append(stops, 0)[words - 1], 0)
 
 
+@cache
+def words_of(path: str) -> Words:
+    """One tokenizer for all tasks of a Python worker; what it remembers is bounded."""
+    return Words(path)
+
+
 def gathered(ids: np.ndarray, size: np.ndarray, used: np.ndarray) -> np.ndarray:
     """The stretches of ``ids`` with the given sizes, taken in the order of ``used``."""
     sizes = size[used]
@@ -195,7 +202,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END, le
     """Write the files; return their manifest: place in the order, file, documents, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         writer = None
         task = TaskContext.get()
         name = f"{folder}/tokens-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
