@@ -52,7 +52,7 @@ class Features:
     def words(self, different: set[str]) -> np.ndarray:
         new = different.difference(self.places)
         if new:
-            if len(self.places) + len(new) > 400_000:
+            if len(self.places) + len(new) > 200_000:
                 self.places, new = {}, different
             self.places.update((w, zlib.crc32(w.encode()) % WORD_SPACE) for w in new)
         return np.fromiter(map(self.places.__getitem__, different), np.int64, len(different))

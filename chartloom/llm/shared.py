@@ -91,6 +91,7 @@ def batches_of(
                     [pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in out],
                     schema=out,
                 )
+        pa.default_memory_pool().release_unused()  # an idle worker holds no memory that other tasks need
 
     return df.mapInArrow(run, fields)
 
