@@ -31,14 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
     other master is refused.
     """
     importable(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    # With its scheme, the folder means the same to Spark and to Arrow's file systems in the tasks.
+    path = context._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.startswith("file:/"):
+        whole = f"file:///{whole.removeprefix('file:').lstrip('/')}"
+    return f"{whole.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
