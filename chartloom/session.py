@@ -33,12 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     A private folder is made only in local mode, as in tests, where the session
     names none; on a cluster that is an error, as executors share no folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='chartloom-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = tempfile.mkdtemp(prefix="chartloom-shared-")
+        context.setCheckpointDir(shared)
     return shared.rstrip("/")
 
 
