@@ -66,9 +66,14 @@ def csv_header(spark: SparkSession, path: str, encoding: str = ENCODINGS[0]) ->
     return names
 
 
-def read_csv(spark: SparkSession, path: str, strict_width: bool = False, encoding: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, strict_width: bool = False, encoding: str | None = None, line_breaks: bool = True
+) -> DataFrame:
     """CSV text columns, quotes and line breaks in cells included.
 
+    A file whose cells may hold line breaks is read by one task. Turn
+    ``line_breaks`` off for files that have none, so that Spark splits them.
+
     With ``strict_width`` a row whose width differs from the header is an error
     when the table is read.
     """
@@ -78,7 +83,7 @@ def read_csv(spark: SparkSession, path: str, strict_width: bool = False, encodin
     rows = (
         spark.read.schema(schema)
         .option("header", True).option("enforceSchema", True).option("encoding", _spark_encoding(encoding))
-        .option("multiLine", True).option("quote", '"').option("escape", '"')
+        .option("multiLine", line_breaks).option("quote", '"').option("escape", '"')
         .option("mode", "FAILFAST" if strict_width else "PERMISSIVE")
         .csv(path)
     )

@@ -62,6 +62,8 @@ def test_csv_rules(spark, tmp_path):
     assert tables.csv_encoding(spark, write(tmp_path / "a.csv", "a,b\né,1\n")) == "UTF-8"
     assert tables.csv_encoding(spark, write(tmp_path / "b.csv", "a,b\né,1\n", "cp1252")) == "windows-1252"
     assert tables.read_csv(spark, write(tmp_path / "c.csv", "\ufeffa,b\né,1\n")).first().asDict() == {"a": "é", "b": "1"}
+    plain = write(tmp_path / "g.csv", 'a,b\n"x,""y""",1\nz,2\n')
+    assert tables.read_csv(spark, plain, line_breaks=False).collect() == tables.read_csv(spark, plain).collect() != []
     assert tables.read_csv(spark, write(tmp_path / "d.csv", "a,b\né,1\n", "cp1252")).first().a == "é"
     for bad in ("a,a\n1,2\n", "\n"):
         with pytest.raises(ValueError):
