@@ -8,10 +8,10 @@ labelled findings, a table with the columns of ``findings`` and ``label``;
 ``known_shapes`` labels findings by shapes whose meaning is certain. Only
 DataFrame functions and the DataFrame machine-learning library are used.
 
-Bounds of what is fitted: letter pairs and common words come from
-``WORD_DOCUMENTS`` documents, the forest from at most ``LABELLED`` findings of
-each label, those with the smallest hashes. All candidates of all documents are
-scored.
+What is fitted: letter pairs and common words are counted over all documents; a
+word is common from one in ``RAREST`` of all words on. Only the forest has a
+sample: at most ``LABELLED`` findings of each label, those with the smallest
+hashes. All candidates of all documents are scored.
 
 Defined results: a null text has no candidate; a null path counts as empty; a
 text without candidates has no row; repeated rows have repeated findings; with
@@ -27,15 +27,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import shared_folder, smallest, stored
+from chartloom.llm.shared import shared_folder, stored
 
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Characters of context kept on either side.
 NEAR = 60
 #: Characters of a piece of a value.
 PIECE = 64
-WORD_DOCUMENTS = 2000
-COMMON_WORDS = 3000
+#: A common word is at least one in so many words, so the dictionary has no more than so many, whatever the corpus.
+RAREST = 1_000_000
 LABELLED = 3000
 TREES, DEPTH = 24, 7
 #: Words that name a secret, and words of paths that hold examples (fixed values).
@@ -81,10 +81,10 @@ def known_shapes(found: DataFrame) -> DataFrame:
 
 
 def ordinary_words(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Log chances of letter pairs, and common words of 3 to 8 letters, from a bounded number of documents."""
-    some = smallest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.xxhash64("doc_id", F.length("text")), WORD_DOCUMENTS)
+    """Log chances of letter pairs, and common words of 3 to 8 letters, from the words of all documents."""
+    # Counted in each scan task first, so that a frequent word is one row a task.
     words = stored(
-        some.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word"))
+        docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("times")),
         folder, "words",
     )
@@ -93,7 +93,8 @@ def ordinary_words(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     # At most 26 x 26 pairs.
     firsts = Window.partitionBy(F.left("pair", F.lit(1)))
     pairs = counted.select("pair", F.log(F.col("times") / F.sum("times").over(firsts)).alias("chance"))
-    common = words.filter(F.length("word") <= 8).orderBy(F.desc("times"), "word").limit(COMMON_WORDS).select("word")
+    total = words.agg(F.sum("times")).first()[0] or 0
+    common = words.filter((F.length("word") <= 8) & (F.col("times") * RAREST >= total)).select("word")
     return stored(pairs, folder, "pairs"), stored(common, folder, "common")
 
 
@@ -125,7 +126,7 @@ def featured(found: DataFrame, pairs: DataFrame, common: DataFrame) -> DataFrame
         F.concat("part", F.coalesce(F.left(F.get("parts", F.col("at") + 1), F.lit(7)), F.lit(""))).alias("part"),
     )
     spots = piece.select("finding", "size", "at", "part", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("spot"))
-    # Both tables are bounded: 676 pairs and COMMON_WORDS words.
+    # Both tables are bounded: 676 pairs and RAREST words.
     likely = (
         spots.select("finding", F.col("part").substr(F.col("spot"), F.lit(2)).alias("pair")).filter(F.length("pair") == 2)
         .join(F.broadcast(pairs), "pair", "left")

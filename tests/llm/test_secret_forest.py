@@ -68,3 +68,12 @@ def test_labelled_findings_of_the_caller_and_few_labels(spark, documents):
     assert {r.score for r in op.scan(docs, labelled.filter("label = 1")).collect()} == {1.0}
     assert {r.score for r in op.scan(docs, labelled.limit(0)).collect()} == {0.0}
     assert op.scan(documents([])).count() == 0
+
+
+def test_words_of_all_documents_are_counted(spark):
+    # Each document has a word of its own (digits as letters); as many documents as a sample would leave some out.
+    own = lambda k: "w" + "".join(chr(97 + int(d)) for d in f"{k:04d}")
+    docs = spark.createDataFrame([(k, f"the {own(k)} zq{'zq' * (k == 4999)}zq") for k in range(5000)], "doc_id long, text string")
+    pairs, common = op.ordinary_words(docs, shared_folder(spark))
+    assert {r.word for r in common.collect()} == {"the", "zqzq", "zqzqzq", *map(own, range(5000))}
+    assert abs({r.pair: r.chance for r in pairs.collect()}["qz"]) < 1e-9
