@@ -3,7 +3,7 @@
 A page becomes a sequence of leaf blocks: text between block-level tags, with
 the path of open tags above it. A bidirectional LSTM in numpy reads, for every
 block, hashed vectors of its tag path (tag names, words of class, id and role)
-and of its words, and a few statistics, and labels the block as main text or
+and of all its words, and a few statistics, and labels the block as main text or
 not from the context of the whole page.
 
 The labeller is trained on at most ``TRAIN_PAGES`` pages of at most
@@ -25,6 +25,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ TRAIN_CHARS = 40_000
 PATH_SPACE, WORD_SPACE = 1024, 1024
 SIZE, HIDDEN, STATS = 20, 12, 6
 EPOCHS = 8
+#: Places whose vectors are looked up at once.
+PIECE = 1 << 16
 #: Least number of gradient steps, for small samples.
 STEPS = 400
 
@@ -210,7 +213,8 @@ class Encoded:
             found = self.places[name] = zlib.crc32(name.encode()) % space
         return found
 
-    def of(self, blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    def of(self, blocks: list[Block]) -> tuple[list[list[int]], list[dict[int, int]], np.ndarray]:
+        """Places of paths, how often each place has a word of the block (all its words), and statistics."""
         paths, words, stats = [], [], np.zeros((len(blocks), STATS))
         known: dict[tuple, list[int]] = {}
         for k, b in enumerate(blocks):
@@ -222,8 +226,10 @@ class Encoded:
                 path = known[b.path] = sorted(self.place(n, PATH_SPACE) for n in names)
             paths.append(path)
             own = b.text.split()
-            seen = own if len(own) <= 24 else own[:16] + own[-8:]
-            words.append([self.place("w " + w.lower(), WORD_SPACE) for w in seen])
+            times: Counter[int] = Counter()
+            for w, n in Counter(map(str.lower, own)).items():
+                times[self.place("w " + w, WORD_SPACE)] += n
+            words.append(times)
             n = len(b.text)
             stats[k] = (
                 np.log1p(n) / 6, np.log1p(len(own)) / 4, min(1.0, b.linked / n), min(b.links, 5) / 5, min(1.0, 4 * (b.text.count(".") + b.text.count(",")) / len(own)), 1.0,
@@ -258,12 +264,22 @@ class Labeller:
         for name, lists, mean in (("path", paths, False), ("word", words, True)):
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             places = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-            share = np.repeat(1 / np.maximum(1, sizes) if mean else np.full(len(sizes), 0.5), sizes)
             row = np.repeat(np.arange(len(sizes)), sizes)
+            if mean:
+                times = np.fromiter((n for x in lists for n in x.values()), np.float64, len(places))
+                share = times / np.bincount(row, times, len(sizes))[row]
+            else:
+                share = np.full(len(places), 0.5)
             some = np.flatnonzero(sizes)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[some]
-            if len(some):
-                flat[some] += np.add.reduceat(self.weights[name][places] * share[:, None], starts, axis=0)
+            ends = np.cumsum(sizes)
+            starts = (ends - sizes)[some]
+            at = 0
+            while at < len(some):  # in pieces, since a vector is much larger than its place
+                stop = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
+                low, high = starts[at], ends[some[stop - 1]]
+                part = self.weights[name][places[low:high]] * share[low:high, None]
+                flat[some[at:stop]] += np.add.reduceat(part, starts[at:stop] - low, axis=0)
+                at = stop
             kept.append((name, places, share, row))
         x = np.zeros((len(pages), steps, SIZE))
         x[mask] = np.tanh(flat)
@@ -363,9 +379,9 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Labeller:
     return labeller
 
 
-def worn(words: list[int], rng: random.Random) -> list[int]:
+def worn(words: dict[int, int], rng: random.Random) -> dict[int, int]:
     chance = rng.random()
-    return words if chance < 0.25 else [rng.randrange(WORD_SPACE) for _ in words] if chance < 0.4 else []
+    return words if chance < 0.25 else Counter(rng.randrange(WORD_SPACE) for _ in range(sum(words.values()))) if chance < 0.4 else {}
 
 
 def lessons(taken: list[str], encoder: Encoded, others: list[str], rng: random.Random) -> tuple[list[tuple], list[np.ndarray]]:

@@ -70,3 +70,22 @@ def test_held_out_pages(spark, labeller):
 def test_empty_table(spark, labeller):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert op.extract(empty, labeller).count() == 0 and op.extract(empty, op.train(empty)).count() == 0
+
+
+def test_every_word_of_a_block_is_read():
+    frame = "<p>" + "start " * 16 + "{}" + " end" * 8 + "</p>"
+    encoder, model = op.Encoded(), op.Labeller()
+    one, other = (encoder.of(op.blocks_of(frame.format(middle))) for middle in ("river stone " * 50, "cookies advert " * 50))
+    assert one[1] != other[1] and [sum(w.values()) for w in one[1]] == [124]
+    assert np.abs(model.inputs([one])[0] - model.inputs([other])[0]).max() > 1e-3
+    want = model.weights["word"][[encoder.place("w " + w, op.WORD_SPACE) for w in ["start"] * 16 + ["river", "stone"] * 50 + ["end"] * 8]].mean(0)
+    rest = one[2] @ model.weights["stat"] + 0.5 * model.weights["path"][one[0][0]].sum(0)
+    assert np.allclose(model.inputs([one])[0][0], np.tanh(rest + want))
+
+
+def test_vectors_are_looked_up_in_pieces(monkeypatch):
+    encoder, model = op.Encoded(), op.Labeller()
+    pages = [encoder.of(op.blocks_of(page(random.Random(k), k))) for k in range(3)]
+    whole = model.inputs(pages)[0]
+    monkeypatch.setattr(op, "PIECE", 7)
+    assert np.allclose(model.inputs(pages)[0], whole)
