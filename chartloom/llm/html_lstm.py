@@ -67,17 +67,36 @@ NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 WORD = re.compile(r"[a-z]+")
 
 
+class Open:
+    """An open tag, its names and the open tag above it, so that a path of any depth costs one link."""
+
+    __slots__ = ("tag", "names", "above")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Open | None) -> None:
+        self.tag, self.names, self.above = tag, names, above
+
+
 class Block:
-    __slots__ = ("text", "path", "linked", "links")
+    __slots__ = ("text", "inner", "linked", "links")
+
+    def __init__(self, text: str, inner: Open | None, linked: int, links: int) -> None:
+        self.text, self.inner, self.linked, self.links = text, inner, linked, links
 
-    def __init__(self, text: str, path: tuple[tuple[str, tuple[str, ...]], ...], linked: int, links: int) -> None:
-        self.text, self.path, self.linked, self.links = text, path, linked, links
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """Open tags with their names, the innermost last."""
+        out, tag = [], self.inner
+        while tag:
+            out.append((tag.tag, tag.names))
+            tag = tag.above
+        return tuple(reversed(out))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    inner: Open | None = None
+    counts: Counter[str] = Counter()  # open tags by name
     parts: list[str] = []
     state = [0, 0, 0]  # open links, characters in links, links of the block
     ends: dict[str, re.Pattern] = {}
@@ -87,14 +106,17 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, tuple(stack), state[1], state[2]))
+                out.append(Block(text, inner, state[1], state[2]))
         state[1] = state[2] = 0
 
     def pop(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
+        nonlocal inner
+        if counts[tag]:
+            found = False
+            while not found:
+                found = inner.tag == tag
+                counts[inner.tag] -= 1
+                inner = inner.above
 
     def add(text: str) -> None:
         if text:
@@ -134,17 +156,16 @@ def blocks_of(page: str) -> list[Block]:
             state[0] = 1
             state[2] += 1
         if not inline:
-            inner = {t for t, _ in stack}
-            if "p" in inner and tag != "button":
+            if counts["p"] and tag != "button":
                 pop("p")
-            if tag in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                stack.pop()
+            if tag in ("li", "option", "dt", "dd", "tr", "td", "th") and inner and inner.tag == tag:
+                pop(tag)
         attributes = found[3]
         names: tuple[str, ...] = ()
         if attributes and "=" in attributes:
             names = tuple(w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        if len(stack) < 200:
-            stack.append((tag, names))
+        inner = Open(tag, names, inner)
+        counts[tag] += 1
     close()
     return out
 
@@ -216,14 +237,21 @@ class Encoded:
     def of(self, blocks: list[Block]) -> tuple[list[list[int]], list[dict[int, int]], np.ndarray]:
         """Places of paths, how often each place has a word of the block (all its words), and statistics."""
         paths, words, stats = [], [], np.zeros((len(blocks), STATS))
+        sets: dict[Open | None, frozenset[str]] = {None: frozenset()}  # names of a tag and all above; shared where a tag adds none
         known: dict[tuple, list[int]] = {}
         for k, b in enumerate(blocks):
-            path = known.get(b.path)
+            fresh, tag = [], b.inner
+            while tag not in sets:
+                fresh.append(tag)
+                tag = tag.above
+            names = sets[tag]
+            for tag in reversed(fresh):
+                own_names = {f"t {tag.tag}", *(f"n {n}" for n in tag.names)}
+                names = sets[tag] = names if own_names <= names else names | own_names
+            key = (names, b.inner and b.inner.tag)
+            path = known.get(key)
             if path is None:
-                names = {f"t {t}" for t, _ in b.path} | {f"n {n}" for _, own in b.path for n in own}
-                if b.path:
-                    names.add(f"last {b.path[-1][0]}")
-                path = known[b.path] = sorted(self.place(n, PATH_SPACE) for n in names)
+                path = known[key] = sorted(self.place(n, PATH_SPACE) for n in (names | {f"last {b.inner.tag}"} if b.inner else names))
             paths.append(path)
             own = b.text.split()
             times: Counter[int] = Counter()

@@ -89,3 +89,14 @@ def test_vectors_are_looked_up_in_pieces(monkeypatch):
     whole = model.inputs(pages)[0]
     monkeypatch.setattr(op, "PIECE", 7)
     assert np.allclose(model.inputs(pages)[0], whole)
+
+
+def test_depth_has_no_limit():
+    tags = lambda b: [t for t, _ in b.path]
+    after = op.blocks_of("<aside>" + "<div>" * 5 + "<div>" * 250 + "</div>" * 250 + "t")[0]
+    assert tags(after) == ["aside"] + ["div"] * 5
+    menu = op.blocks_of("<a name=x>" * 300 + "<nav><ul><li>m</ul></nav><div class=comments>c</div>")
+    assert [tags(b)[300:] for b in menu] == [["nav", "ul", "li"], ["div"]] and menu[1].path[-1] == ("div", ("comments",))
+    deep = op.blocks_of("<font>" * 50_000 + "<i><div>x</div></b>" * 50_000 + "<footer>end")
+    paths, _, _ = op.Encoded().of(deep)
+    assert len(deep) == 50_001 and deep[-1].inner.tag == "footer" and paths[0] == paths[-2] != paths[-1]
