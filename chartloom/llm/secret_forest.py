@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Every run of at least sixteen letters, digits and joining marks is a candidate.
+Every run of at least sixteen letters, digits and joining marks is a candidate,
+and so is every value assigned to a secret's name, whatever its length and marks.
 A forest scores it from its length, character transitions (changes of kind, and
 how usual its letter pairs are in ordinary words), dictionary coverage (share of
 characters inside common words), path and neighbouring words. It is trained on
@@ -41,6 +42,11 @@ TREES, DEPTH = 24, 7
 #: Words that name a secret, and words of paths that hold examples (fixed values).
 NAMING = "key|token|secret|password|passwd|pwd|api|auth|credential|bearer|private|access|sign"
 EXAMPLES = "test|example|sample|fixture|mock|doc|spec|demo"
+#: A name with a word of NAMING, and the sign that assigns; then the value: what is quoted, or all up to a space.
+ASSIGNS = rf"(?i)(?<![\w-])(?=[\w-]*?(?:{NAMING}))[\w-]++[\\\"'`)\]]*+\s*+(?::=|=>|==?|:)\s*+\\*+[\"'`]?+"
+ASSIGNED = ASSIGNS + (
+    r"((?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|(?![\"'`]+(?:[\s,;)}\]]|$))\S++)"
+)
 #: Usual letter pairs have a higher mean than this; an unseen pair counts as rare.
 UNSEEN = -9.0
 
@@ -50,23 +56,36 @@ FEATURES = (
 )
 
 
-def findings(docs: DataFrame, folder: str, path: str = "source") -> DataFrame:
-    """Candidates with place and context: finding, doc_id, path, number, start, value, before, after."""
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.col("text").cast("string").alias("text"))
-    cut = texts.filter(F.col("text").rlike(CANDIDATE)).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "path",
-        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"),
+def places(texts: DataFrame, pattern: str, group: int) -> DataFrame:
+    """What ``pattern`` finds in each text: row, doc_id, path, start, value, before, after. The value ends the match."""
+    cut = texts.filter(F.col("text").rlike(pattern)).select(
+        "row", "doc_id", "path", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("matches"),
+        F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("found"), F.split("text", pattern, -1).alias("between"),
+    )
+    lead = F.col("number")
+    each = cut.select("row", "doc_id", "path", "matches", "between", F.posexplode("found").alias("number", "value")).select(
+        "row", "doc_id", "path", "number", "value", F.get("between", lead + 1).alias("next"),
+        F.concat(F.get("between", lead), F.expr("left(matches[number], length(matches[number]) - length(value))")).alias("lead"),
     )
-    each = cut.select("row", "doc_id", "path", "between", F.posexplode("found").alias("number", "value")).select(
-        "row", "doc_id", "path", "number", "value",
-        F.length(F.get("between", F.col("number"))).alias("gap"),
-        F.right(F.get("between", F.col("number")), F.lit(NEAR)).alias("before"),
-        F.left(F.get("between", F.col("number") + 1), F.lit(NEAR)).alias("after"),
+    each = each.select(
+        "row", "doc_id", "path", "number", "value", F.length("lead").alias("gap"),
+        F.right("lead", F.lit(NEAR)).alias("before"), F.left("next", F.lit(NEAR)).alias("after"),
     )
     # Narrow rows of one text; a text is one row of the input, so its findings are bounded.
     so_far = Window.partitionBy("row").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("start", F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value"))
+    return each.withColumn("start", F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value")).drop("gap", "number")
+
+
+def findings(docs: DataFrame, folder: str, path: str = "source") -> DataFrame:
+    """Candidates with place and context: finding, doc_id, path, number, start, value, before, after."""
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.col("text").cast("string").alias("text"))
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    runs = places(numbered, CANDIDATE, 0)
+    # A value that is a run as a whole is one finding.
+    assigned = places(numbered, ASSIGNED, 1).join(runs.select("row", "start", "value"), ["row", "start", "value"], "left_anti")
+    in_text = Window.partitionBy("row").orderBy("start", "value")
+    placed = runs.unionByName(assigned).withColumn("number", F.row_number().over(in_text) - 1)
     return stored(
         placed.select(F.monotonically_increasing_id().alias("finding"), "doc_id", "path", "number", "start", "value", "before", "after"),
         folder, "findings",
@@ -74,10 +93,15 @@ def findings(docs: DataFrame, folder: str, path: str = "source") -> DataFrame:
 
 
 def known_shapes(found: DataFrame) -> DataFrame:
-    """Label findings: 1 for issued key shapes and for values with digits assigned to a secret's name, else 0."""
+    """Label findings: 1 for issued key shapes and for values with digits assigned to a secret's name, else 0.
+
+    Short assigned values of digits only, or without digits but not one plain word, are not certain: null.
+    """
     issued = F.col("value").rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abpr]-")
-    assigned = F.lower("before").rlike(f"({NAMING})[a-z_]*\\W{{0,3}}[=:]\\W{{0,3}}$") & F.col("value").rlike("[0-9]") & (F.length("value") >= 16)
-    return found.withColumn("label", (issued | assigned).cast("int"))
+    named = F.lower("before").rlike(f"({NAMING})[a-z_]*\\W{{0,3}}[=:]\\W{{0,3}}$") | F.col("before").rlike(f"{ASSIGNS}$")
+    long, digits = F.length("value") >= 16, F.col("value").rlike("[0-9]")
+    unsure = named & ~long & ~F.col("value").rlike("^[A-Za-z][a-z]*[.,;:)]?$") & ~(digits & F.col("value").rlike("[^0-9]"))
+    return found.withColumn("label", F.when(issued | (named & digits & (long | F.col("value").rlike("[^0-9]"))), 1).when(~unsure, 0))
 
 
 def ordinary_words(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -175,8 +199,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, folder: str | None
 
 
 def masked(value: Column) -> Column:
-    """The first four characters and the length."""
-    return F.concat(F.left(value, F.lit(4)), F.lit("...("), F.length(value).cast("string"), F.lit(")"))
+    """The first characters, four and a quarter at most, and the length."""
+    return F.concat(F.left(value, F.least(F.lit(4), F.floor(F.length(value) / 4).cast("int"))), F.lit("...("), F.length(value).cast("string"), F.lit(")"))
 
 
 def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

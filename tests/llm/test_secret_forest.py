@@ -77,3 +77,12 @@ def test_words_of_all_documents_are_counted(spark):
     pairs, common = op.ordinary_words(docs, shared_folder(spark))
     assert {r.word for r in common.collect()} == {"the", "zqzq", "zqzqzq", *map(own, range(5000))}
     assert abs({r.pair: r.chance for r in pairs.collect()}["qz"]) < 1e-9
+
+
+def test_values_assigned_to_a_secrets_name_have_no_least_length(spark):
+    texts = ['a password = "Tr0ub4dor&3" b', "PWD: x1!y@z", '{"api_key":"ab.c$d:9%e","n":1}', "token = 'ab12cd34'", 'key = ""', "nothing here", "é secret=" + "a1" * 10 + " z"]
+    got = op.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shared_folder(spark))
+    rows = op.known_shapes(got).collect()
+    want = {0: "Tr0ub4dor&3", 1: "x1!y@z", 2: "ab.c$d:9%e", 3: "ab12cd34", 6: "a1" * 10}
+    assert sorted((r.doc_id, r.value) for r in rows) == sorted(want.items())
+    assert all(texts[r.doc_id][r.start :].startswith(r.value) and r.label == 1 and r.number == 0 for r in rows)
