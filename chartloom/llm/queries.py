@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chartloom.llm import (
-    decontaminate, factor_quality, html_lstm, piece_codec, poly_dedup, secret_forest, sentence_spans, separator_scan, simhash_cover,
+    decontaminate, factor_quality, html_lstm, merkle_manifest, piece_codec, poly_dedup, secret_forest, sentence_spans, separator_scan, simhash_cover,
     token_files,
 )
 
@@ -18,5 +18,8 @@ QUERIES = {
     "op8_factor_quality": factor_quality.op8_factor_quality,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+}
+CHECKS = {
+    "op6_decontaminate": decontaminate.OP6_SQL, "op7_poly_dedup": poly_dedup.OP7_SQL, "op11_merkle_manifest": merkle_manifest.OP11_SQL,
 }
-CHECKS = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_poly_dedup": poly_dedup.OP7_SQL}
