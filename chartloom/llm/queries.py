@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from chartloom.llm import (
-    decontaminate, factor_quality, html_lstm, merkle_manifest, piece_codec, poly_dedup, secret_forest, sentence_spans, separator_scan, simhash_cover,
-    token_files,
+    decontaminate, factor_quality, html_lstm, merkle_manifest, metric_codes, piece_codec, poly_dedup, secret_forest, sentence_spans,
+    separator_scan, simhash_cover, stable_buckets, token_files,
 )
 
 QUERIES = {
@@ -19,6 +19,8 @@ QUERIES = {
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
     "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_stable_buckets": stable_buckets.op12_stable_buckets,
+    "op13_metric_codes": metric_codes.op13_metric_codes,
 }
 CHECKS = {
     "op6_decontaminate": decontaminate.OP6_SQL, "op7_poly_dedup": poly_dedup.OP7_SQL, "op11_merkle_manifest": merkle_manifest.OP11_SQL,
