@@ -204,6 +204,8 @@ def _candidates(cosine: float):
                 yield different(low, high)
                 low, high, held = [], [], 0
             own = {c: v[a:b] for c, v in columns.items()}
+            # Bits of unsigned numbers: of a signed one, those of its size would be counted.
+            own |= {c: own[c].view(np.uint64) for c in ("s0", "s1")}
             for at in range(0, b - a, 256):
                 part = {c: v[at : at + 256] for c, v in own.items()}
                 bits = np.bitwise_count(part["s0"][:, None] ^ own["s0"][None]) + np.bitwise_count(part["s1"][:, None] ^ own["s1"][None])
