@@ -204,20 +204,34 @@ def _midpoints(batch: pa.RecordBatch) -> dict:
     return {"point": (bits[:, None] ^ flips[None, :]).ravel(), "bits": np.repeat(bits, 65)}
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """Rows that Spark sizes like their source, though they are many times as many: they are never broadcast."""
+    return df.hint("merge")
+
+
+def meet(distinct: DataFrame, homes: DataFrame) -> DataFrame:
+    """Replicas of the fingerprints at anchors that are someone's home; the join drops the other replicas."""
+    replicas = batches_of(distinct.select("bits"), _replicas, "anchor long, bits long, home boolean", 1 << 16)
+    return grown(replicas).join(homes, "anchor")
+
+
+def midpoints(busy: DataFrame) -> DataFrame:
+    """Values within one bit of the fingerprints."""
+    return batches_of(busy, _midpoints, "point long, bits long", 1 << 18)
+
+
 def links(distinct: DataFrame, folder: str, direct: int = DIRECT) -> DataFrame:
     """Edges (a, b) between different fingerprints whose components are those of all links."""
-    replicas = batches_of(distinct.select("bits"), _replicas, "anchor long, bits long, home boolean", 1 << 16)
     homes = stored(batches_of(distinct.select("bits"), _homes, "anchor long").distinct(), folder, "homes")
-    # Only anchors that are someone's home are compared; the join drops the other replicas.
-    met = stored(replicas.join(homes, "anchor"), folder, "met")
+    met = stored(meet(distinct, homes), folder, "met")
     counts = stored(met.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), folder, "anchors")
     few = met.join(counts.filter(F.col("size") <= direct).select("anchor"), "anchor")
     small = few.select("anchor", "bits", "home").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
     crowded = counts.filter(F.col("size") > direct).select("anchor")
     busy = met.join(crowded, "anchor").select("bits").distinct()
-    points = batches_of(busy, _midpoints, "point long, bits long", 1 << 18)
+    points = midpoints(busy)
     low = points.groupBy("point").agg(F.min("bits").alias("a"), F.max("bits").alias("high")).filter("a <> high")
-    large = points.join(stored(low.select("point", "a"), folder, "points"), "point").filter("a <> bits").select("a", F.col("bits").alias("b"))
+    large = grown(points).join(stored(low.select("point", "a"), folder, "points"), "point").filter("a <> bits").select("a", F.col("bits").alias("b"))
     return stored(small.union(large).distinct(), folder, "edges")
 
 

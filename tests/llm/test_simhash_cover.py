@@ -96,3 +96,13 @@ def test_empty_table_and_one_of_a_group(documents):
     docs = documents([(1, "a b c d"), (2, "a b c d"), (3, "x y z")])
     out = op.keep_one(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_replicas_are_never_broadcast(spark, documents):
+    """A broadcast would build what a small source has grown to."""
+    distinct = spark.createDataFrame([(i,) for i in range(50)], "bits long")
+    homes = spark.createDataFrame([(i,) for i in range(50)], "anchor long")
+    points = op.grown(op.midpoints(distinct)).join(spark.createDataFrame([(1, 2)], "point long, a long"), "point")
+    for joined in (op.meet(distinct, homes), points):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
