@@ -23,6 +23,7 @@ empty table gives no row; further columns are ignored by ``scores`` and kept by
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +44,23 @@ STATISTICS = (
 )
 
 
+#: Features that are scored at once, and characters of the words that a worker remembers.
+TOGETHER, REMEMBERED = 100_000, 1 << 20
+
+
 class Features:
     """Sparse word features and dense statistics of texts."""
 
     def __init__(self) -> None:
         self.places: dict[str, int] = {}
+        self.held = 0
 
     def words(self, different: set[str]) -> np.ndarray:
         new = different.difference(self.places)
         if new:
-            if len(self.places) + len(new) > 200_000:
-                self.places, new = {}, different
+            self.held += sum(map(len, new))
+            if self.held > REMEMBERED:
+                self.places, new, self.held = {}, different, sum(map(len, different))
             self.places.update((w, zlib.crc32(w.encode()) % WORD_SPACE) for w in new)
         return np.fromiter(map(self.places.__getitem__, different), np.int64, len(different))
 
@@ -106,9 +113,11 @@ class Machine:
     def logits(self, places: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if len(starts) == 1:
             return np.zeros(0)
-        seen = self.factors[places] * values[:, None]
+        seen = self.factors[places]
+        seen *= values[:, None]
         sums = np.add.reduceat(seen, starts[:-1], axis=0)
-        squares = np.add.reduceat(seen * seen, starts[:-1], axis=0)
+        seen *= seen
+        squares = np.add.reduceat(seen, starts[:-1], axis=0)
         linear = np.add.reduceat(self.weights[places] * values, starts[:-1])
         return self.bias + linear + 0.5 * (sums * sums - squares).sum(1)
 
@@ -155,6 +164,32 @@ def fit(made: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return machine
 
 
+def score_texts(features: Features, machine: Machine, texts: Iterable[str | None]) -> np.ndarray:
+    """Scores of texts. What is held follows the number of features, so texts are scored when they have TOGETHER of them."""
+    made, size, out = [], 0, []
+
+    def flush() -> None:
+        out.append(1 / (1 + np.exp(-np.clip(machine.logits(*machine.rows(made)), -35, 35))))
+        made.clear()
+
+    for text in texts:
+        places, statistics = features.of(text or "")
+        made.append((np.sort(places), statistics))
+        size += len(places) + 2 * len(STATISTICS)
+        if size >= TOGETHER:
+            flush()
+            size = 0
+    if made:
+        flush()
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def each(column: pa.Array) -> Iterator[str | None]:
+    """Values of a column, a few at a time."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -172,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
     def features(batch: pa.RecordBatch) -> dict:
         own = Features()
-        made = [own.of(t) for t in batch.column("text").to_pylist()]
+        made = [own.of(t) for t in each(batch.column("text"))]
         return {
             "doc_id": batch.column("doc_id"), "quality": batch.column("quality"),
             "places": pa.array([p for p, _ in made], pa.list_(pa.int32())), "statistics": pa.array([s for _, s in made], pa.list_(pa.float64())),
@@ -193,11 +228,7 @@ def scores(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> dict:
         features = state.setdefault("features", Features())
-        fitted = shared.value
-        made = [features.of(t) for t in batch.column("text").to_pylist()]
-        made = [(np.sort(p), s) for p, s in made]
-        score = 1 / (1 + np.exp(-np.clip(fitted.logits(*fitted.rows(made)), -35, 35)))
-        return {"doc_id": batch.column("doc_id"), "score": score}
+        return {"doc_id": batch.column("doc_id"), "score": score_texts(features, shared.value, each(batch.column("text")))}
 
     scored = batches_of(texts_of(docs), rows, "doc_id long, score double", 4 << 20)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
@@ -211,14 +242,8 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches):
         features = Features()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keep = []
-            for start in range(0, len(texts), 256):
-                made = [features.of(t or "") for t in texts[start : start + 256]]
-                made = [(np.sort(p), s) for p, s in made]
-                logits = shared.value.logits(*shared.value.rows(made))
-                keep.append(1 / (1 + np.exp(-np.clip(logits, -35, 35))) >= good)
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+            yield batch.filter(pa.array(score_texts(features, shared.value, each(batch.column("text"))) >= good))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

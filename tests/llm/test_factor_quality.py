@@ -68,3 +68,15 @@ def test_few_labels_and_rejection(spark, documents, case):
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == frame.columns
     assert ids == {r.doc_id for r in op.scores(frame, machine).collect() if r.predicted}
+
+
+def test_scores_do_not_depend_on_how_many_are_made_at_once(monkeypatch):
+    rng = random.Random(8)
+    texts = [text(rng, k % 2) for k in range(60)] + ["", None]
+    made = [op.Features().of(t or "") for t in texts]
+    machine = op.fit(made, np.array([k % 2 for k in range(62)], float), epochs=2)
+    together = op.score_texts(op.Features(), machine, texts)
+    monkeypatch.setattr(op, "TOGETHER", 100)
+    monkeypatch.setattr(op, "REMEMBERED", 50)
+    assert np.allclose(op.score_texts(op.Features(), machine, texts), together) and len(together) == 62
+    assert len(op.score_texts(op.Features(), machine, [])) == 0
