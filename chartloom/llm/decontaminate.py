@@ -130,39 +130,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, folder: str
     )
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """Documents with a key of their text, the hit documents, and the condition that joins them."""
+def _marked(docs: DataFrame, benchmark: DataFrame, how: str) -> DataFrame:
+    """Documents, each as one column so that no name of it can clash, joined to their hit spans."""
     bad = (
         hits(docs, benchmark).filter("contaminated")
-        .select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key"), F.col("n_bytes").alias("_bad_bytes"), F.col("spans").alias("_spans"))
-        .dropDuplicates(["_bad_id", "_bad_key", "_bad_bytes"])
+        .select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key"), F.col("n_bytes").alias("bad_bytes"), "spans")
+        .dropDuplicates(["bad_id", "bad_key", "bad_bytes"])
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_text_key", F.xxhash64(text)).withColumn("_n_bytes", F.octet_length(text))
-    same = (
-        marked["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]) & (marked["_text_key"] == bad["_bad_key"]) & (marked["_n_bytes"] == bad["_bad_bytes"])
+    marked = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("bytes")
     )
-    return marked, bad, same
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")) & (F.col("bytes") == F.col("bad_bytes"))
+    return marked.join(bad, same, how)
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    marked, bad, same = _marked(docs, benchmark)
-    return marked.join(bad, same, "left_anti").drop("_text_key", "_n_bytes")
+    return _marked(docs, benchmark, "left_anti").select("row.*")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents; the words of hit spans and what stands between them are removed from the text."""
-    marked, bad, same = _marked(docs, benchmark)
-    joined = marked.join(bad, same, "left").withColumn("_words", F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)))
-    inside = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["stop"]))
-    gap_inside = lambda i: F.exists("_spans", lambda s: (s["start"] < i) & (i < s["stop"]))
-    kept = F.transform(F.split("text", RAW_WORD, -1), lambda g, i: F.concat(
+    joined = _marked(docs, benchmark, "left").withColumn("words", F.regexp_extract_all("row.text", F.lit(RAW_WORD), F.lit(0)))
+    inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["stop"]))
+    gap_inside = lambda i: F.exists("spans", lambda s: (s["start"] < i) & (i < s["stop"]))
+    kept = F.transform(F.split("row.text", RAW_WORD, -1), lambda g, i: F.concat(
         F.when(gap_inside(i), F.lit("")).otherwise(g),
-        F.when(inside(i), F.lit("")).otherwise(F.coalesce(F.get("_words", i), F.lit(""))),
+        F.when(inside(i), F.lit("")).otherwise(F.coalesce(F.get("words", i), F.lit(""))),
     ))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(kept, ""))
+    return joined.withColumn("row", F.col("row").withField("text", text)).select("row.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

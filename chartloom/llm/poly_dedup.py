@@ -101,8 +101,11 @@ def _chunks(prime: int):
     return rows
 
 
-def _may_repeat(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Texts whose mark shares a bit with that of a group. The map has MAP_BITS bits, so its broadcast is bounded."""
+def _may_repeat(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Add ``repeats``: whether the mark of a row shares a bit with that of a group.
+
+    The map has MAP_BITS bits, so its broadcast is bounded.
+    """
     spot = F.pmod("mark", F.lit(MAP_BITS))
     bits = (
         groups.select(spot.alias("spot"))
@@ -112,21 +115,24 @@ def _may_repeat(texts: DataFrame, groups: DataFrame) -> DataFrame:
     place = F.bitmap_bit_position("spot")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return (
-        texts.withColumn("spot", spot)
+        rows.withColumn("spot", spot)
         .withColumn("bucket", F.bitmap_bucket_number("spot"))
-        .join(F.broadcast(bits), "bucket")
-        .filter(F.getbit(byte, (place % 8).cast("int")) == 1)
-        .select("text")
+        .join(F.broadcast(bits), "bucket", "left")
+        .withColumn("repeats", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+        .drop("spot", "bucket", "bits")
     )
 
 
 def exact_groups(docs: DataFrame, prime: int = PRIME, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 and the fingerprint.
+    """One row per document: doc_id, keep_id, group_size, kept and text_sha256.
 
     ``prime`` is lowered only in tests, to force fingerprints to collide.
     """
-    spark = docs.sparkSession
-    folder = folder or shared_folder(spark)
+    return _groups(docs, prime, folder or shared_folder(docs.sparkSession)).drop("mark")
+
+
+def _groups(docs: DataFrame, prime: int, folder: str) -> DataFrame:
+    """The rows of ``exact_groups`` with the mark of their text."""
     texts = texts_of(docs).withColumn("mark", F.xxhash64("text"))
     narrow = stored(
         batches_of(texts, _digests(prime), "doc_id long, mark long, h1 long, h2 long, n_bytes long, text_sha256 string")
@@ -147,7 +153,7 @@ def exact_groups(docs: DataFrame, prime: int = PRIME, folder: str | None = None)
     # Texts of one mark share its bit in the map; a group of two marks is unequal without a look.
     # Smallest and largest content of a chunk are equal exactly if all contents are; both are combined before the shuffle.
     parts = batches_of(
-        _may_repeat(texts, groups), _chunks(prime),
+        _may_repeat(texts, groups).filter("repeats").select("text"), _chunks(prime),
         "h1 long, h2 long, n_bytes long, chunk int, part binary", 8 << 20,
     )
     unequal = stored(
@@ -163,7 +169,7 @@ def exact_groups(docs: DataFrame, prime: int = PRIME, folder: str | None = None)
         key = [*KEY, "variant"]
         groups = grouped(narrow, key, "variants")
     return narrow.join(groups.drop("mark", "other_mark"), key, "left").select(
-        "doc_id",
+        "doc_id", "mark",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).alias("group_size"),
         (F.col("size").isNull() | (F.col("row") == F.col("keep.row"))).alias("kept"),
@@ -172,14 +178,26 @@ def exact_groups(docs: DataFrame, prime: int = PRIME, folder: str | None = None)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    marked = docs.withColumn("_kept_sha", sha)
-    same = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_kept_sha"] == kept["_kept_sha"])
-    return (
-        marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_kept_sha"]).drop("_kept_sha")
+    """The documents that stay, with all their columns.
+
+    Only rows whose text may repeat, by the bits of the marks, are moved; the others go through.
+    """
+    folder = shared_folder(docs.sparkSession)
+    several = stored(_groups(docs, PRIME, folder).filter("group_size > 1").select("doc_id", "text_sha256", "kept", "mark"), folder, "several")
+    keys = stored(
+        several.groupBy(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_sha"))
+        .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows")),
+        folder, "keys",
     )
+    # The row travels as one column, so that no name of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("id"))
+    marked = _may_repeat(rows.withColumn("mark", F.xxhash64("text")), several)
+    looked_at = marked.filter("repeats").withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).drop("text", "mark")
+    known = looked_at.join(keys, F.col("id").eqNullSafe(F.col("key_id")) & (F.col("sha") == F.col("key_sha")), "left")
+    out = marked.filter("NOT repeats").select("row").union(known.filter("stays IS NULL OR (stays AND rows = 1)").select("row"))
+    if not keys.filter("rows > 1").isEmpty():
+        out = out.union(known.filter("stays AND rows > 1").dropDuplicates(["id", "sha"]).select("row"))
+    return out.select("row.*")
 
 
 def op7_poly_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

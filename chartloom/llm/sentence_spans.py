@@ -185,11 +185,13 @@ def repeats(docs: DataFrame, folder: str | None = None) -> DataFrame:
 def cut(docs: DataFrame) -> DataFrame:
     """All documents and columns, with repeated spans removed from the text."""
     shorter = repeats(docs).filter("n_removed > 0").dropDuplicates(["doc_id", "text_key"]).select(
-        F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.col("text").alias("_cut_text")
+        F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), F.col("text").alias("cut_text")
     )
-    marked = docs.withColumn("_cut_key_own", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = marked["doc_id"].cast("long").eqNullSafe(shorter["_cut_id"]) & (marked["_cut_key_own"] == shorter["_cut_key"])
-    return marked.join(shorter, same, "left").withColumn("text", F.coalesce("_cut_text", "text")).select(*docs.columns)
+    # The row travels as one column, so that no name of it can clash.
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("key") == F.col("cut_key"))
+    joined = marked.join(shorter, same, "left")
+    return joined.withColumn("row", F.col("row").withField("text", F.coalesce("cut_text", "row.text"))).select("row.*")
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 import pytest
-from pyspark.sql import Row
+
+#: Names that operators use or might use themselves.
+CLASHING = (
+    "anchor", "bits", "chunk", "_h", "size", "_kept_sha", "_text_key", "_n_bytes", "_spans", "_cut_text", "row", "mark", "spans",
+)
 
 
 @pytest.fixture
@@ -7,9 +11,7 @@ def documents(spark):
     """Build a documents table from (doc_id, text) pairs, with columns whose names may clash."""
 
     def build(rows):
-        full = [Row(doc_id=i, text=t, lang="en", source="s", n_chars=0, anchor=1, bits=2, chunk=3, _h=4, key="k", size=5) for i, t in rows]
-        return spark.createDataFrame(
-            full, "doc_id long, text string, lang string, source string, n_chars long, anchor int, bits int, chunk int, _h int, key string, size int"
-        )
+        shape = "doc_id long, text string, lang string, source string, n_chars long, key string, " + ", ".join(f"{c} int" for c in CLASHING)
+        return spark.createDataFrame([(i, t, "en", "s", 0, "k", *range(len(CLASHING))) for i, t in rows], shape)
 
     return build
