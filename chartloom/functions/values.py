@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
-from chartloom.functions.text import UNICODE, strip
+from chartloom.functions.text import UNICODE, let, strip
 
 
 def _low(value: Column) -> Column:
@@ -122,37 +122,99 @@ def is_present(status: Column) -> Column:
 
 
 # Date shapes and the ISO form that the cast reads; a two-digit year from 69 on is of the last century.
-DATE_FORMS = (
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$1-$2"),
-    (r"^(\d{1,2})/(\d{1,2})/([0-5]\d|6[0-8])(?!\d)", "20$3-$1-$2"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{2})(?!\d)", "19$3-$1-$2"),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3"),
-    (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
-    (r"(?<=^\d{4}-\d{2}-\d{2}[T ])(\d{2})(\d{2})(\d{2})$", "$1:$2:$3"),
-    (r"(?<=^\d{4}-\d{2}-\d{2}[T ])(\d{2})(\d{2})$", "$1:$2"),
-)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-HALF = r"(?i)\s*([ap])\.?m\.?$"
+MONTH_NAME = (
+    r"^(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)$"
+)
+#: Words that say nothing about the moment: weekdays, ordinal endings, joints, zones.
+SILENT_WORD = r"^(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?|st|nd|rd|th|of|at|t|z|utc|gmt)$"
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}(?:[ Tt]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
+#: A clock time with an optional half of the day and zone, or a bare hour with a half.
+CLOCK = (
+    r"(?:\b|(?<=t))(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?\s*(?:([ap])\.?m\b\.?)?\s*(?:z\b|utc\b|gmt\b|[+-]\d{2}:?\d{2}\b)?"
+    r"|\b(\d{1,2})\s*([ap])\.?m\b\.?"
+)
 
 
 def lenient_timestamp(value: Column) -> Column:
     """A timestamp without zone, or null. The offset of a zoned text is dropped.
 
-    Read are ISO, slashed (month first, years of two or four digits) and packed
-    dates, month names before or after the day, and clock times of 12 or 24 hours.
+    A text is split into its clock time and the numbers and words of its date,
+    whatever stands between them. A month's name takes the month's place; a number
+    of four digits is the year; otherwise the year comes last and the month first,
+    unless that number is above 12, which makes it the day. Two-digit years are
+    1969 to 2068; a missing day is the first. Numbers of 8, 12 and 14 digits hold
+    a date, and a time behind it. Any other word makes the text unreadable.
     """
     text = F.trim(value.cast("string"))
-    named = text
-    for number, name in enumerate(MONTHS, 1):
-        named = F.regexp_replace(named, rf"(?i)^{name}[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?!\d)", f"$2-{number:02d}-$1")
-        named = F.regexp_replace(named, rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{name}[a-z]*\.?[\s,-]+(\d{{4}})(?!\d)", f"$2-{number:02d}-$1")
-    text = F.when(text.rlike("(?i)[a-z]{3}"), named).otherwise(text)
-    for shape, iso in DATE_FORMS:
-        text = F.regexp_replace(text, shape, iso)
-    half = F.lower(F.regexp_extract(text, HALF, 1))
-    moment = F.regexp_replace(text, HALF, "").try_cast("timestamp_ntz")
-    hours = F.when((half == "p") & (F.hour(moment) < 12), 12).when((half == "a") & (F.hour(moment) == 12), -12).otherwise(0)
-    return F.when((half == "") | F.hour(moment).between(1, 12), moment + F.make_dt_interval(F.lit(0), hours))
+    return F.when(text.rlike(ISO_TIME), text.try_cast("timestamp_ntz")).otherwise(let(F.lower(text), _by_grammar))
+
+
+def _by_grammar(text: Column) -> Column:
+    date = F.regexp_replace(text, CLOCK, " ")
+    words = F.regexp_extract_all(date, F.lit(r"([a-z]+|\d+)"), F.lit(1))
+    told = F.filter(words, lambda w: ~w.rlike(SILENT_WORD))
+    fit = date.rlike(r"^[a-z0-9\s,./'-]*$") & (F.length(text) <= 64)
+    return F.when(fit, let(told, lambda w: _resolved(text, w)))
+
+
+def _resolved(text: Column, words: Column) -> Column:
+    names = F.filter(words, lambda w: w.rlike("^[a-z]"))
+    numbers = F.filter(words, lambda w: ~w.rlike("^[a-z]"))
+    return let(
+        F.struct(names.alias("names"), numbers.alias("numbers")),
+        lambda s: F.when(
+            (F.size(s["names"]) == 0) | ((F.size(s["names"]) == 1) & F.get(s["names"], F.lit(0)).rlike(MONTH_NAME)),
+            _moment(text, F.get(s["names"], F.lit(0)), s["numbers"]),
+        ),
+    )
+
+
+def _moment(text: Column, name: Column, numbers: Column) -> Column:
+    first, second, third, fourth = (F.get(numbers, F.lit(k)) for k in range(4))
+    size, wide, packed = F.size(numbers), F.length(first) == 4, F.length(first).isin(8, 12, 14)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(name, 1, 3)).cast("string")
+    one = F.lit("1")
+    day_first = first.try_cast("int") > 12
+
+    def row(year: Column, month: Column, day: Column, rest: Column) -> Column:
+        return F.struct(year.alias("y"), month.alias("m"), day.alias("d"), rest.alias("rest"))
+
+    nothing = F.lit(None).cast("string")
+    date = (
+        F.when(name.isNotNull() & (size == 1) & wide, row(first, month, one, nothing))
+        .when(name.isNotNull() & (size >= 2), F.when(wide, row(first, month, second, third)).otherwise(row(second, month, first, third)))
+        .when(name.isNull() & packed & (size <= 2), row(
+            F.substring(first, 1, 4), F.substring(first, 5, 2), F.substring(first, 7, 2),
+            F.coalesce(F.when(F.length(first) > 8, F.substring(first, 9, 6)), second)))
+        .when(name.isNull() & (size >= 3) & wide, row(first, second, third, fourth))
+        .when(name.isNull() & (size >= 3), F.when(day_first, row(third, second, first, fourth)).otherwise(row(third, first, second, fourth)))
+        .when(name.isNull() & (size == 2) & wide, row(first, second, one, nothing))
+        .when(name.isNull() & (size == 2) & (F.length(second) == 4), row(second, first, one, nothing))
+        .when(name.isNull() & (size == 1) & wide, row(first, one, one, nothing))
+    )
+    spare = F.when(name.isNull() & packed, 2).when(name.isNull(), 4).otherwise(3)
+    clock = {k: F.regexp_extract(text, CLOCK, k) for k in range(1, 8)}
+    half = F.concat(clock[5], clock[7])
+    said = F.concat(clock[1], clock[6])
+
+    def whole(d: Column) -> Column:
+        short = F.length(d["y"]) == 2
+        year = F.when(short, F.concat(F.when(d["y"].try_cast("int") < 69, "20").otherwise("19"), d["y"])).when(F.length(d["y"]) == 4, d["y"])
+        digits = F.when(d["rest"].rlike(r"^(?:\d{4}|\d{6})$"), d["rest"])
+        hour = F.coalesce(F.when(said != "", said), F.substring(digits, 1, 2), F.lit("0")).try_cast("int")
+        hour24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        minute = F.coalesce(F.when(clock[2] != "", clock[2]), F.when(said == "", F.substring(digits, 3, 2)), F.lit("00"))
+        second_ = F.coalesce(F.when(clock[3] != "", clock[3]), F.when(said == "", F.when(F.length(digits) == 6, F.substring(digits, 5, 2))), F.lit("00"))
+        left_over = d["rest"].isNotNull() & (digits.isNull() | (said != ""))
+        iso = F.concat(
+            year, F.lit("-"), F.lpad(d["m"], 2, "0"), F.lit("-"), F.lpad(d["d"], 2, "0"), F.lit(" "),
+            F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), minute, F.lit(":"), second_, F.substring(clock[4], 1, 7),
+        )
+        fits = (F.length(d["m"]) <= 2) & (F.length(d["d"]) <= 2) & ~left_over & (size <= spare)
+        return F.when(fits, iso.try_cast("timestamp_ntz"))
+
+    return let(date, whole)
 
 
 def has_clock_time(value: Column) -> Column:

@@ -244,17 +244,22 @@ def item_agreement(pairs: DataFrame, items: Sequence[str] = fixed.AGREEMENT_ITEM
     return binary_metrics(counts)
 
 
-def median_of(rows: DataFrame, value: str, buckets: int = 4096) -> DataFrame:
+def median_of(rows: DataFrame, value: str, levels: int = 10) -> DataFrame:
     """Exact median from counts per distinct value.
 
-    Values are counted before the shuffle and lie in ``buckets`` equal ranges;
-    the bounded table of range counts tells which ranges hold the middle, and
-    values are ordered within a range only.
+    Values are counted before the shuffle and put in ``2 ** levels`` ranges of
+    about as many distinct values each, whatever their size; the bounded table of
+    range counts tells which ranges hold the middle, and values are ordered
+    within those only.
     """
     counts = rows.select(F.col(value).alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.agg(F.min("v").alias("least"), F.max("v").alias("most"))
-    share = (F.col("v") - ends.select("least").scalar()) / (ends.select("most").scalar() - ends.select("least").scalar())
-    ranged = counts.withColumn("range", F.when(ends.select("most").scalar() == ends.select("least").scalar(), 0).otherwise(F.floor(share * (buckets - 1))))
+    size = 1 << levels
+    # The limits only deal out the work; the result does not depend on how near they are.
+    limits = counts.agg(F.percentile_approx("v", [k / size for k in range(1, size)], 8 * size).alias("limits")).scalar()
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(levels))))
+    bounded = counts.withColumn("limits", limits)
+    place = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.get("limits", at + s - 1) < F.col("v"), s).otherwise(0))
+    ranged = bounded.select("v", "n", place.alias("range"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("range").agg(F.sum("n").alias("size"))
     starts = totals.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy()).alias("all"), "size")

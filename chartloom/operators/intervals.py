@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions.values import seconds_between
@@ -76,6 +76,49 @@ def covered_days(intervals: DataFrame, keys: list[str], first_day: str, last_day
     return intervals.select(*keys, F.explode(days).alias("day")).distinct()
 
 
+#: Blocks of 1, 2, 4 ... days; the largest spans over 40,000 years.
+LEVELS = 24
+
+
+def aligned_blocks(first: Column, last: Column) -> Column:
+    """The fewest aligned blocks of days that make up an interval, as (level, block).
+
+    A block of a level holds ``2 ** level`` days. An interval has at most two of a
+    level, so its length does not matter.
+    """
+    blocks = []
+    for level in range(LEVELS):
+        # First block that starts in the interval, and the block that its end lies in.
+        low = -F.shiftright(-first.cast("long"), level)
+        high = F.shiftright(last.cast("long") + 1, level)
+        odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+        left = odd(low) & (low < high)
+        after = F.when(left, low + 1).otherwise(low)
+        blocks += [
+            F.when(left, F.struct(F.lit(level).alias("level"), low.alias("block"))),
+            F.when(odd(high) & (after < high), F.struct(F.lit(level).alias("level"), (high - 1).alias("block"))),
+        ]
+    return F.array_compact(F.array(*blocks))
+
+
+def holding_blocks(day: Column) -> Column:
+    """The block of every level that holds a day."""
+    return F.array(*(F.shiftright(day.cast("long"), k) for k in range(LEVELS)))
+
+
+def interval_blocks(intervals: DataFrame, keys: list[str], first_day: str, last_day: str) -> DataFrame:
+    """Different blocks (keys, level, block) that make up the intervals of each key."""
+    return intervals.select(*keys, F.explode(aligned_blocks(F.col(first_day), F.col(last_day))).alias("b")).select(
+        *keys, F.col("b.level").alias("level"), F.col("b.block").alias("block")).distinct()
+
+
 def days_in_intervals(days: DataFrame, intervals: DataFrame, keys: list[str], first_day: str, last_day: str) -> DataFrame:
-    """Rows of ``days`` whose day lies in an interval of the same key."""
-    return days.join(covered_days(intervals, keys, first_day, last_day), [*keys, "day"], "left_semi")
+    """Rows of ``days`` whose day lies in an interval of the same key.
+
+    No day of an interval is listed: intervals become aligned blocks, equal blocks
+    count once, and a day looks for the block that holds it on every level.
+    """
+    blocks = interval_blocks(intervals, keys, first_day, last_day)
+    looked = days.select(*keys, "day").distinct().select(*keys, "day", F.posexplode(holding_blocks(F.col("day"))).alias("level", "block"))
+    inside = looked.join(blocks, [*keys, "level", "block"], "left_semi").select(*keys, "day").distinct()
+    return days.join(inside, [*keys, "day"], "left_semi")

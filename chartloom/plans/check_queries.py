@@ -87,7 +87,7 @@ def chosen_visits(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(r"""SELECT doc_id AS note_id FROM documents WHERE regexp_matches(text, '\S')
   AND contains(lower(concat_ws(' ', doc_id, strftime(TIMESTAMP '2026-01-01' + to_hours(CAST(doc_id * 37 % 240 AS INTEGER)), '%Y-%m-%d %H:%M:%S'), source, text)), 'tion the')""")
-def keyword_notes(spark: SparkSession, folder: str) -> DataFrame:
+def keyword_in_header(spark: SparkSession, folder: str) -> DataFrame:
     """Notes with a keyword in title, date or text."""
     return charts.notes_with_keyword(charts.clean_notes(views.notes(spark, folder)), "TION the ").select("note_id")
 

@@ -16,6 +16,8 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
 
     def keep(function: Query) -> Query:
         key = name or function.__name__
+        if key in QUERIES:
+            raise ValueError(f"two queries are called {key}")
         QUERIES[key] = function
         if sql is not None:
             CHECKS[key] = sql

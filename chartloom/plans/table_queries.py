@@ -72,8 +72,8 @@ def score_rise(spark: SparkSession, folder: str) -> DataFrame:
     """Days on an antibiotic on which the score rose by two or more."""
     t = _tables(spark, folder)
     scores = facts.daily_scores(facts.day_profile(t.measurements, t.anchors), t.drugs, t.anchors).select("vid", "day", "score")
-    on_drug = facts.antibiotic_days(facts.antibiotic_intervals(t.drugs), t.anchors)
-    return facts.rise_days(scores, on_drug).select("vid", F.col("day").cast("bigint").alias("day"), "score", "previous")
+    spans = facts.antibiotic_spans(facts.antibiotic_intervals(t.drugs), t.anchors)
+    return facts.rise_days(scores, spans).select("vid", F.col("day").cast("bigint").alias("day"), "score", "previous")
 
 
 @register(f"SELECT vid, CAST(day AS BIGINT) AS day FROM ({ABX_DAYS_SQL})")

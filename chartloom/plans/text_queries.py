@@ -360,6 +360,27 @@ def lenient_times(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey", F.date_format(read, "yyyy-MM-dd HH:mm").alias("moment"), values.offset_label(read, anchor).alias("label"))
 
 
+@register("""SELECT o_orderkey, strftime(CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderdate AS TIMESTAMP)
+      WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) WHEN 4 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)
+      WHEN 5 THEN CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)
+      ELSE o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) END, '%Y-%m-%d %H:%M') AS moment
+  FROM orders WHERE o_orderkey % 7 <> 0 OR day(o_orderdate) > 12""")
+def date_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates with the day first, dashes, dots, no separators, short years, no day, weekdays and zones."""
+    orders = views.table(spark, folder, "orders")
+    moment = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
+    shapes = (
+        "dd/MM/yyyy", "MM-dd-yyyy HH:mm", "MM.dd.yyyy", "yyyyMMddHHmmss", "d MMM yy", "MMM yyyy", "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+    )
+    written = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        written = F.when(F.col("o_orderkey") % 7 == k, F.date_format(moment, shape)).otherwise(written)
+    # A day up to 12 before its month cannot be told from a month.
+    clear = (F.col("o_orderkey") % 7 != 0) | (F.dayofmonth("o_orderdate") > 12)
+    return orders.filter(clear).select("o_orderkey", F.date_format(values.lenient_timestamp(written), "yyyy-MM-dd HH:mm").alias("moment"))
+
+
 @register("""SELECT o_orderkey, 'unread_time' AS rule, 'not a time' AS detail FROM orders WHERE o_orderkey % 13 = 12""")
 def unread_times(spark: SparkSession, folder: str) -> DataFrame:
     """Times that stay unread are listed, not lost."""
