@@ -61,10 +61,17 @@ MAIN_TAGS = frozenset("article main".split())
 MAIN_NAMES = frozenset("article content post entry story body text main".split())
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+(?:>|\Z)", re.S
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+#: An end tag inside one of these closes nothing outside of it, unless it belongs to the table.
+WALLS = frozenset("table td th caption".split())
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
+#: What the start of a table's part ends, the innermost first.
+CELLS = ("td", "th", "caption")
+ROW_GROUPS = ("thead", "tbody", "tfoot")
+ENDED = {**dict.fromkeys(CELLS, CELLS), "tr": (*CELLS, "tr"), **dict.fromkeys(ROW_GROUPS, (*CELLS, "tr", *ROW_GROUPS))}
 
 
 class Open:
@@ -96,14 +103,14 @@ def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
     inner: Open | None = None
-    counts: Counter[str] = Counter()  # open tags by name
+    scopes: list[Counter[str]] = [Counter()]  # open tags by name, one counter for each open wall
     parts: list[str] = []
     state = [0, 0, 0]  # open links, characters in links, links of the block
     ends: dict[str, re.Pattern] = {}
 
     def close() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 out.append(Block(text, inner, state[1], state[2]))
@@ -111,15 +118,25 @@ def blocks_of(page: str) -> list[Block]:
 
     def pop(tag: str) -> None:
         nonlocal inner
-        if counts[tag]:
-            found = False
-            while not found:
-                found = inner.tag == tag
-                counts[inner.tag] -= 1
-                inner = inner.above
+        for scope in reversed(scopes):
+            if scope[tag]:
+                break
+            if tag not in TABLE_PARTS or scope["table"]:
+                return
+        else:
+            return
+        found = False
+        while not found:
+            found = inner.tag == tag
+            if inner.tag in WALLS:
+                scopes.pop()
+            else:
+                scopes[-1][inner.tag] -= 1
+            inner = inner.above
 
     def add(text: str) -> None:
         if text:
+            text = html.unescape(text)  # a reference ends where a tag begins
             parts.append(text)
             if state[0]:
                 state[1] += len(text)
@@ -156,16 +173,20 @@ def blocks_of(page: str) -> list[Block]:
             state[0] = 1
             state[2] += 1
         if not inline:
-            if counts["p"] and tag != "button":
+            if scopes[-1]["p"] and tag != "button":
                 pop("p")
-            if tag in ("li", "option", "dt", "dd", "tr", "td", "th") and inner and inner.tag == tag:
+            for ended in ENDED.get(tag, ()):
+                pop(ended)
+            if tag in ("li", "option", "dt", "dd") and inner and inner.tag == tag:
                 pop(tag)
         attributes = found[3]
         names: tuple[str, ...] = ()
         if attributes and "=" in attributes:
             names = tuple(w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
         inner = Open(tag, names, inner)
-        counts[tag] += 1
+        if tag in WALLS:
+            scopes.append(Counter())
+        scopes[-1][tag] += 1
     close()
     return out
 

@@ -32,6 +32,23 @@ def test_blocks_follow_the_markup():
     assert op.blocks_of("<div class='side bar2' id=x><p>t")[0].path == (("div", ("side", "bar", "x")), ("p", ()))
 
 
+def test_comments_end_tags_and_references():
+    texts = lambda p: [b.text for b in op.blocks_of(p)]
+    tags = lambda p: [[t for t, _ in b.path] for b in op.blocks_of(p)]
+    assert texts("<p>before</p><!--><p>shown</p><!-- x --><p>after</p>") == ["before", "shown", "after"]
+    assert texts("<!--->a<!---->b<!-- > -- x --!>c<!-- never") == ["abc"]
+    assert texts("&am<b></b>p; &lt;p&gt; &am<!-- -->p; &copy 1") == ["&amp; <p> &amp; © 1"]
+    inside = tags("<aside><div><table><tr><td></div>x<p>y</td></table>z</div>w")
+    table = ["aside", "div", "table", "tr", "td"]
+    assert inside == [table, [*table, "p"], ["aside", "div"], ["aside"]]
+    assert tags("<table><tbody><tr><td><div>a<td>b<tr><th>c<tbody><tr><td>d</table>e") == [
+        ["table", "tbody", "tr", "td", "div"], ["table", "tbody", "tr", "td"], ["table", "tbody", "tr", "th"], ["table", "tbody", "tr", "td"], [],
+    ]
+    assert tags("<table><td><table></td></tr>n</table>o</table>p") == [["table", "td", "table"], ["table", "td"], []]
+    # Neither many open cells nor many stray end tags cost more than their number.
+    assert len(texts("<td><div>" * 50_000 + "</tr></b>" * 50_000 + "x")) == 1
+
+
 def test_gradient_is_that_of_the_loss():
     encoder, model = op.Encoded(), op.Labeller()
     pages = [encoder.of(op.blocks_of(page(random.Random(k), k))) for k in range(2)]
