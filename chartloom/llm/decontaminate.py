@@ -25,8 +25,8 @@ WIDTH = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text that was not lower-cased.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Hashes in a broadcast set; 16 bytes each are at most 64 MB.
-BROADCAST_HASHES = 4_000_000
+#: Hashes in a broadcast set; with its table of places and rows each takes under 100 bytes, so 100 MB at most.
+BROADCAST_HASHES = 1_000_000
 #: Stands for the row that every document contributes once.
 WHOLE = -1
 
@@ -52,12 +52,15 @@ def windows_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return window.select(hash_at(F.col("window"), F.lit(0), width).alias("h"), "window", "n", "item_id").distinct()
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_key, n_bytes and words of every document."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts.select("*", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("n_bytes"), words_of(F.col("text")).alias("words"))
+
+
 def _scan(docs: DataFrame, hashes: DataFrame, widths: list[int], width: int) -> DataFrame:
     """Candidate windows, and one row with place WHOLE for every document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    split = texts.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("n_bytes"), words_of(F.col("text")).alias("words")
-    )
+    split = _split(docs).drop("text")
     last = F.size("words") - min(widths, default=width)
     places = split.select("*", F.explode(F.sequence(F.lit(WHOLE), F.greatest(last, F.lit(WHOLE)))).alias("place"))
     fits = lambda n: F.col("place") + n <= F.size("words")
@@ -78,16 +81,46 @@ def _scan(docs: DataFrame, hashes: DataFrame, widths: list[int], width: int) ->
 DOC = ["doc_id", "text_key", "n_bytes"]
 
 
+def _scan_by_shuffle(docs: DataFrame, hashes: DataFrame, widths: list[int], width: int) -> DataFrame:
+    """The rows of ``_scan`` for a set of hashes of any size.
+
+    Only numbers are shuffled to meet the hashes: document, place and hash. A sort-merge
+    join lets Spark split the partition of a window that very many documents hold. The
+    places found, no more than a document has words, then meet its text once for their words.
+    """
+    split = _split(docs)
+    whole = split.select(
+        *DOC, F.lit(WHOLE).alias("place"), F.lit(0).alias("n"), F.lit(WHOLE).cast("long").alias("h"), F.size("words").alias("n_words"),
+        F.lit(None).cast("array<string>").alias("window"),
+    )
+    of_width = lambda n: F.transform(
+        F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>")),
+        lambda place: F.struct(place.alias("place"), F.lit(n).alias("n"), hash_at(F.col("words"), place, n).alias("h")),
+    )
+    spots = split.select(*DOC, F.inline(F.concat(*[of_width(n) for n in widths])))
+    met = spots.join(hashes.hint("merge"), "h", "left_semi")
+    per_doc = met.groupBy(*DOC).agg(F.collect_set(F.struct("place", "n", "h")).alias("met"))
+    per_doc = per_doc.select(*[F.col(c).alias(f"met_{c}") for c in DOC], "met")
+    same = F.col("doc_id").eqNullSafe(F.col("met_doc_id")) & (F.col("text_key") == F.col("met_text_key")) & (F.col("n_bytes") == F.col("met_n_bytes"))
+    texts = split.drop("words").join(per_doc, same).select(*DOC, words_of(F.col("text")).alias("words"), "met")
+    windows = texts.select(*DOC, "words", F.inline("met")).select(
+        *DOC, "place", "n", "h", F.lit(None).cast("int").alias("n_words"), F.slice("words", F.col("place") + 1, F.col("n")).alias("window")
+    )
+    return whole.unionByName(windows)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, folder: str | None = None, most: int = BROADCAST_HASHES) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, and the hit word spans."""
     folder = folder or shared_folder(docs.sparkSession)
     tests = stored(windows_of(benchmark, width), folder, "windows")
     # The widths are at most ``width`` small numbers.
     widths = sorted(r.n for r in tests.select("n").distinct().collect()) or [width]
-    hashes = tests.select("h").union(docs.sparkSession.range(1).select(F.lit(WHOLE).cast("long").alias("h"))).distinct()
     if tests.count() <= most:
-        hashes = F.broadcast(hashes)
-    found = stored(_scan(docs, hashes, widths, width), folder, "found")
+        hashes = tests.select("h").union(docs.sparkSession.range(1).select(F.lit(WHOLE).cast("long").alias("h"))).distinct()
+        found = _scan(docs, F.broadcast(hashes), widths, width)
+    else:
+        found = _scan_by_shuffle(docs, tests.select("h"), widths, width)
+    found = stored(found, folder, "found")
     known = tests.select("h", "window", F.lit(True).alias("real")).distinct()
     seen = found.join(known, ["h", "window"], "left")
     ends = F.transform(F.array_sort(F.collect_set(F.when(F.col("real"), F.struct("place", "n")))), lambda s: F.struct(s["place"].alias("start"), (s["place"] + s["n"]).alias("stop")))

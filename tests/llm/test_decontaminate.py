@@ -73,3 +73,25 @@ def test_empty_tables(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert op.hits(documents([]), bench).count() == 0
     assert [r.n_hit for r in op.hits(documents([(1, "a b")]), bench).collect()] == [0]
+
+
+def test_many_hashes_with_long_and_alike_documents(spark, documents):
+    rng = random.Random(4)
+    line = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(n))
+    items = [(i, line(30)) for i in range(40)] + [(90, "two words")]
+    shared = items[3][1]
+    docs = [(1, f"{line(10_000)} {items[5][1]} {line(10_000)} Two, Words")]
+    docs += [(10 + i, f"x{i} {shared} y") for i in range(10_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = op.hits(documents(docs), bench, most=0)
+    rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()]
+    assert sorted(rows, key=str) == brute(docs, items)
+
+
+def test_words_stay_out_of_the_join_on_hashes(spark, documents):
+    tests = op.windows_of(spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    plan = op._scan_by_shuffle(documents([(1, "a b c d")]), tests.select("h"), [3], 10)._jdf.queryExecution().sparkPlan().toString()
+    joins = [part for part in plan.split("SortMergeJoin")[1:] if "LeftSemi" in part.split("\n")[0]]
+    assert len(joins) == 1 and "Generate inline" in joins[0].split("LeftSemi")[1]
+    generate = re.search(r"Generate inline\(.*\), \[([^\]]*)\], false", joins[0])
+    assert "words" not in generate[1] and "text#" not in generate[1]
