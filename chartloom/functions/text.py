@@ -228,7 +228,7 @@ def highlight_spans(body: Column, quotes: Column, keyword: Column) -> Column:
 
     key = strip(F.coalesce(keyword, F.lit("")))
     key_low = F.lower(key)
-    pieces = F.split(low, F.concat(F.lit(r"\Q"), key_low, F.lit(r"\E")))
+    pieces = F.split(low, literal(key_low))
     # The n-th keyword starts after the first n pieces and n-1 keywords.
     ends = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),

@@ -7,6 +7,7 @@ is read once and only lines with a pattern in them leave the scan.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -148,9 +149,18 @@ def visit_evidence(notes: DataFrame, rules: RuleSet, visit: str = "visit_occurre
         rows, [visit, "term"],
         [F.asc_nulls_last("note_time"), F.asc_nulls_last("note_id"), F.col("line_no")], EVIDENCE_KEPT,
     )
+    ordered = (
+        rows.groupBy(visit)
+        .agg(F.array_sort(F.collect_list(F.when(F.col("hit").isNotNull(), _evidence_item(rules)))).alias("items"))
+    )
+    return ordered.select(visit, _kept_evidence("items").alias("evidence"), _kept_terms("items").alias("terms"))
+
+
+def _evidence_item(rules: RuleSet) -> Column:
+    """A hit with what orders it first."""
     shown = F.lit(rules.reading)
     shown = F.concat(shown, F.lit("'"), "term", F.lit("'")) if rules.show_terms else F.concat(shown, "term")
-    item = F.struct(
+    return F.struct(
         F.coalesce("note_time", F.lit(FAR_FUTURE).cast("timestamp_ntz")).alias("note_time"),
         F.coalesce("note_id", F.lit(2**62)).alias("note_order"), "line_no", "term",
         F.struct(
@@ -158,37 +168,70 @@ def visit_evidence(notes: DataFrame, rules: RuleSet, visit: str = "visit_occurre
             shown.alias("interpretation"),
         ).alias("evidence"),
     )
-    ordered = (
-        rows.groupBy(visit)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("hit").isNotNull(), item))).alias("items"))
-    )
-    return ordered.select(
-        visit,
-        F.slice("items.evidence", 1, EVIDENCE_KEPT).cast(EVIDENCE).alias("evidence"),
-        F.slice(F.array_distinct("items.term"), 1, EVIDENCE_KEPT).alias("terms"),
-    )
 
 
-def decide(visits: DataFrame, evidence: DataFrame, rules: RuleSet, run_ts: str, backend: str = "keyword_rules") -> DataFrame:
-    """Visits left-joined to their evidence as adjudication rows."""
-    rows = visits.join(evidence, "visit_occurrence_id", "left")
-    seen, present = F.col("evidence").isNotNull(), F.coalesce(F.size("evidence") > 0, F.lit(False))
+def _kept_evidence(items: str) -> Column:
+    return F.slice(f"{items}.evidence", 1, EVIDENCE_KEPT).cast(EVIDENCE)
+
+
+def _kept_terms(items: str) -> Column:
+    return F.slice(F.array_distinct(f"{items}.term"), 1, EVIDENCE_KEPT)
+
+
+def touched_hits(notes: DataFrame, rule_sets: Sequence[RuleSet], keys: tuple[str, ...]) -> DataFrame:
+    """Evidence lines of several rule sets in one pass: ``keys``, ``line_no``, ``rule_set`` and ``hit``.
+
+    The plain texts of all patterns together choose the lines that leave the
+    note; those of a rule set choose the lines that it is tried on. A note
+    without such lines stays as one row with nulls.
+    """
+    plain = [[needed_text(p) for p in rules.positive] for rules in rule_sets]
+    every = sorted({core for cores in plain for core in cores})
+
+    def may_hold(low: Column, cores: list[str]) -> Column:
+        return F.lit(True) if "" in cores else contains_any(low, cores)
+
+    lines = F.filter(F.split("note_text", "\n"), lambda line: may_hold(F.lower(line), every))
+    rows = notes.select(*keys, F.posexplode_outer(lines).alias("line_no", "line"))
+    rows = rows.withColumn("line", strip(F.col("line"))).withColumn("low", F.lower("line"))
+    numbers = F.array_compact(F.array(*(F.when(may_hold(F.col("low"), cores), F.lit(k)) for k, cores in enumerate(plain))))
+    rows = rows.select(*keys, "line_no", "line", "low", F.explode_outer(F.when(F.col("low").isNotNull(), numbers)).alias("rule_set"))
+    hit = F.lit(None)
+    for k, rules in enumerate(rule_sets):
+        hit = F.when(F.col("rule_set") == k, line_hit(F.col("line"), F.col("low"), rules)).otherwise(hit)
+    return once(rows, "hit", hit).select(*keys, "line_no", "rule_set", "hit")
+
+
+def _decision(rules: RuleSet, evidence: Column, terms: Column) -> list[Column]:
+    """What a decision says, from a visit's evidence (null without notes) and terms."""
+    seen, present = evidence.isNotNull(), F.coalesce(F.size(evidence) > 0, F.lit(False))
     met = F.array(*(F.lit(text) for text in rules.criteria))
     if rules.show_terms:
-        met = F.array(F.concat(F.lit(rules.criteria[0] + " ("), F.array_join("terms", ", "), F.lit(")")))
-    return rows.select(
-        "person_id",
-        "visit_occurrence_id",
+        met = F.array(F.concat(F.lit(rules.criteria[0] + " ("), F.array_join(terms, ", "), F.lit(")")))
+    return [
         present.alias("condition_present"),
         F.when(~seen, fixed.INDETERMINATE).when(present, fixed.POSITIVE).otherwise(fixed.NEGATIVE)
         .alias("phenotype_status"),
         F.when(~seen, 0.0).when(present, rules.scores[0]).otherwise(rules.scores[1]).alias("confidence_score"),
         F.when(present, met).otherwise(F.array().cast("array<string>")).alias("primary_criteria_met"),
-        F.coalesce("evidence", F.array().cast(EVIDENCE)).alias("key_evidence"),
+        F.coalesce(evidence, F.array().cast(EVIDENCE)).alias("key_evidence"),
         F.when(~seen, fixed.NO_NOTES_RATIONALE).when(present, rules.rationale[0]).otherwise(rules.rationale[1])
         .alias("clinical_rationale"),
+    ]
+
+
+def decide(visits: DataFrame, evidence: DataFrame, rules: RuleSet, run_ts: str, backend: str = "keyword_rules",
+           keep_terms: bool = False) -> DataFrame:
+    """Visits left-joined to their evidence as adjudication rows, on demand with the distinct terms found."""
+    rows = visits.join(evidence, "visit_occurrence_id", "left")
+    found = [F.coalesce("terms", F.array().cast("array<string>")).alias("terms")] if keep_terms else []
+    return rows.select(
+        "person_id",
+        "visit_occurrence_id",
+        *_decision(rules, F.col("evidence"), F.col("terms")),
         F.lit(run_ts).alias("adjudication_timestamp"),
         F.lit(backend).alias("inference_backend"),
+        *found,
     )
 
 
@@ -201,6 +244,7 @@ def rule_adjudicate(
     rules: RuleSet | None = None,
     max_notes: int | None = None,
     max_chars: int | None = None,
+    keep_terms: bool = False,
 ) -> DataFrame:
     """Decide every visit from its notes with the rules of the condition.
 
@@ -211,7 +255,46 @@ def rule_adjudicate(
     read = clean_notes(notes)
     if max_notes is not None:
         read = first_notes(read, max_notes, max_chars)
-    return decide(clean_visits(visits), visit_evidence(read, rules), rules, run_ts, backend)
+    return decide(clean_visits(visits), visit_evidence(read, rules), rules, run_ts, backend, keep_terms)
+
+
+def rule_adjudicate_all(
+    notes: DataFrame, visits: DataFrame, conditions: Sequence[str], run_ts: str, backend: str = "keyword_rules",
+) -> DataFrame:
+    """Decide every visit for each of several conditions, with one pass over the notes.
+
+    The rows are those of ``rule_adjudicate`` with a first column
+    ``target_condition``. Conditions that share a rule set share its work. One
+    grouping and one join serve all conditions: a visit's kept evidence is a
+    few quotes per condition. No condition, or one given twice, is refused.
+    """
+    if not conditions or len(set(conditions)) < len(conditions):
+        raise ValueError("give at least one condition, and none twice")
+    of_condition = {condition: rules_for(condition) for condition in conditions}
+    rule_sets = list(dict.fromkeys(of_condition.values()))
+    keys = ("visit_occurrence_id", "note_id", "note_time", "note_when")
+    rows = touched_hits(clean_notes(notes), rule_sets, keys).withColumn("term", F.col("hit.term"))
+    # Rows without a hit only say that the visit has notes.
+    rows = rows.withColumn("rule_set", F.when(F.col("hit").isNotNull(), F.col("rule_set")))
+    rows = first_n(
+        rows, ["visit_occurrence_id", "rule_set", "term"],
+        [F.asc_nulls_last("note_time"), F.asc_nulls_last("note_id"), F.col("line_no")], EVIDENCE_KEPT,
+    )
+    found = rows.groupBy("visit_occurrence_id").agg(*(
+        F.array_sort(F.collect_list(F.when(F.col("rule_set") == k, _evidence_item(rules)))).alias(f"items{k}")
+        for k, rules in enumerate(rule_sets)
+    ))
+    joined = clean_visits(visits).join(found, "visit_occurrence_id", "left")
+    decided = [
+        F.struct(F.lit(condition).alias("target_condition"), *_decision(rules, _kept_evidence(items), _kept_terms(items)))
+        for condition, rules in of_condition.items() for items in [f"items{rule_sets.index(rules)}"]
+    ]
+    each = joined.select("person_id", "visit_occurrence_id", F.inline(F.array(*decided)))
+    return each.select(
+        "target_condition", "person_id", "visit_occurrence_id", "condition_present", "phenotype_status", "confidence_score",
+        "primary_criteria_met", "key_evidence", "clinical_rationale", F.lit(run_ts).alias("adjudication_timestamp"),
+        F.lit(backend).alias("inference_backend"),
+    )
 
 
 def adjudicate_charts(charts: DataFrame, condition: str, run_ts: str, backend: str = "keyword_rules",

@@ -11,10 +11,10 @@ from chartloom.functions import clinical
 from chartloom.operators import charts, export, quality, rules, spans, survey
 from chartloom.plans import sql, views
 from chartloom.plans.registry import register
-from chartloom.schemas import ADJUDICATION
+from chartloom.schemas import ADJUDICATION, AUDIT
 from chartloom.session import shared_folder
 from chartloom.sources import sinks, tables
-from chartloom.streaming import incremental
+from chartloom.streaming import committed, incremental
 
 RUN_TS = "2026-01-31T00:00:00+00:00"
 DECIDED = sql.rule_decisions(views.notes_sql(True), views.NOTE_VISITS_SQL, rules.RULES["sepsis"])
@@ -223,3 +223,48 @@ def resumed_run(spark: SparkSession, folder: str) -> DataFrame:
     incremental.run_increment(ids, store, decide, "Sepsis / Septic Shock", RUN_TS)
     return incremental.stored_results(spark, store).groupBy("phenotype_status").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("visit_occurrence_id") % 3 == 0).alias("first_run"))
+
+
+@register(f"""SELECT CASE WHEN visit_occurrence_id % 3 = 0 THEN 'history' WHEN visit_occurrence_id % 3 = 1 THEN 'first' ELSE 'second' END AS run_id,
+    phenotype_status, count(*) AS n, sum(confidence_score) AS score, md5(string_agg(quotes, chr(10) ORDER BY visit_occurrence_id)) AS quotes_md5
+  FROM ({DECIDED}) GROUP BY 1, 2""")
+def committed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON history taken over, a run killed before its commit, its repeat (twice), and a run over the rest."""
+    root = _new_path(spark, "committed")
+    store, old = f"{root}/store", f"{root}/old"
+    decided = _decided(spark, folder)
+    ids = views.note_visits(spark, folder).select("visit_occurrence_id")
+
+    def decide(todo: DataFrame) -> DataFrame:
+        return decided.join(todo.select("visit_occurrence_id"), "visit_occurrence_id", "left_semi").select(*decided.columns)
+
+    third = lambda k: ids.filter(F.col("visit_occurrence_id") % 3 == k)
+    sinks.append_json(decide(third(0)), old)
+    committed.adopt_history(spark, old, store, "history", RUN_TS)
+    committed.write_attempt(decide(third(1)), store)
+    committed.run(third(1), store, decide, "first", RUN_TS)
+    committed.run(third(1), store, decide, "first", RUN_TS)
+    committed.run(ids, store, decide, "second", RUN_TS)
+    quote = F.struct("visit_occurrence_id", F.array_join("key_evidence.evidence_quote", " | ").alias("quotes"))
+    return committed.results(spark, store).groupBy("run_id", "phenotype_status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("confidence_score").alias("score"),
+        F.md5(F.array_join(F.array_sort(F.collect_list(quote))["quotes"], "\n")).alias("quotes_md5"))
+
+
+_LOGGED = """SELECT event_id AS visit_occurrence_id, event_id % 2 = 0 AS late, user_id AS person_id,
+    ['CONFIRMED_POSITIVE', 'CONFIRMED_NEGATIVE', ''][event_id % 3 + 1] AS llm_status FROM events"""
+
+
+@register(f"""SELECT visit_occurrence_id, person_id, llm_status, llm_status AS adjudication_status, contains(llm_status, 'POSITIVE') AS human_positive,
+  'physician_01' AS reviewer_id, CASE WHEN late THEN '2026-02-01' ELSE '2026-01-31T00:00:00+00:00' END AS timestamp FROM ({_LOGGED})""")
+def audit_log(spark: SparkSession, folder: str) -> DataFrame:
+    """An audit log written in two appends and read back."""
+    path = _new_path(spark, "audit")
+    k = F.col("event_id")
+    entries = views.table(spark, folder, "events").select(
+        k.alias("visit_occurrence_id"), F.col("user_id").alias("person_id"),
+        F.get(F.array(F.lit("CONFIRMED_POSITIVE"), F.lit("CONFIRMED_NEGATIVE"), F.lit("")), (k % 3).cast("int")).alias("llm_status"))
+    incremental.append_audit(entries.filter(F.col("visit_occurrence_id") % 2 == 1), path, RUN_TS)
+    incremental.append_audit(entries.filter(F.col("visit_occurrence_id") % 2 == 0), path, "2026-02-01")
+    return tables.read_json_lines(spark, path, AUDIT)[0].select(
+        "visit_occurrence_id", "person_id", "llm_status", "adjudication_status", "human_positive", "reviewer_id", "timestamp")

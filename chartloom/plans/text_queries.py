@@ -57,8 +57,14 @@ def _decisions(spark: SparkSession, folder: str, condition: str, rule_set=None)
         views.notes(spark, folder, clinical=True), views.note_visits(spark, folder), condition, RUN_TS, rules=rule_set)
 
 
-def _with_quotes(decided: DataFrame) -> DataFrame:
+def _all_decisions(spark: SparkSession, folder: str, conditions: list[str]) -> DataFrame:
+    return rules.rule_adjudicate_all(
+        views.notes(spark, folder, clinical=True), views.note_visits(spark, folder), conditions, RUN_TS)
+
+
+def _with_quotes(decided: DataFrame, *more) -> DataFrame:
     return decided.select(
+        *more,
         "visit_occurrence_id", "person_id", "condition_present", "phenotype_status", "confidence_score",
         F.array_join("key_evidence.evidence_quote", " | ").alias("quotes"))
 
@@ -78,11 +84,8 @@ def rule_adjudicate_stroke(spark: SparkSession, folder: str) -> DataFrame:
   UNION ALL SELECT 'aki', phenotype_status, count(*) FROM (
     {sql.rule_decisions(views.notes_sql(True), views.NOTE_VISITS_SQL, rules.RULES["aki"])}) GROUP BY 2""")
 def rule_status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [
-        _decisions(spark, folder, name).groupBy("phenotype_status").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(name).alias("rule_set"), "phenotype_status", "n") for name in ("ards", "aki")
-    ]
-    return parts[0].unionByName(parts[1])
+    return _all_decisions(spark, folder, ["ards", "aki"]).groupBy(F.col("target_condition").alias("rule_set"), "phenotype_status").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 CUSTOM = "Pulmonary Embolism / bacteremia (fever)"
@@ -95,12 +98,24 @@ CUSTOM = "Pulmonary Embolism / bacteremia (fever)"
   d AS ({sql.rule_decisions(views.notes_sql(True), views.NOTE_VISITS_SQL, rules.custom_rules(CUSTOM))})
   SELECT d.*, coalesce(terms, '') AS terms FROM d LEFT JOIN terms USING (visit_occurrence_id)""")
 def custom_phenotype(spark: SparkSession, folder: str) -> DataFrame:
-    decided = _decisions(spark, folder, CUSTOM, rules.custom_rules(CUSTOM))
-    met = F.coalesce(F.get("primary_criteria_met", F.lit(0)), F.lit(""))
-    head = f"Findings in the notes fit {CUSTOM} ("
-    shown = F.substring(met, len(head) + 1, F.greatest(F.length(met) - len(head) - 1, F.lit(0)))
-    return _with_quotes(decided.withColumn("terms", shown)).join(
-        decided.select("visit_occurrence_id", shown.alias("terms")), "visit_occurrence_id")
+    decided = rules.rule_adjudicate(
+        views.notes(spark, folder, clinical=True), views.note_visits(spark, folder), CUSTOM, RUN_TS,
+        rules=rules.custom_rules(CUSTOM), keep_terms=True)
+    return _with_quotes(decided, F.array_join("terms", ", ").alias("terms"))
+
+
+PHENOTYPES = {
+    "Sepsis / Septic Shock": rules.RULES["sepsis"], "Acute Ischemic Stroke": rules.RULES["stroke"], "ARDS": rules.RULES["ards"],
+    "Acute Kidney Injury (AKI)": rules.RULES["aki"], CUSTOM: rules.custom_rules(CUSTOM),
+}
+
+
+@register(" UNION ALL ".join(
+    f"SELECT '{name}' AS target_condition, * FROM ({sql.rule_decisions(views.notes_sql(True), views.NOTE_VISITS_SQL, rule_set)})"
+    for name, rule_set in PHENOTYPES.items()))
+def rule_adjudicate_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Four phenotypes and a condition by its words, decided in one pass over the notes."""
+    return _with_quotes(_all_decisions(spark, folder, list(PHENOTYPES)), "target_condition")
 
 
 # ------------------------------------------------------------------ grounding and text functions

@@ -139,3 +139,35 @@ def test_values(spark):
         values.criteria_key(F.lit("Acute Ischemic Stroke")), text.scrub_dates(F.lit("on March 3rd, 2024 and 1/2/24"))).first()
     assert list(row) == [1439, None, -3.5, [1.0, 2.0, 7.5], ["coli"], ["2"], ["9"], "3.7", "1234567", "stroke",
                          "on [DATE REDACTED] and [DATE REDACTED]"]
+
+
+def test_several_conditions_in_one_pass(spark):
+    lines = ["septic shock, acute ischemic stroke\nAKI on CKD", "no evidence of sepsis\nARDS", "  ", "history of prior stroke", "large pulmonary embolism\nurosepsis"]
+    notes = spark.createDataFrame([(i, float(100 + i), None, "n", line) for i, line in enumerate(lines)], NOTES)
+    visits = spark.createDataFrame([(str(100 + i), i, "a", "b") for i in range(len(lines) + 1)], VISITS)
+    conditions = ["Sepsis / Septic Shock", "Acute Ischemic Stroke", "ARDS", "AKI", "sepsis again", "Pulmonary Embolism (PE)", "of / the"]
+    got = rules.rule_adjudicate_all(notes, visits, conditions, "t")
+    for condition in conditions:
+        alone = rules.rule_adjudicate(notes, visits, condition, "t")
+        one = got.filter(F.col("target_condition") == condition).select(*alone.columns)
+        assert one.schema.simpleString() == alone.schema.simpleString()
+        assert sorted(one.collect(), key=str) == sorted(alone.collect(), key=str)
+    assert got.count() == len(conditions) * 6
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("note_text") and len(re.findall(r"LogicalRDD|LocalRelation", plan)) == 2
+    for wrong in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            rules.rule_adjudicate_all(notes, visits, wrong, "t")
+
+
+def test_terms_are_returned_on_demand(spark):
+    notes = spark.createDataFrame([(1, 1.0, None, "n", "pulmonary embolism, then embolism")], NOTES)
+    visits = spark.createDataFrame([("1", 1, "a", "b"), ("2", 1, "a", "b")], VISITS)
+    out = rules.rule_adjudicate(notes, visits, "Pulmonary Embolism", "t", keep_terms=True)
+    assert {r.visit_occurrence_id: r.terms for r in out.collect()} == {1: ["pulmonary embolism"], 2: []}
+
+
+def test_a_keyword_may_hold_the_end_of_quoting(spark):
+    df = spark.createDataFrame([(r"a\Eb c a\eb (x)", r"a\Eb"), ("1+1 (x) [y]", "+1 (x) [")], "body string, key string")
+    spans = text.highlight_spans(F.col("body"), F.array().cast("array<string>"), F.col("key"))
+    assert [[(s.start, s.end) for s in r[0]] for r in df.select(spans).collect()] == [[(0, 4), (7, 11)], [(1, 9)]]
