@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import pieces, shared_folder, stored, texts_of
+from chartloom.llm.shared import pieces, shared_folder, stored, tasks_for, texts_of
 
 #: Tokens of a block.
 BLOCK = 1 << 20
@@ -130,7 +130,7 @@ def stitch(scanned: DataFrame, block: int = BLOCK) -> DataFrame:
 def count_tokens(files: DataFrame, folder: str, end: int = END, block: int = BLOCK) -> DataFrame:
     """Documents of the named flat files, found by their separators."""
     blocks = stored(blocks_of(files, block), folder, "blocks")
-    spread = blocks.repartition(max(1, blocks.count()))
+    spread = blocks.repartition(tasks_for(blocks.count()))
     return stitch(stored(scan(spread, end, block), folder, "scanned"), block)
 
 

@@ -53,6 +53,15 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Beyond this number a task reads several files or blocks, one after the other.
+MOST_TASKS = 20_000
+
+
+def tasks_for(items: int) -> int:
+    """Tasks for a number of files or blocks that are read one at a time."""
+    return min(max(items, 1), MOST_TASKS)
+
+
 def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id and whole text, null counted as empty. Other columns are dropped, so none can clash."""
     return docs.select(

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chartloom.llm.shared import pieces, shared_folder, stored, texts_of
+from chartloom.llm.shared import pieces, shared_folder, stored, tasks_for, texts_of
 
 LENGTH = 2048
 BATCH = 64
@@ -273,8 +273,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     at += len(ids)
                     yield pa.RecordBatch.from_pydict(made, pa.schema([(c, pa.int64()) for c in made]))
 
-    count = max(1, manifest.count())
-    return files.repartition(count).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(tasks_for(manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
