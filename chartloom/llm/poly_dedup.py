@@ -3,7 +3,9 @@
 A text is cut into chunks. A chunk's hash is a polynomial over its 16-bit
 digits, one for each base, modulo a 31-bit prime. Hashes compose: the hash of
 ``A + B`` is ``hash(A) * base ** digits(B) + hash(B)``, so chunks are hashed on
-their own and joined by length-shifted arithmetic. Texts of equal fingerprint
+their own and joined by length-shifted arithmetic. The chunks of a huge text are
+rows of their own, hashed by many tasks; its hash is the modular sum of the chunk
+hashes, each shifted by the digits to its right. Texts of equal fingerprint
 and length are then compared chunk by chunk, and a group with differing chunks
 is told apart by SHA-256 of the whole text.
 
@@ -19,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm.shared import batches_of, shared_folder, stored, texts_of
@@ -28,6 +30,8 @@ PRIME = (1 << 31) - 1
 BASES = (1103515245, 1664525, 69069, 214013)
 #: Bytes of a chunk. 2**15 products of a digit and a power stay below 2**62.
 CHUNK = 1 << 16
+#: A text of more bytes is hashed and compared chunk by chunk in many tasks.
+HUGE = 16 * CHUNK
 #: Bits of the map that says which texts may have a copy: 1 MB at any input size.
 MAP_BITS = 1 << 23
 KEY = ["h1", "h2", "n_bytes"]
@@ -101,6 +105,48 @@ def _chunks(prime: int):
     return rows
 
 
+def _size() -> Column:
+    return F.octet_length("text")
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """Chunks of huge texts, once for each different text: text_sha256, n_bytes, chunk and its low and high content.
+
+    Copies are combined before the shuffle, so one that many documents hold does not gather.
+    """
+    whole = texts.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), _size().cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("data"))
+    chunks = F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / CHUNK).cast("int"))
+    placed = whole.select("*", F.explode(chunks).alias("chunk"))
+    part = F.substring("data", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))
+    return placed.select("text_sha256", "n_bytes", "chunk", part.alias("part")).groupBy("text_sha256", "n_bytes", "chunk").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"))
+
+
+def _shifted(prime: int):
+    state: dict[str, np.ndarray] = {}
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        table = state.get("table")
+        if table is None:
+            table = state["table"] = powers(prime=prime)
+        made: dict[str, list] = {f"s{k}": [] for k in range(len(BASES))}
+        for n_bytes, chunk, part in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "chunk", "low")), strict=True):
+            right = (max(n_bytes - (chunk + 1) * CHUNK, 0) + 1) // 2  # digits of the text after this chunk
+            for k, value in enumerate(chunk_hash(part, table, prime)[0]):
+                made[f"s{k}"].append(value * pow(BASES[k], right, prime) % prime)
+        return {**made, "text_sha256": batch.column("text_sha256"), "n_bytes": batch.column("n_bytes")}
+
+    return rows
+
+
+def huge_prints(texts: DataFrame, prime: int = PRIME) -> DataFrame:
+    """text_sha256 and fingerprint of every different text of ``texts``, whose chunks are hashed in parallel."""
+    sums = batches_of(_pieces(texts), _shifted(prime), "text_sha256 string, n_bytes long, s0 long, s1 long, s2 long, s3 long", 8 << 20)
+    whole = sums.groupBy("text_sha256", "n_bytes").agg(*((F.sum(f"s{k}") % prime).alias(f"s{k}") for k in range(len(BASES))))
+    joined = lambda a, b: F.shiftleft(a, 31).bitwiseOR(F.col(b))
+    return whole.select("text_sha256", joined("s0", "s1").alias("h1"), joined("s2", "s3").alias("h2"), "n_bytes")
+
+
 def _may_repeat(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Add ``repeats``: whether the mark of a row shares a bit with that of a group.
 
@@ -123,19 +169,24 @@ def _may_repeat(rows: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, prime: int = PRIME, folder: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, prime: int = PRIME, folder: str | None = None, huge: int = HUGE) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept and text_sha256.
 
-    ``prime`` is lowered only in tests, to force fingerprints to collide.
+    ``prime`` and ``huge`` are lowered only in tests, to force fingerprints to
+    collide and texts to be spread.
     """
-    return _groups(docs, prime, folder or shared_folder(docs.sparkSession)).drop("mark")
+    return _groups(docs, prime, folder or shared_folder(docs.sparkSession), huge).drop("mark")
 
 
-def _groups(docs: DataFrame, prime: int, folder: str) -> DataFrame:
+def _groups(docs: DataFrame, prime: int, folder: str, huge: int = HUGE) -> DataFrame:
     """The rows of ``exact_groups`` with the mark of their text."""
     texts = texts_of(docs).withColumn("mark", F.xxhash64("text"))
+    prints = stored(huge_prints(texts.filter(_size() > huge), prime), folder, "huge")
+    shape = "doc_id long, mark long, h1 long, h2 long, n_bytes long, text_sha256 string"
+    of_huge = texts.filter(_size() > huge).select("doc_id", "mark", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")).join(
+        prints, "text_sha256").select("doc_id", "mark", *KEY, "text_sha256")
     narrow = stored(
-        batches_of(texts, _digests(prime), "doc_id long, mark long, h1 long, h2 long, n_bytes long, text_sha256 string")
+        batches_of(texts.filter(_size() <= huge), _digests(prime), shape).union(of_huge)
         .withColumn("row", F.monotonically_increasing_id()),
         folder, "digests",
     )
@@ -152,12 +203,13 @@ def _groups(docs: DataFrame, prime: int, folder: str) -> DataFrame:
     groups, key = grouped(narrow, KEY, "groups"), KEY
     # Texts of one mark share its bit in the map; a group of two marks is unequal without a look.
     # Smallest and largest content of a chunk are equal exactly if all contents are; both are combined before the shuffle.
-    parts = batches_of(
-        _may_repeat(texts, groups).filter("repeats").select("text"), _chunks(prime),
-        "h1 long, h2 long, n_bytes long, chunk int, part binary", 8 << 20,
-    )
+    again = _may_repeat(texts, groups).filter("repeats").select("text")
+    parts = batches_of(again.filter(_size() <= huge), _chunks(prime), "h1 long, h2 long, n_bytes long, chunk int, part binary", 8 << 20)
+    long_parts = _pieces(again.filter(_size() > huge)).join(prints, ["text_sha256", "n_bytes"])
     unequal = stored(
-        parts.groupBy(*KEY, "chunk").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        parts.select(*KEY, "chunk", F.col("part").alias("low"), F.col("part").alias("high"))
+        .union(long_parts.select(*KEY, "chunk", "low", "high"))
+        .groupBy(*KEY, "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .filter("low <> high").select(*KEY)
         .union(groups.filter("mark <> other_mark").select(*KEY)).distinct(),
         folder, "unequal",

@@ -45,6 +45,26 @@ def test_groups_match_brute_force(documents):
     assert set(kept.values()) == {1}
 
 
+def test_chunks_of_huge_texts_are_hashed_in_parallel(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdé ") for _ in range(100 * op.CHUNK))
+    texts = [long, long, long[:-1] + "x", "a" * (2 * op.CHUNK), "b" * (2 * op.CHUNK + 1), "é" * op.CHUNK, "odd"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert len(long.encode()) > 100 * op.CHUNK and op._pieces(df).filter("chunk = 100").count() == 2
+    for prime in (op.PRIME, 11):
+        table = op.powers(prime=prime)
+        want = {hashlib.sha256(t.encode()).hexdigest(): (len(t.encode()), op.fingerprint(t.encode(), table, prime)) for t in texts}
+        got = {r.text_sha256: (r.n_bytes, (r.h1 >> 31, r.h1 & op.PRIME, r.h2 >> 31, r.h2 & op.PRIME)) for r in op.huge_prints(df, prime).collect()}
+        assert got == want
+
+
+def test_huge_texts_are_grouped_like_others(documents):
+    rows = [(i, t) for i, t in enumerate(["x" * 9, "x" * 9, "y" * 9, "short", "short", None, "ab" * op.CHUNK, "ab" * op.CHUNK, "ba" * op.CHUNK])]
+    for prime in (op.PRIME, 2):
+        got = op.exact_groups(documents(rows), prime=prime, huge=8).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute(rows)
+
+
 def test_colliding_fingerprints_are_told_apart(documents):
     rows = [(i, f"{i % 37:03d}") for i in range(200)]
     got = op.exact_groups(documents(rows), prime=2).collect()
