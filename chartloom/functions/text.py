@@ -194,6 +194,18 @@ def short_number(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def plain_number(value: Column) -> Column:
+    """A number as text without an exponent, which a reader could take for a value of its own."""
+    digits = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+    usual = (value == 0) | F.abs(value).between(1e-3, 9999999)
+    return F.when(usual, value.cast("string")).otherwise(F.coalesce(digits, value.cast("string")))
+
+
+def text_digest(text: Column) -> Column:
+    """A number per row whose sum over any rows, in any order, is a digest of them all."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def highlight_spans(body: Column, quotes: Column, keyword: Column) -> Column:
     """Marked spans of a note: quotes first found, every keyword, no overlaps.
 

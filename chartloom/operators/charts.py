@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
 from chartloom.functions import values
-from chartloom.functions.text import is_blank, scrub_dates, strip
+from chartloom.functions.text import is_blank, plain_number, scrub_dates, strip
 from chartloom.schemas import PANEL_NOTE, SPAN_NOTE, conform, id_column, lower_names, time_column, whole_number, with_missing
 from chartloom.skew import first_n, join_spread, number_rows
 
@@ -296,7 +296,7 @@ def structured_lines(measurements: DataFrame, cultures: DataFrame, drugs: DataFr
     def shown(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
 
-    number = F.coalesce(F.col("value").cast("string"), F.trim(shown("value_as_string")))
+    number = F.coalesce(plain_number(F.col("value")), F.trim(shown("value_as_string")))
     vitals = F.concat(F.lit("- ["), at("moment"), F.lit("] "), shown("measurement_name"), F.lit(": "), number,
                       F.lit(" "), F.trim(shown("unit")))
     micro = F.concat(F.lit("- ["), at("moment"), F.lit("] "), shown("source"), F.lit(" | "), shown("organism"),

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
-from chartloom.operators import abstraction, charts, export, facts, quality, responses, rules, survey
-from chartloom.plans import cohort, sql, views
+from chartloom.operators import charts, export, facts, quality, responses, rules, survey
+from chartloom.plans import sql, views
 from chartloom.plans.registry import register
 from chartloom.sources import tables
 from chartloom.streaming import incremental
@@ -333,59 +333,3 @@ def survey_audit(spark: SparkSession, folder: str) -> DataFrame:
         "case_id", F.lit(fixed.POSITIVE).alias("phenotype_status"), F.lit("SIRS was not documented").alias("clinical_rationale"),
         F.array().cast("array<string>").alias("primary_criteria_met"), F.array().cast(rules.EVIDENCE).alias("key_evidence"))
     return survey.audit_results(said, prepared).select("case_id", "check")
-
-
-# ------------------------------------------------------------------ staged abstraction
-def _cohort_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    title = pick(F.col("note_id"), "Discharge Summary", "H&P", "Progress", "Nursing", "Operative report")
-    notes = views.notes(spark, folder, clinical=True).withColumn("note_title", title)
-    return {
-        "notes": notes, "visits": views.user_visits(spark, folder), "measurements": views.measurements(spark, folder),
-        "drugs": views.order_drugs(spark, folder), "cultures": views.part_cultures(spark, folder),
-    }
-
-
-_PANEL_NOTES = f"""SELECT n.* FROM ({views.notes_sql(True)}) n WHERE note_id % 5 = 0"""
-
-
-@register(f"""WITH v AS (SELECT DISTINCT user_id AS vid FROM events), d AS ({_PANEL_NOTES}),
-  e AS (SELECT DISTINCT visit_occurrence_id AS vid FROM ({sql.rule_lines(_PANEL_NOTES, rules.RULES["sepsis"])})),
-  a AS (SELECT visit_occurrence_id AS vid, bool_or(regexp_matches(lower(note_text), '(possible|probable|suspected|concern for|rule out)\\s+(sepsis|septic)([^\\p{{L}}\\p{{N}}_]|$)')) AS amb
-    FROM d WHERE regexp_matches(note_text, '\\S') GROUP BY 1)
-  SELECT CAST(v.vid AS VARCHAR) AS vid, CASE WHEN a.vid IS NULL THEN '3' WHEN e.vid IS NOT NULL THEN '1' WHEN amb THEN '3' ELSE '2' END AS gate
-  FROM v LEFT JOIN e USING (vid) LEFT JOIN a USING (vid)""")
-def stage_gates(spark: SparkSession, folder: str) -> DataFrame:
-    """First gate of every visit from its discharge summaries."""
-    t = _cohort_tables(spark, folder)
-    nothing = spark.createDataFrame([], "vid string, moment timestamp_ntz")
-    anchors = facts.encounters(t["visits"], nothing)
-    notes = charts.panel_notes(t["notes"], anchors)
-    lines = spark.createDataFrame([], "vid string, section_order int, section string, line_time timestamp_ntz, line string")
-    signals = abstraction.visit_signals(abstraction.piece_signals(notes, lines))
-    answers = abstraction.rule_stage1(anchors.select("vid").join(signals, "vid", "left"))
-    return answers.select("vid", "gate")
-
-
-@register()
-def abstract_cohort(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole staged abstraction; its parts have checks of their own and golden tests."""
-    out = cohort.abstract_cohort(**_cohort_tables(spark, folder), run_ts=RUN_TS, institution="7")
-    return out.adjudications.drop("adjudication_timestamp")
-
-
-@register(f"""WITH v AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS vid FROM events), m AS (SELECT vid, count(*) AS n FROM ({views.MEASUREMENTS_SQL}) GROUP BY 1),
-  c AS (SELECT vid, count(*) AS n FROM ({views.CULTURES_SQL}) GROUP BY 1), d AS (SELECT vid, count(*) AS n FROM ({views.DRUGS_SQL}) GROUP BY 1),
-  t AS (SELECT CAST(visit_occurrence_id AS VARCHAR) AS vid, count(*) AS n, count(*) FILTER (note_id % 5 = 0) AS s1, count(*) FILTER (note_id % 5 = 1) AS s2
-    FROM ({views.notes_sql()}) WHERE regexp_matches(note_text, '\\S') GROUP BY 1),
-  j AS (SELECT vid, coalesce(m.n, 0) + coalesce(c.n, 0) + coalesce(d.n, 0) AS lines, coalesce(t.n, 0) AS n, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2
-    FROM v LEFT JOIN m USING (vid) LEFT JOIN c USING (vid) LEFT JOIN d USING (vid) LEFT JOIN t USING (vid))
-  SELECT vid, stage, pieces FROM j, LATERAL (VALUES ('stage1', s1), ('stage2', s2 + lines), ('stage3', n + lines)) x(stage, pieces) WHERE pieces > 0""")
-def stage_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of every stage view per visit."""
-    t = _cohort_tables(spark, folder)
-    nothing = spark.createDataFrame([], "vid string, moment timestamp_ntz")
-    anchors = facts.encounters(t["visits"], nothing)
-    lines = charts.structured_lines(
-        facts.measurement_rows(t["measurements"]), facts.culture_rows(t["cultures"]), facts.drug_rows(t["drugs"]), anchors)
-    pieces = charts.stage_pieces(charts.panel_notes(t["notes"], anchors), lines)
-    return pieces.groupBy("vid", "stage").agg(F.count(F.lit(1)).alias("pieces"))

@@ -11,6 +11,7 @@ from chartloom.plans.registry import register
 
 # ------------------------------------------------------------------ structured facts
 T0 = "2024-01-10 12:00:00"
+DAYS_ORIGIN = "2024-01-10"
 
 
 def _tables(spark: SparkSession, folder: str) -> facts.ChartTables:
@@ -84,7 +85,7 @@ def drug_day_cover(spark: SparkSession, folder: str) -> DataFrame:
     return days.select("vid", F.col("day").cast("bigint").alias("day"))
 
 
-_HITS = """CASE analyte WHEN 'temp' THEN level > 38 OR level < 36 WHEN 'hr' THEN level > 90 WHEN 'rr' THEN level > 20
+ABNORMAL_SQL = """CASE analyte WHEN 'temp' THEN level > 38 OR level < 36 WHEN 'hr' THEN level > 90 WHEN 'rr' THEN level > 20
   WHEN 'wbc' THEN level > 12 OR level < 4 WHEN 'lactate' THEN level > 2 END"""
 _FIRST_POSITIVE = f"""SELECT vid, string_agg(finding, '; ' ORDER BY place) AS listed FROM (
   SELECT vid, source || ', ' || organism || ', (+)' AS finding, min(place) AS place FROM ({views.CULTURES_SQL})
@@ -109,7 +110,7 @@ _ABX_ROWS = f"""SELECT vid, s, e, flag = 'R' AS trough, '' AS ref FROM ({views.D
   AND vid IN (SELECT vid FROM ({views.MEASUREMENTS_SQL}))"""
 
 
-@register(f"""WITH v AS (SELECT DISTINCT vid FROM ({views.MEASUREMENTS_SQL})), l AS (SELECT *, {_HITS} AS hit FROM ({views.LEVELS_SQL})),
+FACTS_SQL = f"""WITH v AS (SELECT DISTINCT vid FROM ({views.MEASUREMENTS_SQL})), l AS (SELECT *, {ABNORMAL_SQL} AS hit FROM ({views.LEVELS_SQL})),
   c AS (SELECT vid, listed FROM ({_FIRST_POSITIVE})), course AS (SELECT vid, min(s) AS s FROM ({episodes_sql(_ABX_ROWS)})
     WHERE epoch(e) - epoch(s) > 86400 GROUP BY 1),
   given AS (SELECT DISTINCT vid FROM ({views.DRUGS_SQL})), cultured AS (SELECT DISTINCT vid FROM ({views.CULTURES_SQL})),
@@ -131,7 +132,10 @@ _ABX_ROWS = f"""SELECT vid, s, e, flag = 'R' AS trough, '' AS ref FROM ({views.D
     CAST(greatest(date_diff('day', DATE '2024-01-10', CAST(onset AS DATE)), 0) AS VARCHAR) AS sep_days,
     CAST(CAST((epoch(onset) - epoch(TIMESTAMP '{T0}')) / 60 AS BIGINT) AS VARCHAR) AS sep_time
   FROM v LEFT JOIN f USING (vid) LEFT JOIN c USING (vid) LEFT JOIN cultured USING (vid) LEFT JOIN course USING (vid)
-    LEFT JOIN given USING (vid) LEFT JOIN d USING (vid) LEFT JOIN r USING (vid) LEFT JOIN o USING (vid)""")
+    LEFT JOIN given USING (vid) LEFT JOIN d USING (vid) LEFT JOIN r USING (vid) LEFT JOIN o USING (vid)"""
+
+
+@register(FACTS_SQL)
 def structured_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Criteria, culture summary, courses, scores, rise day and onset per visit."""
     t = _tables(spark, folder)
@@ -141,7 +145,7 @@ def structured_facts(spark: SparkSession, folder: str) -> DataFrame:
         "lactate", "sep7_v3", "sep_day_v3", "sep_dt_v3", "sep_days", "sep_time")
 
 
-@register(f"""SELECT vid, analyte, count(*) FILTER ({_HITS}) > 0 AS abnormal, arg_min(event_id, event_id) AS first_ref
+@register(f"""SELECT vid, analyte, count(*) FILTER ({ABNORMAL_SQL}) > 0 AS abnormal, arg_min(event_id, event_id) AS first_ref
   FROM ({views.LEVELS_SQL}) WHERE analyte IN ('temp', 'hr', 'rr', 'wbc', 'lactate') GROUP BY 1, 2""")
 def tri_state_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Per visit and analyte: measured, abnormal, and its first row."""

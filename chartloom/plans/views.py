@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom import fixed_values as fixed
 from chartloom.functions.text import once
 
 
@@ -81,6 +82,31 @@ def notes_sql(clinical: bool = False) -> str:
       source AS note_title, {text} AS note_text FROM documents"""
 
 
+PANEL_TITLES = ("Discharge Summary", "H&P", "Progress", "Nursing", "Operative report")
+PANELS = ("discharge_summary", "hp", "progress_consult", "nursing", "procedure_operative")
+
+
+def cohort_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as panel notes of the users' visits."""
+    users = table(spark, folder, "events").agg(F.max("user_id") + 1).scalar()
+    title = F.element_at(F.array(*(F.lit(t) for t in PANEL_TITLES)), (F.col("note_id") % len(PANEL_TITLES) + 1).cast("int"))
+    return notes(spark, folder, clinical=True).withColumns({
+        "note_title": title, "visit_occurrence_id": F.col("visit_occurrence_id") % users})
+
+
+def scrubbed_sql(text: str) -> str:
+    for shape in fixed.DATE_SHAPES:
+        text = f"regexp_replace({text}, '{shape}', '{fixed.DATE_REDACTED}', 'g')"
+    return text
+
+
+# Text without dates, as it is after cleaning.
+COHORT_NOTES_SQL = f"""SELECT doc_id AS note_id, doc_id // 5 % (SELECT max(user_id) + 1 FROM events) AS visit_occurrence_id,
+  TIMESTAMP '2026-01-01' + to_hours(CAST(doc_id * 37 % 240 AS INTEGER)) AS note_datetime,
+  [{', '.join(f"'{p}'" for p in PANELS)}][doc_id % 5 + 1] AS panel, [{', '.join(f"'{t}'" for t in PANEL_TITLES)}][doc_id % 5 + 1] AS title,
+  {scrubbed_sql(r"regexp_replace(" + clinical_sql() + r", '^\s+|\s+$', '', 'g')")} AS note_text FROM documents WHERE regexp_matches(text, '\\S')"""
+
+
 def note_visits(spark: SparkSession, folder: str) -> DataFrame:
     """Visits of the notes and as many visits without notes."""
     docs = table(spark, folder, "documents").select("doc_id")
@@ -195,7 +221,7 @@ def order_drugs(spark: SparkSession, folder: str) -> DataFrame:
 DRUGS_SQL = f"""SELECT {USER_OF_ORDER} AS vid, l_returnflag AS flag, l_tax AS rate,
   TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey * 7 + l_linenumber * 131) % 720 AS INTEGER)) AS s,
   TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey * 7 + l_linenumber * 131) % 720 AS INTEGER))
-    + to_hours(CAST(l_quantity AS INTEGER)) AS e FROM lineitem"""
+    + to_hours(CAST(l_quantity AS INTEGER)) AS e, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS ref FROM lineitem"""
 
 
 def part_cultures(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,7 +246,7 @@ CULTURES_SQL = f"""SELECT {USER_OF_ORDER} AS vid, (l_orderkey * 10 + l_linenumbe
   TIMESTAMP '2024-01-01' + to_hours(CAST((l_orderkey * 11 + l_linenumber * 29) % 720 AS INTEGER)) AS moment,
   CASE WHEN l_linestatus = 'O' THEN 'Blood' ELSE 'Urine' END AS source,
   ['Escherichia coli', '', 'No growth', 'Klebsiella'][l_partkey % 4 + 1] AS organism,
-  CASE WHEN l_returnflag = 'A' THEN 'negative' ELSE '(+)' END AS result FROM lineitem"""
+  CASE WHEN l_returnflag = 'A' THEN 'negative' ELSE '(+)' END AS result, CAST(l_partkey AS VARCHAR) AS ref FROM lineitem"""
 
 
 def supplier_intervals(spark: SparkSession, folder: str) -> DataFrame:
