@@ -13,7 +13,7 @@ from chartloom.plans import sql, views
 from chartloom.plans.registry import register
 from chartloom.schemas import ADJUDICATION, AUDIT
 from chartloom.session import shared_folder
-from chartloom.sources import sinks, tables
+from chartloom.sources import sinks, split_csv, tables
 from chartloom.streaming import committed, incremental
 
 RUN_TS = "2026-01-31T00:00:00+00:00"
@@ -186,6 +186,18 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
         skipped.select("skipped", F.lit(-1).cast("bigint"), F.lit("skipped")))
 
 
+@register("""SELECT doc_id, md5(lang || ', "' || source || '"' || chr(10) || text) AS body_md5, n_chars, 1 AS copies FROM documents""")
+def split_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as CSV with quotes and line breaks in cells, and read back in splits with row numbers."""
+    path = _new_path(spark, "split")
+    body = F.concat("lang", F.lit(', "'), "source", F.lit('"\n'), "text")
+    views.table(spark, folder, "documents").select("doc_id", body.alias("body"), "n_chars").write.option("header", True).option("escape", '"').csv(path)
+    rows = split_csv.read_split_csv(spark, path, strict_width=True, source_row="source_row")
+    # Row numbers count from 2 in each file without a gap, so a number beyond the rows would add copies.
+    return rows.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("body").alias("body_md5"), F.col("n_chars").cast("bigint").alias("n_chars")).agg(
+        F.count_if(F.col("source_row") > 1).cast("int").alias("copies"))
+
+
 def _decided(spark: SparkSession, folder: str) -> DataFrame:
     return rules.rule_adjudicate(views.notes(spark, folder, clinical=True), views.note_visits(spark, folder), "Sepsis / Septic Shock", RUN_TS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from chartloom import fixed_values as fixed
 from chartloom.operators import charts, export, facts, quality, responses, rules, survey
 from chartloom.plans import sql, views
 from chartloom.plans.registry import register
+from chartloom.session import shared_folder
 from chartloom.sources import tables
-from chartloom.streaming import incremental
+from chartloom.streaming import incremental, repair
 
 RUN_TS = "2026-01-31T00:00:00+00:00"
 
@@ -299,7 +302,7 @@ def _survey(spark: SparkSession, folder: str) -> survey.SurveyCases:
     return survey.prepare_cases(rows, tables.instrument(spec))
 
 
-@register("""WITH c AS (SELECT c_custkey AS k, c_custkey + 2 AS source_row, c_mktsegment AS inst, CAST(c_nationkey AS VARCHAR) AS rec FROM customer),
+OBSERVATIONS_SQL = """WITH c AS (SELECT c_custkey AS k, c_custkey + 2 AS source_row, c_mktsegment AS inst, CAST(c_nationkey AS VARCHAR) AS rec FROM customer),
   o AS (SELECT c.*, f.* FROM c, LATERAL (VALUES
     ('sep1_v3', 1, CASE WHEN k % 2 = 0 THEN CASE WHEN k % 3 < 2 THEN 'Temperature; Heart rate' ELSE 'Temperature' END WHEN k % 3 < 2 THEN 'Heart rate' END),
     ('sep3_v3', 2, ['sepsis', NULL, 'NO'][k % 3 + 1]), ('sep4_v3', 3, ['Yes', 'No', NULL][k % 3 + 1]), ('sep7_v3', 4, ['3', NULL, '1'][k % 3 + 1]),
@@ -309,7 +312,10 @@ def _survey(spark: SparkSession, folder: str) -> survey.SurveyCases:
     ('ca_setting', 10, [NULL, 'IHCA'][k % 2 + 1])) f(field, ord, response) WHERE response IS NOT NULL),
   t AS (SELECT *, unnest(CASE WHEN field LIKE 'sep%' THEN [1] WHEN field LIKE 'aki%' THEN [1, 3] WHEN field LIKE 'shock%' THEN [1, 7] ELSE [9] END) AS target FROM o)
   SELECT inst AS institution_v3, rec AS record_id, target, source_row, field, response,
-    row_number() OVER (PARTITION BY inst, rec, target ORDER BY source_row, CASE WHEN target = 1 AND field NOT LIKE 'sep%' THEN 1 ELSE 0 END, ord) AS observation FROM t""")
+    row_number() OVER (PARTITION BY inst, rec, target ORDER BY source_row, CASE WHEN target = 1 AND field NOT LIKE 'sep%' THEN 1 ELSE 0 END, ord) AS observation FROM t"""
+
+
+@register(OBSERVATIONS_SQL)
 def survey_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Masked observations, numbered per patient and target."""
     return _survey(spark, folder).observations.select(
@@ -333,3 +339,82 @@ def survey_audit(spark: SparkSession, folder: str) -> DataFrame:
         "case_id", F.lit(fixed.POSITIVE).alias("phenotype_status"), F.lit("SIRS was not documented").alias("clinical_rationale"),
         F.array().cast("array<string>").alias("primary_criteria_met"), F.array().cast(rules.EVIDENCE).alias("key_evidence"))
     return survey.audit_results(said, prepared).select("case_id", "check")
+
+
+# ------------------------------------------------------------------ repair rounds
+REQUIRED = "hybrid:model:required_llm"
+
+
+def _round_answers(prepared: survey.SurveyCases, attempt: int) -> DataFrame:
+    """Answers for sepsis, kidney injury and shock: unquoted at first, then half quote a line, at last a fifth withdraw."""
+    first = survey.current_observations(prepared).groupBy("case_id").agg(
+        F.min(F.struct("observation", survey.observation_line(F.lit(survey.CURRENT)).alias("line")))["line"].alias("line"))
+    rows = prepared.cases.filter(F.col("target").isin(1, 3, 7)).join(first, "case_id", "left")
+    k = F.col("source_row") - 2
+    withdrawn = F.lit(attempt == 3) & (k % 5 == 0)
+    wrong = "[O001] nothing (current stay): at all"
+    quote = F.when(F.lit(attempt == 1) | withdrawn, None).when(F.lit(attempt == 2) & (k % 2 == 0), F.col("line")).otherwise(wrong)
+    status = F.when(withdrawn, fixed.INDETERMINATE).otherwise(fixed.POSITIVE)
+    item = F.struct(F.lit(None).cast("bigint").alias("note_id"), F.lit("").alias("note_date"), quote.alias("evidence_quote"), F.lit("x").alias("interpretation"))
+    return rows.select(
+        "case_id", status.alias("phenotype_status"), (status == fixed.POSITIVE).alias("condition_present"), F.lit(0.9).alias("confidence_score"),
+        F.lit("SIRS was not documented" if attempt == 1 else "Reported").alias("clinical_rationale"), F.array().cast("array<string>").alias("primary_criteria_met"),
+        F.when(quote.isNull(), F.array()).otherwise(F.array(item)).cast(rules.EVIDENCE).alias("key_evidence"), F.lit(REQUIRED).alias("inference_backend"))
+
+
+_ROUND_CHECKS = """SELECT k, target, attempt, st, CASE WHEN p AND NOT own THEN 1 ELSE 0 END + CASE WHEN q = 'wrong' THEN 1 ELSE 0 END + CASE WHEN p AND q = 'none' THEN 1 ELSE 0 END
+    + CASE target WHEN 1 THEN CASE WHEN p AND NOT (said OR k % 3 = 0) THEN 1 ELSE 0 END + CASE WHEN p AND NOT said THEN 1 ELSE 0 END + CASE WHEN attempt = 1 AND (k % 2 = 0 OR k % 3 < 2) THEN 1 ELSE 0 END
+      WHEN 3 THEN CASE WHEN k % 4 = 1 AND NOT p THEN 1 ELSE 0 END ELSE CASE WHEN p AND k % 4 NOT IN (1, 2) THEN 1 ELSE 0 END END AS wrong
+  FROM (SELECT *, st = 'CONFIRMED_POSITIVE' AS p, k % 3 = 0 OR k % 4 IN (1, 2) AS said, CASE WHEN attempt = 1 OR st <> 'CONFIRMED_POSITIVE' THEN 'none'
+      WHEN attempt = 2 AND k % 2 = 0 THEN CASE WHEN own THEN 'line' ELSE 'none' END ELSE 'wrong' END AS q
+    FROM (SELECT *, CASE WHEN attempt = 3 AND k % 5 = 0 THEN 'INDETERMINATE_INSUFFICIENT_DATA' ELSE 'CONFIRMED_POSITIVE' END AS st,
+        CASE target WHEN 1 THEN true WHEN 3 THEN k % 4 < 2 ELSE k % 4 > 0 END AS own
+      FROM (SELECT c_custkey AS k FROM customer), (VALUES (1), (3), (7)) t(target), (VALUES (1), (2), (3)) a(attempt)))"""
+
+
+@register(f"""WITH c AS ({_ROUND_CHECKS}), e AS (SELECT k, target, coalesce(min(attempt) FILTER (wrong = 0), 3) AS last, count(*) FILTER (wrong = 0) > 0 AS clean FROM c GROUP BY 1, 2)
+  SELECT printf('S%02d-P%02d', k + 2, target) AS case_id, CASE WHEN any_value(clean) THEN 'passed' ELSE 'held' END AS state, any_value(last) AS attempt,
+    CASE WHEN any_value(clean) THEN arg_max(st, attempt) ELSE 'INDETERMINATE_INSUFFICIENT_DATA' END AS phenotype_status, CAST(sum(wrong) AS BIGINT) AS violations,
+    '{REQUIRED}' || CASE WHEN any_value(clean) THEN '' ELSE ':quality_hold' END AS inference_backend
+  FROM c JOIN e USING (k, target) WHERE attempt <= last GROUP BY k, target""")
+def repair_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Three rounds of answers with quotes: what passed, what is held, and how much was wrong on the way."""
+    prepared = _survey(spark, folder)
+    prompts = prepared.cases.filter(F.col("target").isin(1, 3, 7)).select("case_id", F.lit("Answer from the numbered lines.").alias("prompt"))
+
+    def answer(asked: DataFrame, attempt: int) -> DataFrame:
+        return _round_answers(prepared, attempt).join(asked.select("case_id"), "case_id", "left_semi")
+
+    out = repair.repair(prepared, prompts, answer, f"{shared_folder(spark)}/repair-{uuid.uuid4().hex}", RUN_TS)
+    wrong = out.violations.groupBy("case_id").agg(F.count(F.lit(1)).alias("violations"))
+    return out.results.join(wrong, "case_id", "left").select(
+        "case_id", "state", "attempt", "phenotype_status", F.coalesce("violations", F.lit(0)).alias("violations"), "inference_backend")
+
+
+@register(f"""WITH o AS ({OBSERVATIONS_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY source_row, target ORDER BY observation) AS place FROM o WHERE target IN (1, 3, 7))
+  SELECT printf('S%02d-P%02d', source_row, target) AS case_id, printf('[O%03d] ', observation) || field || ' (current stay): ' || response AS quote, field
+  FROM f WHERE place = 1 AND (source_row - 2) % 2 = 0""")
+def verified_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotes of model answers that repeat an observation of the patient."""
+    prepared = _survey(spark, folder)
+    return survey.verified_evidence(_round_answers(prepared, 2), prepared).select("case_id", "quote", "field")
+
+
+@register(f"""WITH o AS ({OBSERVATIONS_SQL}), s AS (SELECT inst, rec, count(*) AS stays FROM (SELECT c_mktsegment AS inst, CAST(c_nationkey AS VARCHAR) AS rec FROM customer) GROUP BY 1, 2),
+  x AS (SELECT institution_v3 AS inst, record_id AS rec, target, bool_or(contains(response, 'dictionary expansion')) AS expanded FROM o GROUP BY 1, 2, 3),
+  f AS (SELECT *, row_number() OVER (PARTITION BY source_row, target ORDER BY observation) AS place FROM o),
+  c AS (SELECT c_custkey AS k, c_custkey + 2 AS source_row, c_mktsegment AS inst, CAST(c_nationkey AS VARCHAR) AS rec, target, name FROM customer, (VALUES (1, 'Sepsis'), (3, 'Acute kidney injury'), (7, 'Shock (all cause)')) t(target, name))
+  SELECT printf('S%02d-P%02d', k + 2, c.target) AS review_id, inst AS institution, rec AS patient, CAST(k AS VARCHAR) AS visit, name AS target, 'CONFIRMED_POSITIVE' AS suggestion,
+    concat_ws(chr(10), 'Based on survey answers alone; compare with the chart.', CASE WHEN stays > 1 THEN 'Answers of several stays are shown; their order is not known.' END,
+      CASE WHEN (c.target = 3 AND k % 4 > 1) OR (c.target = 7 AND k % 4 = 0) THEN 'Nothing was answered for this stay; that is not a no.' END,
+      CASE WHEN coalesce(expanded, false) THEN 'Some texts are choice labels, not words of the chart.' END,
+      CASE WHEN c.target = 1 AND k % 4 = 1 THEN 'Kidney injury was counted; check when and why it began.' END) AS flags,
+    CASE WHEN k % 2 = 0 AND f.field IS NOT NULL THEN printf('[O%03d] ', observation) || f.field || ' (current stay): ' || response ELSE '' END AS evidence
+  FROM c JOIN s USING (inst, rec) LEFT JOIN x USING (inst, rec, target) LEFT JOIN (SELECT * FROM f WHERE place = 1) f ON f.source_row = c.source_row AND f.target = c.target""")
+def review_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """The reviewer's sheet over quoted answers: one row a case, flags and evidence."""
+    prepared = _survey(spark, folder)
+    sheet = survey.review_sheet(_round_answers(prepared, 2), prepared)
+    return sheet.select(
+        F.col("Review ID").alias("review_id"), F.col("Institution").alias("institution"), F.col("Assumed patient ID").alias("patient"), F.col("Visit ID").alias("visit"),
+        F.col("Target").alias("target"), F.col("AI suggestion").alias("suggestion"), F.col("Review flags").alias("flags"), F.col("Extracted evidence").alias("evidence"))

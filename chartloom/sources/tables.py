@@ -25,6 +25,12 @@ def _spark_encoding(encoding: str) -> str:
     return "ISO-8859-1" if encoding == "windows-1252" else encoding
 
 
+def decoded(line: Column, encoding: str) -> Column:
+    """Bytes that the text source handed over undecoded, as text."""
+    text = F.decode(line.cast("binary"), _spark_encoding(encoding))
+    return F.translate(text, _LATIN, _WINDOWS) if encoding == "windows-1252" else text
+
+
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """CSV or Parquet by suffix, with lower-case names; only ``columns`` if given.
 
@@ -71,8 +77,9 @@ def read_csv(
 ) -> DataFrame:
     """CSV text columns, quotes and line breaks in cells included.
 
-    A file whose cells may hold line breaks is read by one task. Turn
-    ``line_breaks`` off for files that have none, so that Spark splits them.
+    Rows come in file order, so a file whose cells may hold line breaks is read by
+    one task. Turn ``line_breaks`` off for files that have none, so that Spark
+    splits them; ``split_csv.read_split_csv`` splits files with line breaks.
 
     With ``strict_width`` a row whose width differs from the header is an error
     when the table is read.
