@@ -290,7 +290,7 @@ SURVEY_FIELDS = (
 def _survey(spark: SparkSession, folder: str) -> survey.SurveyCases:
     """customer as survey rows; a segment and nation make a patient."""
     k = F.col("c_custkey")
-    rows = views.table(spark, folder, "customer").select(
+    rows = views.spread(views.table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")).select(
         (k + 2).alias("source_row"), F.col("c_mktsegment").alias("institution_v3"), F.col("c_nationkey").cast("string").alias("record_id"),
         k.cast("string").alias("vid"), pick(k, "1", "2").alias("sepsis_ync_v3"), pick(k, "1", "0").alias("sep1_v3___1"),
         pick(k, "1", "1", "").alias("sep1_v3___2"), pick(k, "sepsis", "", "NO").alias("sep3_v3"), pick(k, "1", "0", "").alias("sep4_v3"),

@@ -123,3 +123,11 @@ def test_input_rules(spark, rows, fields):
     bad = rows.withColumn("aki1_v3", rows.vid)
     assert {r.rule for r in survey.coded_violations(bad, fields).collect()} == {"yes_no_code_invalid"}
     assert survey.case_texts(survey.prepare_cases(rows, fields)).filter("owner = 'S02-P01'").count() == 3
+
+
+def test_rows_of_stays_are_never_broadcast(rows, fields, tmp_path):
+    rows.write.parquet(str(tmp_path / "r"))  # a file gives Spark a size, which says little about the exploded rows
+    read = survey.prepare_cases(rows.sparkSession.read.parquet(str(tmp_path / "r")), fields)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (read.cases, read.observations)]
+    assert "BroadcastHashJoin" not in plans[0]
+    assert "BuildRight" in plans[1] and "BuildLeft" not in plans[1]  # the dictionary alone
