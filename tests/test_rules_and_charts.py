@@ -171,3 +171,12 @@ def test_a_keyword_may_hold_the_end_of_quoting(spark):
     df = spark.createDataFrame([(r"a\Eb c a\eb (x)", r"a\Eb"), ("1+1 (x) [y]", "+1 (x) [")], "body string, key string")
     spans = text.highlight_spans(F.col("body"), F.array().cast("array<string>"), F.col("key"))
     assert [[(s.start, s.end) for s in r[0]] for r in df.select(spans).collect()] == [[(0, 4), (7, 11)], [(1, 9)]]
+
+
+def test_a_text_of_many_keywords_is_lowered_and_cut_once(spark):
+    body = "The other text, then THE end; " * 40
+    df = spark.createDataFrame([(body, ["other  text", "nowhere at all"], "the"), (None, ["other text"], "the")], "b string, q array<string>, k string")
+    out = df.select(text.highlight_spans(F.col("b"), F.col("q"), F.col("k")).alias("s"))
+    got = out.collect()
+    assert [tuple(x) for x in got[0].s] == brute_highlight(body, ["other  text", "nowhere at all"], "the") and got[1].s == []
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(b#") == 1
