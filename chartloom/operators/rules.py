@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
-from chartloom.functions.text import contains_any, first_match, matches_any, needed_text, once, snippet, strip, window
+from chartloom.functions.text import contains_any, first_match, let, matches_any, needed_text, once, snippet, strip, window
 from chartloom.operators.charts import FAR_FUTURE, clean_notes, clean_visits, first_notes
 from chartloom.schemas import EVIDENCE
 from chartloom.skew import first_n
@@ -127,7 +127,7 @@ def note_hits(notes: DataFrame, rules: RuleSet, keys: tuple[str, ...], keep_empt
     plain = [needed_text(p) for p in rules.positive]
 
     def candidate(line: Column) -> Column:
-        return F.lit(True) if "" in plain else contains_any(F.lower(line), plain)
+        return F.lit(True) if "" in plain else let(F.lower(line), lambda low: contains_any(low, plain))
 
     lines = F.filter(F.split("note_text", "\n"), candidate)
     explode = F.posexplode_outer if keep_empty else F.posexplode
@@ -191,7 +191,7 @@ def touched_hits(notes: DataFrame, rule_sets: Sequence[RuleSet], keys: tuple[str
     def may_hold(low: Column, cores: list[str]) -> Column:
         return F.lit(True) if "" in cores else contains_any(low, cores)
 
-    lines = F.filter(F.split("note_text", "\n"), lambda line: may_hold(F.lower(line), every))
+    lines = F.filter(F.split("note_text", "\n"), lambda line: let(F.lower(line), lambda low: may_hold(low, every)))
     rows = notes.select(*keys, F.posexplode_outer(lines).alias("line_no", "line"))
     rows = rows.withColumn("line", strip(F.col("line"))).withColumn("low", F.lower("line"))
     numbers = F.array_compact(F.array(*(F.when(may_hold(F.col("low"), cores), F.lit(k)) for k, cores in enumerate(plain))))
