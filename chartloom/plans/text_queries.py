@@ -10,6 +10,7 @@ from chartloom.functions import text, values
 from chartloom.operators import charts, quality, rules, spans
 from chartloom.plans import sql, views
 from chartloom.plans.registry import register
+from chartloom.session import reliable_checkpoint
 
 RUN_TS = "2026-01-31T00:00:00+00:00"
 
@@ -290,7 +291,8 @@ def label_gold(spark: SparkSession, folder: str) -> DataFrame:
   SELECT task, n, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall,
     round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM s""")
 def task_prf(spark: SparkSession, folder: str) -> DataFrame:
-    gold = spans.annotate(views.span_notes(spark, folder))
+    # Labels are narrow and read as gold, as predictions and by the checks of both; notes are read once.
+    gold = reliable_checkpoint(spans.annotate(views.span_notes(spark, folder)))
     first = gold.groupBy("row_id", "concept").agg(
         F.min(F.struct("start", "end", "detection", "encounter", "negation")).alias("f")).select("row_id", "concept", "f.*")
     said = first.select(
