@@ -12,7 +12,7 @@ from chartloom.operators import charts, export, quality, rules, spans, survey
 from chartloom.plans import sql, views
 from chartloom.plans.registry import register
 from chartloom.schemas import ADJUDICATION, AUDIT
-from chartloom.session import shared_folder
+from chartloom.session import reliable_checkpoint, shared_folder
 from chartloom.sources import sinks, split_csv, tables
 from chartloom.streaming import committed, incremental
 
@@ -207,7 +207,8 @@ def _decided(spark: SparkSession, folder: str) -> DataFrame:
 def batch_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """A batch export in all its forms, read back."""
     path = _new_path(spark, "batch")
-    decided = _decided(spark, folder)
+    # Four forms are written from the decisions: narrow rows that are made once.
+    decided = reliable_checkpoint(_decided(spark, folder))
     paths = sinks.write_batch(decided, export.observations(decided, "Sepsis / Septic Shock", RUN_TS), path)
     csv = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     parts = {
@@ -225,7 +226,7 @@ def batch_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def resumed_run(spark: SparkSession, folder: str) -> DataFrame:
     """A run over a third of the visits, and a second one over all that decides only the rest."""
     store = _new_path(spark, "store")
-    decided = _decided(spark, folder)
+    decided = reliable_checkpoint(_decided(spark, folder))
     ids = views.note_visits(spark, folder).select("visit_occurrence_id")
 
     def decide(todo: DataFrame) -> DataFrame:
@@ -244,7 +245,8 @@ def committed_runs(spark: SparkSession, folder: str) -> DataFrame:
     """A JSON history taken over, a run killed before its commit, its repeat (twice), and a run over the rest."""
     root = _new_path(spark, "committed")
     store, old = f"{root}/store", f"{root}/old"
-    decided = _decided(spark, folder)
+    # Every run takes its visits from the decisions; they are made once.
+    decided = reliable_checkpoint(_decided(spark, folder))
     ids = views.note_visits(spark, folder).select("visit_occurrence_id")
 
     def decide(todo: DataFrame) -> DataFrame:
