@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
 from chartloom.functions import values
-from chartloom.functions.text import is_blank, plain_number, scrub_dates, strip
+from chartloom.functions.text import is_blank, once, plain_number, scrub_dates, strip
 from chartloom.schemas import PANEL_NOTE, SPAN_NOTE, conform, id_column, lower_names, time_column, whole_number, with_missing
+from chartloom.session import reliable_checkpoint
 from chartloom.skew import first_n, join_spread, number_rows
 
 FAR_FUTURE = "9999-12-31 00:00:00"
@@ -279,35 +280,54 @@ def _number_missing_ids(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("note_id").isNotNull()).unionByName(filled)
 
 
-def structured_lines(measurements: DataFrame, cultures: DataFrame, drugs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """One text line per measurement, culture and medication, with its offset."""
+def structured_lines(
+    measurements: DataFrame, cultures: DataFrame, drugs: DataFrame, anchors: DataFrame,
+    holding: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """One text line per measurement, culture and medication, with its offset.
+
+    ``holding`` keeps the lines that pass a test. It is put to the lower-case line
+    before the reference times are known, so the offsets are left out of it.
+    """
     anchor = anchors.select("vid", "t0_time")
 
-    def lines(df: DataFrame, section: str, place: int, moment: str, text: Column) -> DataFrame:
+    def at(moment: str) -> Column:
+        return values.offset_label(F.col(moment), F.col("t0_time"))
+
+    def untimed(moment: str) -> Column:
+        return F.lit("")
+
+    def lines(df: DataFrame, section: str, place: int, moment: str, text: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+        if holding is not None:
+            df = once(df, "_low", F.lower(text(untimed))).filter(holding(F.col("_low"))).drop("_low")
         return (
             join_spread(df, anchor, ["vid"], F.col(moment))
             .select("vid", F.lit(place).alias("section_order"), F.lit(section).alias("section"),
-                    F.col(moment).alias("line_time"), text.alias("line"))
+                    F.col(moment).alias("line_time"), text(at).alias("line"))
         )
 
-    def at(moment: str) -> Column:
-        return values.offset_label(F.col(moment), F.col("t0_time"))
-
     def shown(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
 
     number = F.coalesce(plain_number(F.col("value")), F.trim(shown("value_as_string")))
-    vitals = F.concat(F.lit("- ["), at("moment"), F.lit("] "), shown("measurement_name"), F.lit(": "), number,
-                      F.lit(" "), F.trim(shown("unit")))
-    micro = F.concat(F.lit("- ["), at("moment"), F.lit("] "), shown("source"), F.lit(" | "), shown("organism"),
-                     F.lit(" | "), shown("result"))
-    given = F.concat(
-        F.lit("- ["), at("start_time"), F.lit(" -> "), at("end_time"), F.lit("] "), shown("drug_name"),
-        F.when(shown("dose_rate") != "", F.concat(F.lit(" ("), F.col("dose_rate"), F.lit(")"))).otherwise(""),
-        F.when(shown("route") != "", F.concat(F.lit(" ["), F.col("route"), F.lit("]"))).otherwise(""),
-    )
+
+    def vitals(at: Callable[[str], Column]) -> Column:
+        return F.trim(F.concat(F.lit("- ["), at("moment"), F.lit("] "), shown("measurement_name"), F.lit(": "), number,
+                               F.lit(" "), F.trim(shown("unit"))))
+
+    def micro(at: Callable[[str], Column]) -> Column:
+        return F.concat(F.lit("- ["), at("moment"), F.lit("] "), shown("source"), F.lit(" | "), shown("organism"),
+                        F.lit(" | "), shown("result"))
+
+    def given(at: Callable[[str], Column]) -> Column:
+        return F.concat(
+            F.lit("- ["), at("start_time"), F.lit(" -> "), at("end_time"), F.lit("] "), shown("drug_name"),
+            F.when(shown("dose_rate") != "", F.concat(F.lit(" ("), F.col("dose_rate"), F.lit(")"))).otherwise(""),
+            F.when(shown("route") != "", F.concat(F.lit(" ["), F.col("route"), F.lit("]"))).otherwise(""),
+        )
+
     return (
-        lines(measurements, "[Structured Vital Signs & Labs]", 1, "moment", F.trim(vitals))
+        lines(measurements, "[Structured Vital Signs & Labs]", 1, "moment", vitals)
         .unionByName(lines(cultures, "[Structured Microbiology]", 2, "moment", micro))
         .unionByName(lines(drugs, "[Structured Medications]", 3, "start_time", given))
     )
@@ -336,12 +356,15 @@ def stage_pieces(notes: DataFrame, lines: DataFrame) -> DataFrame:
     )
     rows = note_rows.unionByName(line_rows)
     is_line = F.col("panel").isNull()
-    stages = F.array_compact(
-        F.array(
-            F.when(F.col("panel") == "discharge_summary", "stage1"),
-            F.when(is_line | (F.col("panel") == "hp"), "stage2"),
-            F.lit("stage3"),
-        )
+
+    def read_in(*stages: str) -> Column:
+        return F.array(*(F.lit(s) for s in stages))
+
+    # Whole arrays to choose from: a list put together for each row costs more than the rest of the row.
+    stages = (
+        F.when(F.col("panel") == "discharge_summary", read_in("stage1", "stage3"))
+        .when(is_line | (F.col("panel") == "hp"), read_in("stage2", "stage3"))
+        .otherwise(read_in("stage3"))
     )
     return rows.withColumn("stage", F.explode(stages)).drop("panel")
 
@@ -353,24 +376,35 @@ def stage_views(pieces: DataFrame, visits: DataFrame) -> DataFrame:
     ``part`` counts from 1 within the view. A view without pieces has one row that
     says so. The shape is the same at every size.
     """
+    # Chunks grow with section and day, so no task numbers a whole view.
+    day = F.unix_date(F.to_date("piece_time")).cast("bigint")
+    rows = pieces.select(
+        "vid", "stage", "section_order", "section", F.lit(1).alias("kind"), "piece_time", F.coalesce("piece_id", F.lit(0)).alias("piece_id"),
+        F.col("piece").alias("view"), (F.col("section_order") * 20_000_000 + day).alias("_chunk"))
+    # One look at the pieces, without their texts, gives the titles, the sizes of all chunks and the views that are empty.
+    counts = reliable_checkpoint(
+        rows.groupBy("vid", "stage", "section_order", "section", "_chunk").agg(F.count(F.lit(1)).alias("_rows")))
     titles = (
-        pieces.filter(F.col("section") != "").select("vid", "stage", "section_order", "section").distinct()
+        counts.filter(F.col("section") != "").select("vid", "stage", "section_order", "section").distinct()
         .select("vid", "stage", "section_order", F.lit(0).alias("kind"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz").alias("piece_time"),
-                F.lit(0).cast("bigint").alias("piece_id"), F.col("section").alias("view"))
+                F.lit(0).cast("bigint").alias("piece_id"), F.col("section").alias("view"),
+                (F.col("section_order") * 20_000_000 - 5_000_000).cast("bigint").alias("_chunk"))
+    )
+    visits = visits.groupBy("vid").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    sizes = (
+        counts.select("vid", "stage", "_chunk", "_rows").unionByName(titles.select("vid", "stage", "_chunk", F.lit(1).cast("bigint").alias("_rows")))
+        .groupBy("vid", "stage", "_chunk").agg(F.sum("_rows").alias("_rows")).join(visits, "vid")
     )
-    rows = titles.unionByName(pieces.select(
-        "vid", "stage", "section_order", F.lit(1).alias("kind"), "piece_time", F.coalesce("piece_id", F.lit(0)).alias("piece_id"), F.col("piece").alias("view")))
-    # Chunks grow with section and day, so no task numbers a whole view.
-    day = F.unix_date(F.to_date("piece_time")).cast("bigint")
-    chunk = F.col("section_order") * 20_000_000 + F.when(F.col("kind") == 0, -5_000_000).otherwise(day)
     order = [F.col(c) for c in ("section_order", "kind", "piece_time", "piece_id", "view")]
-    numbered = number_rows(rows, order, chunk, "part", keys=["vid", "stage"]).select("vid", "stage", "part", "view")
-    every = visits.select("vid", F.explode(F.array(*(F.lit(s) for s in STAGES))).alias("stage"))
+    numbered = number_rows(titles.unionByName(rows.drop("section")), order, F.col("_chunk"), "part", keys=["vid", "stage"], sizes=sizes)
     missing = (
         F.when(F.col("stage") == "stage1", fixed.NO_DISCHARGE)
         .when(F.col("stage") == "stage2", fixed.NO_STAGE2)
         .otherwise(fixed.NO_STAGE3)
     )
-    return every.join(numbered, ["vid", "stage"], "left").select(
-        "vid", "stage", F.coalesce("part", F.lit(1)).alias("part"), F.coalesce("view", missing).alias("view")
-    )
+    every = visits.select("vid", F.explode(F.array(*(F.lit(s) for s in STAGES))).alias("stage"), "copies")
+    empty = every.join(counts.select("vid", "stage").distinct(), ["vid", "stage"], "left_anti")
+    shown = numbered.select("vid", "stage", F.col("part").cast("bigint").alias("part"), "view", "copies").unionByName(
+        empty.select("vid", "stage", F.lit(1).cast("bigint").alias("part"), missing.alias("view"), "copies"))
+    # A visit that is listed twice has its views twice.
+    return shown.select("vid", "stage", "part", "view", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
