@@ -33,10 +33,14 @@ def abstract_cohort(
         .withColumn("has_structured", F.coalesce("has_structured", F.lit(False)))
     )
     panels = charts.panel_notes(notes, tables.anchors)
-    lines = charts.structured_lines(tables.measurements, tables.cultures, tables.drugs, tables.anchors)
+
+    def lines(holding=None) -> DataFrame:
+        return charts.structured_lines(tables.measurements, tables.cultures, tables.drugs, tables.anchors, holding)
+
     if answers is None:
-        signals = reliable_checkpoint(abstraction.visit_signals(reliable_checkpoint(abstraction.piece_signals(panels, lines))))
+        # Lines without a signal leave no trace in an answer, so they meet no reference time.
+        signals = reliable_checkpoint(abstraction.visit_signals(reliable_checkpoint(abstraction.piece_signals(panels, lines(abstraction.may_signal)))))
         answers = abstraction.rule_answers(signals, fact_rows)
     else:
-        answers = abstraction.grounded_answers(answers, charts.stage_pieces(panels, lines))
+        answers = abstraction.grounded_answers(answers, charts.stage_pieces(panels, lines()))
     return abstraction.merge(fact_rows, answers, facts.provenance(fact_rows, tables.cultures), run_ts, backend, model)
