@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom import fixed_values as fixed
@@ -12,7 +12,7 @@ from chartloom.functions import values
 from chartloom.functions.text import is_blank, once, plain_number, scrub_dates, strip
 from chartloom.schemas import PANEL_NOTE, SPAN_NOTE, conform, id_column, lower_names, time_column, whole_number, with_missing
 from chartloom.session import reliable_checkpoint
-from chartloom.skew import first_n, join_spread, number_rows
+from chartloom.skew import Crowd, crowded_keys, first_n, join_spread, join_together, number_rows
 
 FAR_FUTURE = "9999-12-31 00:00:00"
 
@@ -218,13 +218,29 @@ def note_moment(notes: DataFrame) -> Column:
     return F.coalesce(time_column(notes, "note_datetime"), time_column(notes, "note_date"))
 
 
-def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = None) -> DataFrame:
+def day_number(moment: Column) -> Column:
+    """Days since 1970; what has no time comes last."""
+    return F.unix_date(F.to_date(F.coalesce(moment, F.lit(FAR_FUTURE).cast("timestamp_ntz")))).cast("bigint")
+
+
+def crowded_visits(notes: DataFrame, measurements: DataFrame, cultures: DataFrame, drugs: DataFrame) -> Crowd:
+    """Visits with more rows than one task should put in order. No text is read."""
+    every = None
+    for table in (notes, measurements, cultures, drugs):
+        rows = lower_names(table).select("visit_occurrence_id").groupBy("visit_occurrence_id").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.select(values.visit_key(F.col("visit_occurrence_id")).alias("vid"), "n")
+        every = rows if every is None else every.unionByName(rows)
+    return crowded_keys(every.filter(F.col("vid").isNotNull()), ["vid"], count=F.sum("n"))
+
+
+def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = None, crowded: Crowd | None = None) -> DataFrame:
     """Notes with panel, scrubbed text and header, per visit key ``vid``.
 
     ``anchors`` has one row per visit: ``vid`` and the reference time ``t0_time``.
     A note without a numeric id takes its place among all notes of the visit as
     id, or the next number that no note of the visit has. Notes are whole unless
-    the caller asks for a cut.
+    the caller asks for a cut. Given the ``crowded`` visits, the notes of all
+    others are left together for ``stage_views``.
     """
     notes = with_missing(notes, PANEL_NOTE)
     title = F.coalesce(
@@ -239,9 +255,14 @@ def panel_notes(notes: DataFrame, anchors: DataFrame, max_chars: int | None = No
     ).filter(F.col("vid").isNotNull() & ~is_blank(F.col("raw_text")))
     rows = _number_missing_ids(rows)
     cut = F.substring("raw_text", 1, max_chars) if max_chars is not None else F.col("raw_text")
-    # The text of a visit is spread over tasks by note.
-    rows = join_spread(rows, anchors.select("vid", "t0_time"), ["vid"], F.col("note_id")).select(
-        "vid", "note_id", "note_time", "title", panel(F.col("title")).alias("panel"),
+    # The text of a visit is spread over tasks by note, or that of a crowded one by day.
+    times = anchors.select("vid", "t0_time")
+    if crowded is None:
+        rows, dealt = join_spread(rows, times, ["vid"], F.col("note_id")), []
+    else:
+        rows, dealt = join_together(rows, times, day_number(F.col("note_time")), crowded), ["_piece"]
+    rows = rows.select(
+        "vid", *dealt, "note_id", "note_time", "title", panel(F.col("title")).alias("panel"),
         scrub_dates(cut).alias("note_text"),
         values.offset_label(F.col("note_time"), F.col("t0_time")).alias("note_when"),
     )
@@ -256,11 +277,16 @@ def _number_missing_ids(rows: DataFrame) -> DataFrame:
     """Notes without an id get their place in time order among all notes of the visit.
 
     Where another note of the visit owns that number, the place is moved behind
-    the visit's largest id. Only ids and times are numbered; texts are joined back
-    for the notes without an id alone.
+    the visit's largest id. Only ids and times are numbered, in visits that have
+    such notes; texts are joined back for the notes without an id alone.
     """
+    nameless = rows.filter(F.col("note_id").isNull())
+    if nameless.select("vid").isEmpty():
+        return rows
     mark = F.xxhash64("raw_text", "title")
-    narrow = rows.select("vid", "note_id", "note_time", mark.alias("mark"))
+    # All texts are read for their marks, so that is done once.
+    narrow = reliable_checkpoint(
+        rows.join(nameless.select("vid").distinct(), "vid", "left_semi").select("vid", "note_id", "note_time", mark.alias("mark")))
     # Undated notes come last, in the order of a hash of their text.
     undated = F.lit(10_000_000) + F.pmod(F.col("mark"), F.lit(1000))
     chunk = F.coalesce(F.unix_date(F.to_date("note_time")).cast("bigint"), undated)
@@ -274,7 +300,7 @@ def _number_missing_ids(rows: DataFrame) -> DataFrame:
         .groupBy("vid", "note_time", "mark").agg(F.min("number").alias("number"))
         .select(F.col("vid").alias("_vid"), F.col("note_time").alias("_time"), F.col("mark").alias("_mark"), "number")
     )
-    nameless = rows.filter(F.col("note_id").isNull()).withColumn("mark", mark)
+    nameless = nameless.withColumn("mark", mark)
     same = (nameless["vid"] == numbers["_vid"]) & nameless["note_time"].eqNullSafe(numbers["_time"]) & (nameless["mark"] == numbers["_mark"])
     filled = nameless.join(numbers, same).withColumn("note_id", F.col("number")).select(*rows.columns)
     return rows.filter(F.col("note_id").isNotNull()).unionByName(filled)
@@ -282,17 +308,20 @@ def _number_missing_ids(rows: DataFrame) -> DataFrame:
 
 def structured_lines(
     measurements: DataFrame, cultures: DataFrame, drugs: DataFrame, anchors: DataFrame,
-    holding: Callable[[Column], Column] | None = None,
+    holding: Callable[[Column], Column] | None = None, crowded: Crowd | None = None,
 ) -> DataFrame:
     """One text line per measurement, culture and medication, with its offset.
 
     ``holding`` keeps the lines that pass a test. It is put to the lower-case line
-    before the reference times are known, so the offsets are left out of it.
+    before the reference times are known, so the offsets are left out of it. Given
+    the ``crowded`` visits, the lines of all others are left together for ``stage_views``.
     """
-    anchor = anchors.select("vid", "t0_time")
+    # Offsets are counted in days, so the day of a reference time is looked up once for all lines.
+    anchor = anchors.select("vid", F.to_date("t0_time").alias("t0_day"))
+    dealt = [] if crowded is None else ["_piece"]
 
     def at(moment: str) -> Column:
-        return values.offset_label(F.col(moment), F.col("t0_time"))
+        return values.offset_label(F.col(moment), F.col("t0_day"))
 
     def untimed(moment: str) -> Column:
         return F.lit("")
@@ -300,9 +329,12 @@ def structured_lines(
     def lines(df: DataFrame, section: str, place: int, moment: str, text: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
         if holding is not None:
             df = once(df, "_low", F.lower(text(untimed))).filter(holding(F.col("_low"))).drop("_low")
+        timed = (
+            join_spread(df, anchor, ["vid"], F.col(moment)) if crowded is None
+            else join_together(df, anchor, day_number(F.col(moment)), crowded)
+        )
         return (
-            join_spread(df, anchor, ["vid"], F.col(moment))
-            .select("vid", F.lit(place).alias("section_order"), F.lit(section).alias("section"),
+            timed.select("vid", *dealt, F.lit(place).alias("section_order"), F.lit(section).alias("section"),
                     F.col(moment).alias("line_time"), text(at).alias("line"))
         )
 
@@ -334,77 +366,145 @@ def structured_lines(
 
 
 STAGES = ("stage1", "stage2", "stage3")
+# Stages that read a piece, as one number: 1, 2 and 4 added up.
+READ_BY = {number: [s for k, s in enumerate(STAGES) if number >> k & 1] for number in range(8)}
 
 
-def stage_pieces(notes: DataFrame, lines: DataFrame) -> DataFrame:
+def stage_pieces(notes: DataFrame, lines: DataFrame, per_stage: bool = True) -> DataFrame:
     """Every piece of text of every stage view, in long form.
 
     Stage 1 reads discharge summaries, stage 2 H&P notes and structured lines,
     stage 3 everything. A view is the pieces of one (vid, stage) in the order of
     ``section_order, piece_time, piece_id``. Nothing is cut and no visit is
-    gathered in one place.
+    gathered in one place. With ``per_stage`` off a piece is one row, and ``reads``
+    tells its stages (``READ_BY``); the pieces of a section have the same ones.
     """
+    dealt = ["_piece"] if "_piece" in notes.columns and "_piece" in lines.columns else []
     note_rows = notes.select(
-        "vid", "panel", F.lit(0).alias("section_order"), F.lit("").alias("section"),
+        "vid", *dealt, "panel", F.lit(0).alias("section_order"), F.lit("").alias("section"),
         F.coalesce("note_time", F.lit(FAR_FUTURE).cast("timestamp_ntz")).alias("piece_time"),
         F.col("note_id").alias("piece_id"), F.col("block").alias("piece"),
     )
     line_rows = lines.select(
-        "vid", F.lit(None).cast("string").alias("panel"), "section_order", "section",
+        "vid", *dealt, F.lit(None).cast("string").alias("panel"), "section_order", "section",
         F.coalesce("line_time", F.lit(FAR_FUTURE).cast("timestamp_ntz")).alias("piece_time"),
         F.lit(None).cast("bigint").alias("piece_id"), F.col("line").alias("piece"),
     )
     rows = note_rows.unionByName(line_rows)
     is_line = F.col("panel").isNull()
+    reads = F.when(F.col("panel") == "discharge_summary", 0b101).when(is_line | (F.col("panel") == "hp"), 0b110).otherwise(0b100)
+    rows = rows.withColumn("reads", reads).drop("panel")
+    if not per_stage:
+        return rows
+    # Whole arrays to choose from: a list put together for each row costs more than the rest of the row.
+    stages = F.array(*(F.array(*(F.lit(s) for s in names)).cast("array<string>") for names in READ_BY.values()))
+    return rows.withColumn("stage", F.explode(F.get(stages, F.col("reads")))).drop("reads", "_piece")
 
-    def read_in(*stages: str) -> Column:
-        return F.array(*(F.lit(s) for s in stages))
 
-    # Whole arrays to choose from: a list put together for each row costs more than the rest of the row.
-    stages = (
-        F.when(F.col("panel") == "discharge_summary", read_in("stage1", "stage3"))
-        .when(is_line | (F.col("panel") == "hp"), read_in("stage2", "stage3"))
-        .otherwise(read_in("stage3"))
-    )
-    return rows.withColumn("stage", F.explode(stages)).drop("panel")
+# Rows of a view in the making: what a group begins with, its pieces, its end.
+BEGIN, PIECE, END = 0, 1, 2
+# What a row shows, as tens; the ones are the place of the stage in ``STAGES``.
+AS_PIECE, AS_TITLE, AS_MISSING = 0, 10, 20
 
 
-def stage_views(pieces: DataFrame, visits: DataFrame) -> DataFrame:
+def stage_views(pieces: DataFrame, visits: DataFrame, crowded: Crowd | None = None) -> DataFrame:
     """Stage views as a long table: ``vid, stage, part, view``.
 
     A row is one piece of the view, a note, a line or the title of a section;
     ``part`` counts from 1 within the view. A view without pieces has one row that
     says so. The shape is the same at every size.
+
+    A visit is put in order once for all its views, by one task. ``crowded`` visits,
+    looked for in the pieces when not given, are put in order by section and day,
+    so no task numbers a whole one. Pieces come one row per stage, or one row
+    with ``reads``.
     """
-    # Chunks grow with section and day, so no task numbers a whole view.
-    day = F.unix_date(F.to_date("piece_time")).cast("bigint")
-    rows = pieces.select(
-        "vid", "stage", "section_order", "section", F.lit(1).alias("kind"), "piece_time", F.coalesce("piece_id", F.lit(0)).alias("piece_id"),
-        F.col("piece").alias("view"), (F.col("section_order") * 20_000_000 + day).alias("_chunk"))
-    # One look at the pieces, without their texts, gives the titles, the sizes of all chunks and the views that are empty.
-    counts = reliable_checkpoint(
-        rows.groupBy("vid", "stage", "section_order", "section", "_chunk").agg(F.count(F.lit(1)).alias("_rows")))
-    titles = (
-        counts.filter(F.col("section") != "").select("vid", "stage", "section_order", "section").distinct()
-        .select("vid", "stage", "section_order", F.lit(0).alias("kind"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz").alias("piece_time"),
-                F.lit(0).cast("bigint").alias("piece_id"), F.col("section").alias("view"),
-                (F.col("section_order") * 20_000_000 - 5_000_000).cast("bigint").alias("_chunk"))
-    )
+    lanes = ["stage"] if "stage" in pieces.columns else []
+    bits = [1 << k for k in range(len(STAGES))]
+    if crowded is None:
+        crowded = crowded_keys(pieces.select("vid"), ["vid"])
+    if lanes:
+        reads = F.lit(0)
+        for stage, bit in zip(STAGES, bits):
+            reads = F.when(F.col("stage") == stage, bit).otherwise(reads)
+        pieces = pieces.withColumn("reads", reads)
+    if "_piece" not in pieces.columns:
+        pieces = pieces.withColumn("_piece", F.lit(0))
+    group = ["vid", *lanes, "_piece", "_chunk"]
+    chunk = F.when(F.col("_crowded"), F.col("section_order") * 20_000_000 + day_number(F.col("piece_time"))).otherwise(0)
+    rows = crowded.marked(pieces).select(
+        "vid", *lanes, "_piece", chunk.cast("bigint").alias("_chunk"), F.lit(PIECE).alias("mark"), "section_order", "section",
+        "piece_time", F.coalesce("piece_id", F.lit(0)).alias("piece_id"), F.col("piece").alias("view"), "reads",
+        F.lit(None).cast("array<bigint>").alias("at"), F.lit(None).cast("int").alias("copies"), "_crowded")
+
+    def mark(df: DataFrame, kind: Column, last_section: Column, at: Column) -> DataFrame:
+        """Rows around the pieces of a group: its first numbers, the section it goes on with, the copies of its visit."""
+        answers = F.coalesce(*(F.when(F.col(c) == s, b) for c in lanes for s, b in zip(STAGES, bits)), F.lit(sum(bits)))
+        return df.select(
+            *group, kind.cast("int").alias("mark"), last_section.cast("int").alias("section_order"), F.lit("").alias("section"),
+            F.lit(None).cast("timestamp_ntz").alias("piece_time"), F.lit(None).cast("bigint").alias("piece_id"),
+            F.lit(None).cast("string").alias("view"), answers.alias("reads"), at.cast("array<bigint>").alias("at"), "copies")
+
+    def per_lane(df: DataFrame) -> DataFrame:
+        return df.withColumn("stage", F.explode(F.array(*(F.lit(s) for s in STAGES)))) if lanes else df
+
     visits = visits.groupBy("vid").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    sizes = (
-        counts.select("vid", "stage", "_chunk", "_rows").unionByName(titles.select("vid", "stage", "_chunk", F.lit(1).cast("bigint").alias("_rows")))
-        .groupBy("vid", "stage", "_chunk").agg(F.sum("_rows").alias("_rows")).join(visits, "vid")
-    )
-    order = [F.col(c) for c in ("section_order", "kind", "piece_time", "piece_id", "view")]
-    numbered = number_rows(titles.unionByName(rows.drop("section")), order, F.col("_chunk"), "part", keys=["vid", "stage"], sizes=sizes)
-    missing = (
-        F.when(F.col("stage") == "stage1", fixed.NO_DISCHARGE)
-        .when(F.col("stage") == "stage2", fixed.NO_STAGE2)
-        .otherwise(fixed.NO_STAGE3)
-    )
-    every = visits.select("vid", F.explode(F.array(*(F.lit(s) for s in STAGES))).alias("stage"), "copies")
-    empty = every.join(counts.select("vid", "stage").distinct(), ["vid", "stage"], "left_anti")
-    shown = numbered.select("vid", "stage", F.col("part").cast("bigint").alias("part"), "view", "copies").unionByName(
-        empty.select("vid", "stage", F.lit(1).cast("bigint").alias("part"), missing.alias("view"), "copies"))
+    zeros = F.array(*(F.lit(0) for _ in STAGES))
+    alone = per_lane(crowded.without(visits)).withColumns({"_piece": F.lit(0), "_chunk": F.lit(0).cast("bigint")})
+    alone = alone.withColumn("kind", F.explode(F.array(F.lit(BEGIN), F.lit(END))))
+    marks = mark(alone, F.col("kind"), F.lit(None), F.when(F.col("kind") == BEGIN, zeros))
+    if crowded.found is not None:
+        marks = marks.unionByName(_marks_of_crowded(rows.filter("_crowded"), visits, crowded, per_lane, mark, lanes, bits))
+
+    order = Window.partitionBy(*group).orderBy("mark", "section_order", "piece_time", "piece_id", "view")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_piece = F.col("mark") == PIECE
+    opens = is_piece & (F.col("section") != "") & ~F.lag("section_order").over(order).eqNullSafe(F.col("section_order"))
+    placed = rows.drop("_crowded").unionByName(marks).withColumn("opens", opens)
+    steps = {
+        f"n{k}": F.sum(F.when(F.col("mark") == BEGIN, F.get("at", F.lit(k))).when(
+            is_piece & (F.col("reads").bitwiseAND(bit) != 0), F.when(F.col("opens"), 2).otherwise(1)).otherwise(0)).over(so_far)
+        for k, bit in enumerate(bits)}
+    placed = placed.withColumns({**steps, "copies": F.first("copies").over(so_far)}).filter(F.col("copies").isNotNull())
+
+    # What a row shows is chosen from whole lists too: nothing, pieces, pieces below a title, words for views without pieces.
+    def shown(*forms: int) -> list[Column]:
+        return [F.array(*(F.lit(form + STAGES.index(s)) for form in forms for s in names)).cast("array<int>") for names in READ_BY.values()]
+
+    lists = F.array(*shown(AS_PIECE), *shown(AS_TITLE, AS_PIECE), *shown(AS_MISSING))
+    absent = sum((F.when(F.col(f"n{k}") == 0, bit).otherwise(0) for k, bit in enumerate(bits)), F.lit(0)).bitwiseAND(F.col("reads"))
+    which = F.when(is_piece, F.when(F.col("opens"), 8).otherwise(0) + F.col("reads")).when(F.col("mark") == END, 16 + absent).otherwise(0)
+    items = F.get(lists, which)
     # A visit that is listed twice has its views twice.
-    return shown.select("vid", "stage", "part", "view", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    items = F.when(F.col("copies") == 1, items).otherwise(F.flatten(F.array_repeat(items, F.col("copies"))))
+    each = placed.select("vid", "section", "view", *steps, F.explode(items).alias("item"))
+    form, place = F.floor(F.col("item") / 10) * 10, F.col("item") % 10
+    number = F.when(place == 0, F.col("n0")).when(place == 1, F.col("n1")).otherwise(F.col("n2"))
+    missing = F.array(F.lit(fixed.NO_DISCHARGE), F.lit(fixed.NO_STAGE2), F.lit(fixed.NO_STAGE3))
+    return each.select(
+        "vid", F.get(F.array(*(F.lit(s) for s in STAGES)), place).alias("stage"),
+        F.when(form == AS_PIECE, number).when(form == AS_TITLE, number - 1).otherwise(1).cast("bigint").alias("part"),
+        F.when(form == AS_PIECE, F.col("view")).when(form == AS_TITLE, F.col("section")).otherwise(F.get(missing, place)).alias("view"))
+
+
+def _marks_of_crowded(
+    rows: DataFrame, visits: DataFrame, crowded: Crowd, per_lane: Callable, mark: Callable, lanes: list[str], bits: list[int],
+) -> DataFrame:
+    """What the chunks of crowded visits begin with, from a count per chunk; the end of a visit is a chunk of its own."""
+    few = F.broadcast(crowded.only(visits))
+    names = [f"n{k}" for k in range(len(bits))]
+    counts = rows.groupBy("vid", *lanes, "_piece", "_chunk", "section_order", "section").agg(
+        *(F.sum((F.col("reads").bitwiseAND(bit) != 0).cast("bigint")).alias(n) for n, bit in zip(names, bits)))
+    ends = per_lane(few).select(
+        "vid", *lanes, F.lit(0).alias("_piece"), F.lit(2**62).alias("_chunk"), F.lit(None).cast("int").alias("section_order"),
+        F.lit("").alias("section"), *(F.lit(0).cast("bigint").alias(n) for n in names), F.lit(True).alias("is_end"))
+    every = counts.withColumn("is_end", F.lit(False)).unionByName(ends)
+    goes_on = F.row_number().over(Window.partitionBy("vid", *lanes, "section_order").orderBy("_chunk")) > 1
+    every = every.withColumn("goes_on", goes_on)
+    titled = ~F.col("goes_on") & (F.col("section") != "")
+    before = Window.partitionBy("vid", *lanes).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.array(*(F.coalesce(F.sum(F.col(n) + F.when(titled & (F.col(n) > 0), 1).otherwise(0)).over(before), F.lit(0)) for n in names))
+    every = every.withColumn("first", at).join(few, "vid")
+    kinds = F.when(F.col("is_end"), F.array(F.lit(BEGIN), F.lit(END))).otherwise(F.array(F.lit(BEGIN)))
+    every = every.withColumn("kind", F.explode(kinds))
+    return mark(every, F.col("kind"), F.when(F.col("goes_on"), F.col("section_order")), F.when(F.col("kind") == BEGIN, F.col("first")))

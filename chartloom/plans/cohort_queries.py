@@ -11,6 +11,8 @@ from chartloom.operators import abstraction, charts, facts, rules
 from chartloom.plans import cohort, sql, views
 from chartloom.plans.registry import register
 from chartloom.plans.table_queries import ABNORMAL_SQL, DAYS_ORIGIN, FACTS_SQL, RISE_SQL, SCORES_SQL, T0, episodes_sql
+from chartloom.session import reliable_checkpoint
+from chartloom.skew import Crowd
 
 RUN_TS = "2026-01-31T00:00:00+00:00"
 EARLY = f"TIMESTAMP '{T0}' - INTERVAL 48 HOUR"
@@ -206,7 +208,7 @@ _DISCHARGES = f"SELECT * FROM ({views.COHORT_NOTES_SQL}) WHERE panel = 'discharg
 
 
 def _anchors(spark: SparkSession, visits: DataFrame) -> DataFrame:
-    return facts.encounters(visits, spark.createDataFrame([], "vid string, moment timestamp_ntz"))
+    return reliable_checkpoint(facts.encounters(visits, spark.createDataFrame([], "vid string, moment timestamp_ntz")))
 
 
 @register(f"""WITH v AS (SELECT DISTINCT user_id AS vid FROM events), d AS ({_DISCHARGES}),
@@ -225,13 +227,14 @@ def stage_gates(spark: SparkSession, folder: str) -> DataFrame:
     return answers.select("vid", "gate")
 
 
-def _pieces(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Pieces of the stage views, and the visits."""
+def _pieces(spark: SparkSession, folder: str, per_stage: bool = True) -> tuple[DataFrame, DataFrame, Crowd]:
+    """Pieces of the stage views, the visits, and those of them that one task should not put in order."""
     t = _cohort_tables(spark, folder)
     anchors = _anchors(spark, t["visits"])
+    crowded = charts.crowded_visits(views.cohort_notes(spark, folder, clinical=False), t["measurements"], t["cultures"], t["drugs"])
     lines = charts.structured_lines(
-        facts.measurement_rows(t["measurements"]), facts.culture_rows(t["cultures"]), facts.drug_rows(t["drugs"]), anchors)
-    return charts.stage_pieces(charts.panel_notes(t["notes"], anchors), lines), anchors
+        facts.measurement_rows(t["measurements"]), facts.culture_rows(t["cultures"]), facts.drug_rows(t["drugs"]), anchors, crowded=crowded)
+    return charts.stage_pieces(charts.panel_notes(t["notes"], anchors, crowded=crowded), lines, per_stage), anchors, crowded
 
 
 @register(f"""WITH v AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS vid FROM events), m AS (SELECT vid, count(*) AS n FROM ({views.MEASUREMENTS_SQL}) GROUP BY 1),
@@ -270,7 +273,7 @@ _LINES = f"""SELECT vid, 1 AS section_order, '[Structured Vital Signs & Labs]' A
   SELECT vid, stage, count(*) AS parts, CAST(sum(CAST('0x' || substr(md5(part || ' ' || piece), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM every GROUP BY 1, 2""")
 def stage_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Text and order of every stage view, as a digest that gathers no view."""
-    pieces, visits = _pieces(spark, folder)
-    shown = charts.stage_views(pieces, visits)
+    pieces, visits, crowded = _pieces(spark, folder, per_stage=False)
+    shown = charts.stage_views(pieces, visits, crowded)
     return shown.groupBy("vid", "stage").agg(
         F.count(F.lit(1)).alias("parts"), F.sum(text_digest(F.concat_ws(" ", F.col("part").cast("string"), "view"))).alias("digest"))
